@@ -1,17 +1,18 @@
 """Population-stability drift of numeric features.
 
-All features travel together as (feature, value, ref) rows. ``feature`` names come
-from the caller's column list, so per-feature tables stay as small as that list.
+Bin edges are a handful of numbers per feature: they are found first and then enter the
+histogram pass as literals, which keeps that pass a single map-side aggregate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugemill.operators.ordered import running_totals
+from gaugemill.operators.quantiles import FEW_ROWS, values_at_ranks
 from gaugemill.settings import (
     NO_DRIFT_EXIT_CODE,
     PSI_BINS,
@@ -21,102 +22,89 @@ from gaugemill.settings import (
 )
 
 
-def feature_values(df: DataFrame, features: Sequence[str], is_reference: str) -> DataFrame:
-    """Long form of the named columns without nulls and NaN."""
-    cells = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]
-    return (
-        df.select(F.col(is_reference).alias("ref"), F.inline(F.array(*cells)))
-        .where(F.col("value").isNotNull() & ~F.isnan("value") & F.col("ref").isNotNull())
+def _numbers(df: DataFrame, features: Sequence[str], is_reference: str) -> DataFrame:
+    """The features as doubles, NaN as null."""
+    cells = [F.col(f).cast("double") for f in features]
+    return df.select(
+        F.col(is_reference).alias("_ref"), *[F.when(~F.isnan(c), c).alias(f) for f, c in zip(features, cells)]
     )
 
 
-def _interpolated(at_low: Column, at_high: Column, fraction: Column) -> Column:
-    gap = at_high - at_low
-    return (
-        F.when(gap == 0, at_low)
-        .when(fraction < 0.5, at_low + gap * fraction)
-        .otherwise(at_high - gap * (1 - fraction))
-    )
+def _interpolated(low: float, high: float, fraction: float) -> float:
+    if low == high:
+        return low
+    return low + (high - low) * fraction if fraction < 0.5 else high - (high - low) * (1 - fraction)
 
 
-def quantile_edges(values: DataFrame, bins: int = PSI_BINS) -> DataFrame:
-    """Exact reference quantiles per feature: ``n_bins`` and the de-duplicated inner ``cuts``.
+def quantile_edges(
+    df: DataFrame, features: Sequence[str], is_reference: str, bins: int = PSI_BINS, few: int = FEW_ROWS
+) -> dict[str, list[float]]:
+    """Distinct reference quantiles of each feature, exact and linearly interpolated.
 
-    The value of a given rank is the least value whose running count exceeds it, so the
-    quantiles come from one aggregate over distinct values and never from a sorted group.
+    The outermost two stand for minus and plus infinity; a constant reference has one edge.
     """
-    counts = (
-        values.where("ref").groupBy("feature", "value").agg(F.count("*").alias("n")).where(F.col("n") > 0)
-    )
-    sizes = counts.groupBy("feature").agg(F.sum("n").alias("rows"))
-    ranked = running_totals(counts, "value", {"upto": "n"}, ["feature"]).join(
-        F.broadcast(sizes), "feature"  # one row per feature
-    )
-
-    def position(i: int) -> Column:
-        return (F.col("rows") - 1) * F.lit(1.0 if i == bins else i * (1.0 / bins))
-
-    def at_rank(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") > rank, F.col("value")))
-
-    found = ranked.groupBy("feature").agg(
-        F.max("rows").alias("rows"),
-        *[at_rank(F.floor(position(i))).alias(f"low{i}") for i in range(bins + 1)],
-        *[at_rank(F.ceil(position(i))).alias(f"high{i}") for i in range(bins + 1)],
-    )
-    quantiles = [
-        _interpolated(F.col(f"low{i}"), F.col(f"high{i}"), position(i) - F.floor(position(i)))
-        for i in range(bins + 1)
-    ]
-    edges = F.array_distinct(F.array(*quantiles))
-    return found.select("feature", edges.alias("edges")).select(
-        "feature",
-        (F.size("edges") - 1).alias("n_bins"),
-        F.when(F.size("edges") > 2, F.slice("edges", F.lit(2), F.size("edges") - 2))
-        .otherwise(F.array().cast("array<double>"))
-        .alias("cuts"),
-    )
-
-
-def histogram_shares(values: DataFrame, edges: DataFrame, epsilon: float = PSI_EPSILON) -> DataFrame:
+    rows = _numbers(df, features, is_reference).where("_ref")
+    sizes = rows.agg(*[F.count(f).alias(f) for f in features]).first().asDict()
+    step = 1.0 / bins
+    places = {
+        f: [(sizes[f] - 1) * (1.0 if i == bins else i * step) for i in range(bins + 1)] for f in features if sizes[f]
+    }
+    ranks = {f: [(math.floor(p), math.ceil(p)) for p in at] for f, at in places.items()}
+    found = values_at_ranks(rows, ranks, sizes, few)
+    edges: dict[str, list[float]] = {f: [] for f in features}
+    for f, pairs in found.items():
+        edges[f] = sorted({_interpolated(lo, hi, p - math.floor(p)) for (lo, hi), p in zip(pairs, places[f])})
+    return edges
+
+
+def histogram_shares(
+    df: DataFrame, edges: Mapping[str, Sequence[float]], is_reference: str, epsilon: float = PSI_EPSILON
+) -> DataFrame:
     """Expected and actual share of every bin, empty ones included, floored at ``epsilon``."""
-    edges = F.broadcast(edges)  # one row per feature
+    binned = {f: cuts for f, cuts in edges.items() if len(cuts) > 1}
+    rows = _numbers(df, list(edges), is_reference).where(F.col("_ref").isNotNull())
+    if not binned:
+        return rows.sparkSession.createDataFrame([], "feature string, bin int, expected double, actual double")
+    cells = []
+    for f, cuts in binned.items():
+        place = F.when(F.col(f).isNotNull(), 0)
+        for cut in cuts[1:-1]:
+            place = place + (F.col(f) >= cut).cast("int")
+        cells.append(F.struct(F.lit(f).alias("feature"), place.alias("bin")))
     counts = (
-        values.join(edges, "feature")
-        .where("n_bins > 0")
-        .withColumn("bin", F.size(F.filter("cuts", lambda cut: cut <= F.col("value"))))
+        rows.select("_ref", F.inline(F.array(*cells)))
+        .where(F.col("bin").isNotNull())
         .groupBy("feature", "bin")
-        .agg(F.count_if("ref").alias("n_ref"), F.count_if(~F.col("ref")).alias("n_cur"))
-    )
-    every_bin = edges.where("n_bins > 0").select(
-        "feature", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("bin")
+        .agg(F.count_if("_ref").alias("n_ref"), F.count_if(~F.col("_ref")).alias("n_cur"))
     )
-    filled = every_bin.join(counts, ["feature", "bin"], "left").select(
-        "feature", "bin",
-        F.coalesce("n_ref", F.lit(0)).alias("n_ref"),
-        F.coalesce("n_cur", F.lit(0)).alias("n_cur"),
-    )
-    sizes = filled.groupBy("feature").agg(F.sum("n_ref").alias("all_ref"), F.sum("n_cur").alias("all_cur"))
+    every_bin = rows.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.lit(i).alias("bin")) for f, cuts in binned.items() for i in range(len(cuts) - 1)
+    ])))
+    whole = Window.partitionBy("feature")  # one row per bin by now
 
-    def share(part: str, whole: str) -> Column:
-        return F.greatest(F.col(part) / F.greatest(F.col(whole), F.lit(1)), F.lit(epsilon))
+    def share(part: str) -> Column:
+        n = F.coalesce(F.col(part), F.lit(0))
+        return F.greatest(n / F.greatest(F.sum(n).over(whole), F.lit(1)), F.lit(epsilon))
 
-    return filled.join(F.broadcast(sizes), "feature").select(  # one row per feature
-        "feature", "bin", share("n_ref", "all_ref").alias("expected"), share("n_cur", "all_cur").alias("actual")
+    return every_bin.join(counts, ["feature", "bin"], "left").select(
+        "feature", "bin", share("n_ref").alias("expected"), share("n_cur").alias("actual")
     )
 
 
-def psi(values: DataFrame, bins: int = PSI_BINS, epsilon: float = PSI_EPSILON) -> DataFrame:
+def psi(
+    df: DataFrame, features: Sequence[str], is_reference: str, bins: int = PSI_BINS, epsilon: float = PSI_EPSILON
+) -> DataFrame:
     """Population stability index and bin count per feature; 0 for a constant reference."""
-    edges = quantile_edges(values, bins)
-    shares = histogram_shares(values, edges, epsilon)
+    edges = quantile_edges(df, features, is_reference, bins)
     term = (F.col("actual") - F.col("expected")) * F.ln(F.col("actual") / F.col("expected"))
-    scores = shares.groupBy("feature").agg(F.sum(term).alias("psi"), F.count("*").alias("bins"))
-    return edges.select("feature").join(scores, "feature", "left").select(
-        "feature",
-        F.coalesce("psi", F.lit(0.0)).alias("psi"),
-        F.coalesce("bins", F.lit(0)).alias("bins"),
+    scores = histogram_shares(df, edges, is_reference, epsilon).groupBy("feature").agg(
+        F.sum(term).alias("psi"), F.count("*").alias("bins")
     )
+    unbinned = [f for f in features if len(edges[f]) < 2]
+    if not unbinned:
+        return scores
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f) for f in unbinned])).alias("feature"))
+    return scores.unionByName(names.select("feature", F.lit(0.0).alias("psi"), F.lit(0).cast("bigint").alias("bins")))
 
 
 def drift_band(value: Column) -> Column:
@@ -136,7 +124,7 @@ def drift_measure(
         )
     )
     return (
-        psi(feature_values(df, features, is_reference), bins)
+        psi(df, features, is_reference, bins)
         .withColumn("_sizes", sizes.scalar())
         .select("feature", "psi", "bins", "_sizes.reference_rows", "_sizes.current_rows")
     )

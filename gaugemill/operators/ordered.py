@@ -17,9 +17,12 @@ SEGMENTS = 32
 
 
 def with_segment(df: DataFrame, column: str, segments: int = SEGMENTS) -> DataFrame:
-    """Add ``_segment``: how many approximate quantile cuts of ``column`` lie at or below it."""
+    """Add ``_segment``: how many approximate quantile cuts of ``column`` lie at or below it.
+
+    The sketch is kept coarse, a few kilobytes per task, since cuts only balance the work.
+    """
     probabilities = [i / segments for i in range(1, segments)]
-    cuts = df.agg(F.array_distinct(F.percentile_approx(column, probabilities, 50 * segments)))
+    cuts = df.agg(F.array_distinct(F.percentile_approx(column, probabilities, 4 * segments)))
     return (
         df.withColumn("_cuts", cuts.scalar())
         .withColumn("_segment", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= F.col(column))), F.lit(0)))
@@ -45,17 +48,19 @@ def running_totals(
 ) -> DataFrame:
     """Cumulative sums of the ``totals`` source columns up to and including each row.
 
-    ``order`` must be unique within a group.
+    ``order`` must be unique within a group. ``all_<name>`` is the group's grand total.
     """
     cut = with_segment(df, order, segments)
     local = Window.partitionBy(*_keys(groups)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = _before(groups).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*groups)
     offsets = (
         cut.groupBy(*_keys(groups))
         .agg(*[F.sum(source).alias(f"_o_{name}") for name, source in totals.items()])
         .select(
             *_keys(groups),
             *[F.coalesce(F.sum(f"_o_{name}").over(earlier), F.lit(0)).alias(f"_o_{name}") for name in totals],
+            *[F.sum(f"_o_{name}").over(every).alias(f"all_{name}") for name in totals],
         )
     )
     if not groups:
@@ -66,6 +71,7 @@ def running_totals(
         .select(
             *df.columns,
             *[(F.col(name) + F.col(f"_o_{name}")).alias(name) for name in totals],
+            *[f"all_{name}" for name in totals],
         )
     )
 

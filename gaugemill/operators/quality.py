@@ -59,17 +59,10 @@ def ks_statistic(df: DataFrame, value: str, is_reference: str) -> DataFrame:
         .agg(F.count_if("ref").alias("n_ref"), F.count_if(~F.col("ref")).alias("n_cur"))
         .where(F.col("n_ref") + F.col("n_cur") > 0)
     )
-    both = running_totals(counts, "value", {"upto_ref": "n_ref", "upto_cur": "n_cur"})
-    sizes = counts.agg(
-        F.struct(F.sum("n_ref").alias("ref"), F.sum("n_cur").alias("cur"))
-    )
-    gap = F.abs(
-        _share(F.col("upto_ref"), F.col("_sizes.ref")) - _share(F.col("upto_cur"), F.col("_sizes.cur"))
-    )
-    return both.withColumn("_sizes", sizes.scalar()).agg(
-        F.max(gap).alias("ks"),
-        F.max("_sizes.ref").alias("reference_rows"),
-        F.max("_sizes.cur").alias("current_rows"),
+    both = running_totals(counts, "value", {"ref": "n_ref", "cur": "n_cur"})
+    gap = F.abs(_share(F.col("ref"), F.col("all_ref")) - _share(F.col("cur"), F.col("all_cur")))
+    return both.agg(
+        F.max(gap).alias("ks"), F.max("all_ref").alias("reference_rows"), F.max("all_cur").alias("current_rows")
     )
 
 

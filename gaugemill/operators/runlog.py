@@ -165,13 +165,13 @@ def transition_check(events: DataFrame) -> DataFrame:
 
 def orphans(events: DataFrame) -> DataFrame:
     """Persisted events that name a run or a step nobody declared."""
-    names = created(events).select("flow_run_id", "step_names")
+    names = created(events).select("flow_run_id", F.col("step_names").alias("_declared"))
     return (
         persisted(events).where(~_is("FlowRunCreated"))
         .join(names, "flow_run_id", "left")
         .where(
-            F.col("step_names").isNull()
-            | (_is(*STEP_EVENTS) & ~F.array_contains("step_names", F.col("step_name")))
+            F.col("_declared").isNull()
+            | (_is(*STEP_EVENTS) & ~F.array_contains("_declared", F.col("step_name")))
         )
         .select("type", "flow_run_id", "step_name", "seq")
     )
