@@ -28,7 +28,14 @@ def config_version(spark, sf):
 
 
 def component_version(spark, sf):
-    """Version of every document as a component named by its text."""
+    """Version of every customer as a component with its segment and nation as payload."""
+    c = table(spark, sf, "customer")
+    payload = json_object(nation=F.col("c_nationkey").cast("string"), segment=json_string(F.col("c_mktsegment")))
+    return c.select("c_custkey", versions.component_version(F.col("c_name"), payload).alias("version_id"))
+
+
+def component_version_text(spark, sf):
+    """Version of every document as a component named by its whole text."""
     doc = table(spark, sf, "documents")
     payload = json_object(lang=json_string(F.col("lang")), n_chars=F.col("n_chars").cast("string"))
     return doc.select("doc_id", versions.component_version(F.col("text"), payload).alias("version_id"))
@@ -96,7 +103,7 @@ def namespace(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (config_version, component_version, table_digest, file_digest, dataset_version, prep_version, run_resolve,
+    for f in (config_version, component_version, component_version_text, table_digest, file_digest, dataset_version, prep_version, run_resolve,
               run_log, namespace)
 }
 
@@ -120,6 +127,8 @@ ORACLES = {
 SELECT id, left(sha256('{"C": ' || cast(c AS varchar) || ', "min_df": ' || min_df || ', "negative_rating_ceiling": ' || ceiling
   || ', "ngram_max": ' || ngram_max || ', "positive_rating_floor": ' || floor || ', "random_seed": ' || seed || '}'), 12) AS flow_version_id
 FROM configs""", "configs"),
+    "component_version": "SELECT c_custkey, left(sha256('{\"component\": \"' || c_name || '\", \"payload\": {\"nation\": ' || c_nationkey "
+                         "|| ', \"segment\": \"' || c_mktsegment || '\"}}'), 12) AS version_id FROM customer",
     "table_digest": _ALL,
     "dataset_version": f"WITH {_DATASET} SELECT dataset_version_id FROM v",
     "prep_version": f"WITH {_DATASET} SELECT dataset_version_id, left(sha256('{{\"component\": \"data-prep\", \"payload\": "

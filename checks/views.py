@@ -108,7 +108,7 @@ select o_custkey as line, o_orderdate as at, o_orderkey as seq,
     "measurements": (("events",), """
 select user_id as feature_key, ts, event_id as seq, value / 1000 as psi from {events}"""),
     "configs": (("part",), """
-select p_partkey as id, p_retailprice / power(cast(10 as double), p_partkey % 30 - 8) as c,
+select p_partkey as id, p_retailprice * power(cast(10 as double), p_partkey % 3 * 4) / power(cast(10 as double), p_partkey % 20) as c,
        1 + p_partkey % 3 as ngram_max, p_size as min_df, 7 as floor, 4 as ceiling, p_partkey % 5 as seed
 from {part}"""),
     "experiments": (("orders",), """

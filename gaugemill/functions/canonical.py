@@ -4,63 +4,61 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@F.pandas_udf(T.StringType())
+def _float_repr(value: pd.Series) -> pd.Series:
+    return value.map(lambda number: json.dumps(float(number)), na_action="ignore")
 
 
 def json_float(value: Column) -> Column:
-    """Python float text: positional between 1e-4 and 1e16, else like 1e-05."""
+    """Python float text: the shortest digits that round-trip.
+
+    Numbers Python writes without an exponent are formatted natively; only others go to Python.
+    """
     value = value.cast("double")
-    shown = value.cast("string")
-    sign = F.when(shown.startswith("-"), "-").otherwise("")
-    digits = F.regexp_replace(F.regexp_extract(shown, r"^-?([\d.]+)E", 1), r"\.0$|\.", "")
-    exponent = F.regexp_extract(shown, r"E(-?\d+)$", 1)
-    power = F.when(exponent != "", exponent.cast("int"))
-    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    point = power + 1
-    large = F.concat(
-        sign,
-        F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0")),
-        F.lit("."),
-        F.when(F.length(digits) > point, F.substring(digits, point + 1, F.length(digits))).otherwise("0"),
-    )
-    mantissa = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(""),
-    )
-    exponential = F.concat(
-        sign, mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"),
-        F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")),
-    )
-    return (
-        F.when(power.isNull(), shown)
-        .when((power >= -4) & (power < 0), small)
-        .when((power >= 0) & (power < 16), large)
-        .otherwise(exponential)
+    positional = (F.abs(value) >= 1e-4) & (F.abs(value) < 1e16)
+    shown = None
+    for digits_after_point in (16, 15, 14):
+        attempt = F.format_string(f"%.{digits_after_point}e", F.abs(value))
+        kept = F.when(attempt.try_cast("double") == F.abs(value), attempt)
+        shown = attempt if shown is None else F.coalesce(kept, shown)
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(shown, r"^([\d.]+)e", 1), r"\.", ""), "0+$", "")
+    power = F.regexp_extract(shown, r"e\+?(-?\d+)$", 1).try_cast("int")
+    count, point = F.length(digits), power + 1
+    below_one = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    whole = F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0"))
+    fraction = F.when(count > point, F.substring(digits, point + 1, count)).otherwise("0")
+    native = F.concat(
+        F.when(value < 0, "-").otherwise(""),
+        F.when(power < 0, below_one).otherwise(F.concat(whole, F.lit("."), fraction)),
     )
+    return F.when(positional, native).otherwise(_float_repr(F.when(~positional, value)))
 
 
 def json_string(text: Column) -> Column:
     """Quoted ASCII-only JSON string; other characters become \\uXXXX per UTF-16 unit."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    count = (F.length(units) / 4).cast("int")
+    characters = F.regexp_extract_all(text, F.lit(r"(?s)(.)"), F.lit(1))
 
-    def escape(index: Column) -> Column:
-        unit = F.substring(units, (index * 4 + 1).cast("int"), F.lit(4))
-        code = F.conv(unit, 16, 10).cast("int")
+    def escape(character: Column) -> Column:
+        units = F.lower(F.hex(F.encode(character, "UTF-16BE")))
         return (
-            F.when(unit == "0022", '\\"')
-            .when(unit == "005C", "\\\\")
-            .when(unit == "0008", "\\b")
-            .when(unit == "0009", "\\t")
-            .when(unit == "000A", "\\n")
-            .when(unit == "000C", "\\f")
-            .when(unit == "000D", "\\r")
-            .when((code >= 32) & (code < 127), F.char(code))
-            .otherwise(F.concat(F.lit("\\u"), F.lower(unit)))
+            F.when(character == '"', '\\"')
+            .when(character == "\\", "\\\\")
+            .when(character == "\b", "\\b")
+            .when(character == "\t", "\\t")
+            .when(character == "\n", "\\n")
+            .when(character == "\f", "\\f")
+            .when(character == "\r", "\\r")
+            .when(character.between(" ", "~"), character)
+            .otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
         )
 
-    escaped = F.concat_ws("", F.transform(F.sequence(F.lit(0), count - 1), escape))
+    escaped = F.concat_ws("", F.transform(characters, escape))
     plain = ~text.rlike(r'[^\x20-\x7e]|["\\]')
     body = F.when(plain, text).otherwise(escaped)
     return F.concat(F.lit('"'), body, F.lit('"'))

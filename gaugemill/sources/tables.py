@@ -47,7 +47,10 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("escape", '"').option("quoteAll", True).mode("overwrite").csv(path)
+    """CSV with a header, every cell quoted and its whitespace kept."""
+    (df.write.option("header", True).option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .mode("overwrite").csv(path))
 
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
@@ -82,16 +85,16 @@ def parse_documents(df: DataFrame, column: str, schema: T.StructType) -> DataFra
 def header_check(spark: SparkSession, path: str, required: Sequence[str] = RAW_COLUMNS) -> DataFrame:
     """Missing required columns of every CSV file under ``path``, judged by its first line.
 
-    Only the block at offset 0 of each file takes part; an empty file yields no line and is
-    reported from the file listing.
+    Only the block at offset 0 of each file takes part. Scans skip empty files, so the file
+    names come from the listing the reader already holds.
     """
-    listing = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", "length")
-    )
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    names = [(name,) for name in lines.inputFiles()]
+    one_slash = lambda column: F.regexp_replace(column, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+    listing = spark.createDataFrame(names, "path string").select(one_slash("path").alias("path"))
     first_lines = (
-        spark.read.option("pathGlobFilter", "*.csv").text(path)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
-                F.monotonically_increasing_id().alias("line_no"), "value")
+        lines.select(one_slash("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+                     F.monotonically_increasing_id().alias("line_no"), "value")
         .where("at = 0")
         .groupBy("path")
         .agg(F.min_by("value", "line_no").alias("header"))

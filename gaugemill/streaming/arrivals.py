@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-_TEXT = T.StructType([T.StructField("value", T.StringType())])
+_FILE = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("modificationTime", T.TimestampType()),
+    T.StructField("length", T.LongType()),
+    T.StructField("content", T.BinaryType()),
+])
 
 
 def list_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
@@ -26,7 +31,7 @@ def new_files(listing: DataFrame, seen: DataFrame) -> DataFrame:
 def arrivals(spark: SparkSession, path: str, suffix: str = ".csv", files_per_trigger: int = 1000) -> DataFrame:
     """Stream of newly arrived files as (file, path); their content is not read here."""
     files = (
-        spark.readStream.format("binaryFile")
+        spark.readStream.format("binaryFile").schema(_FILE)
         .option("pathGlobFilter", f"*{suffix}")
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(path)
