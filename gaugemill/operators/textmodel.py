@@ -51,22 +51,26 @@ class TrainingConfig:
         return asdict(self)
 
 
-def ngrams(text: Column, ngram_max: int) -> Column:
-    """Lower-cased word 1- to n-grams of a text, inside its row."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
-    terms = [words]
+def words(text: Column) -> Column:
+    """Lower-cased word tokens of a text."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
+
+
+def ngrams(tokens: Column, ngram_max: int) -> Column:
+    """Word 1- to n-grams: each longer list pairs the one before with the tokens shifted on."""
+    lists = [tokens]
     for n in range(2, ngram_max + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        terms.append(F.transform(starts, lambda at, n=n: F.array_join(F.slice(words, at, F.lit(n)), " ")))
-    return F.flatten(F.array(*terms))
+        shifted = F.slice(tokens, F.lit(n), F.size(tokens))
+        pairs = F.zip_with(lists[-1], shifted, lambda head, word: F.concat(head, F.lit(" "), word))
+        lists.append(F.array_compact(pairs))
+    return F.flatten(F.array(*lists))
 
 
 def term_counts(df: DataFrame, doc: str, text: str, ngram_max: int = 2) -> DataFrame:
     """(doc, term, tf). Repeats of a term collapse within a task before the shuffle."""
+    tokens = df.select(doc, words(F.col(text)).alias("_words"))
     return (
-        df.select(doc, F.explode(ngrams(F.col(text), ngram_max)).alias("term"))
+        tokens.select(doc, F.explode(ngrams(F.col("_words"), ngram_max)).alias("term"))
         .groupBy(doc, "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -95,8 +99,8 @@ def tfidf_weights(
     The vocabulary is limited to ``max_features`` rows, hence the broadcast.
     """
     counts = term_counts(df, doc, text, ngram_max)
-    words = vocabulary(counts, df.agg(F.count("*")).scalar(), min_df, max_features)
-    weighted = counts.join(F.broadcast(words.select("term", "idf")), "term").withColumn(
+    known = vocabulary(counts, df.agg(F.count("*")).scalar(), min_df, max_features)
+    weighted = counts.join(F.broadcast(known.select("term", "idf")), "term").withColumn(
         "raw", F.col("tf") * F.col("idf")
     )
     norms = weighted.groupBy(doc).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
@@ -115,14 +119,14 @@ def fit(config: TrainingConfig, rows: DataFrame, text: str = "review_text", labe
     if total < min_rows:
         raise TooFewRows(f"Training data has {total} rows, below the configured minimum of {min_rows}.")
 
-    words = RegexTokenizer(inputCol=text, outputCol="_terms1", pattern=TOKEN, gaps=False, toLowercase=True)
+    tokenizer = RegexTokenizer(inputCol=text, outputCol="_terms1", pattern=TOKEN, gaps=False, toLowercase=True)
     longer = [
         NGram(n=n, inputCol="_terms1", outputCol=f"_terms{n}") for n in range(2, config.ngram_max + 1)
     ]
     pieces = ", ".join(f"_terms{n}" for n in range(1, config.ngram_max + 1))
     merged = SQLTransformer(statement=f"SELECT *, concat({pieces}) AS _terms FROM __THIS__")
     prepared = rows.select(text, label)
-    for stage in (words, *longer, merged):
+    for stage in (tokenizer, *longer, merged):
         prepared = stage.transform(prepared)
     prepared = prepared.select("_terms", label)
 
@@ -151,7 +155,7 @@ def fit(config: TrainingConfig, rows: DataFrame, text: str = "review_text", labe
         fitted = classifier.fit(features)
     finally:
         features.unpersist()
-    return PipelineModel([words, *longer, merged, counter, scale, unit, fitted])
+    return PipelineModel([tokenizer, *longer, merged, counter, scale, unit, fitted])
 
 
 def predict(model: PipelineModel, rows: DataFrame, prediction: str = "prediction", probabilities: str = "probabilities") -> DataFrame:
