@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 @F.pandas_udf(T.StringType())
 def _float_repr(value: pd.Series) -> pd.Series:
-    return value.map(lambda number: json.dumps(float(number)), na_action="ignore")
+    return pd.Series([None if pd.isna(v) else json.dumps(float(v)) for v in value], dtype=object)
 
 
 def json_float(value: Column) -> Column:
