@@ -46,9 +46,7 @@ def _data(spark, sf):
 
 
 def tfidf_vocabulary(spark, sf):
-    doc = table(spark, sf, "documents")
-    words = textmodel.vocabulary(textmodel.term_counts(doc, "doc_id", "text", 2), doc.agg(F.count("*")).scalar())
-    return words.withColumn("idf", F.round("idf", 9))
+    return textmodel.vocabulary(table(spark, sf, "documents"), "text", 2).withColumn("idf", F.round("idf", 9))
 
 
 def tfidf(spark, sf):

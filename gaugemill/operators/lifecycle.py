@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -92,6 +92,52 @@ def _jump_ends(instants: np.ndarray, window: int) -> np.ndarray:
         end = further
 
 
+def _per_group(
+    df: DataFrame, groups: Sequence[str], order: str,
+    function: Callable[[dict[str, np.ndarray]], dict], schema: T.StructType,
+) -> DataFrame:
+    """Run ``function`` on the column arrays of every group, sorted by ``order``.
+
+    Tasks stream sorted batches and hold one group at a time, which spares the start-up
+    cost of a pandas call per group.
+    """
+    groups = list(groups)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def finish(frames: list[pd.DataFrame]) -> pd.DataFrame:
+            rows = pd.concat(frames, ignore_index=True)
+            changes = np.zeros(len(rows), dtype=bool)
+            for name in groups:
+                changes[1:] |= rows[name].to_numpy()[1:] != rows[name].to_numpy()[:-1]
+            edges = [0, *np.flatnonzero(changes).tolist(), len(rows)]
+            arrays = {name: rows[name].to_numpy() for name in rows.columns}
+            parts = [function({n: a[i:j] for n, a in arrays.items()}) for i, j in zip(edges, edges[1:])]
+            return pd.DataFrame({
+                name: [value for part in parts for value in part[name]] for name in schema.names
+            })
+
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            last = np.ones(len(batch), dtype=bool)
+            for name in groups:
+                last &= (batch[name] == batch[name].iloc[-1]).to_numpy()
+            first_of_last = int(np.argmax(last))
+            continues = bool(held) and all(held[-1][n].iloc[-1] == batch[n].iloc[-1] for n in groups)
+            if first_of_last == 0 and continues:
+                held.append(batch)
+                continue
+            done = held + ([batch.iloc[:first_of_last]] if first_of_last else [])
+            if done:
+                yield finish(done)
+            held = [batch.iloc[first_of_last:]]
+        if held:
+            yield finish(held)
+
+    return df.repartition(*groups).sortWithinPartitions(*groups, order).mapInPandas(run, schema)
+
+
 def cooldown(
     requests: DataFrame,
     key: str,
@@ -114,49 +160,44 @@ def cooldown(
     timed = requests.withColumn(
         "_at", F.timestamp_diff("MICROSECOND", epoch, F.col(at).cast("timestamp_ntz"))
     ).withColumn("_block", ((F.col("_at") - F.pmod("_at", F.lit(span))) / span).cast("bigint"))
-    key_type = requests.schema[key].dataType
     instants = timed.groupBy(key, "_block", "_at").agg(F.min(seq).alias("_seq"))
 
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["_at"].to_numpy())
-        reachable = np.searchsorted(times, pdf["_block"].iloc[0] * span + window) + 1
+    def summarize(group: dict[str, np.ndarray]) -> dict:
+        times = group["_at"]
+        reachable = np.searchsorted(times, group["_block"][0] * span + window) + 1
         ends = times[_jump_ends(times, window)][:reachable]
         last_of_run = np.append(ends[1:] != ends[:-1], True)
-        return pd.DataFrame({
-            key: [pdf[key].iloc[0]], "_block": [pdf["_block"].iloc[0]],
-            "upto": [times[:reachable][last_of_run]], "ends": [ends[last_of_run]],
-        })
+        return {key: group[key][:1], "_block": group["_block"][:1],
+                "upto": [times[:reachable][last_of_run]], "ends": [ends[last_of_run]]}
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(group: dict[str, np.ndarray]) -> dict:
         earliest, starts = np.iinfo(np.int64).min, []
-        ordered = pdf.sort_values("_block")
-        for upto, ends in zip(ordered["upto"], ordered["ends"]):
+        for upto, ends in zip(group["upto"], group["ends"]):
             starts.append(earliest)
             at_step = np.searchsorted(upto, earliest)
             if at_step < len(upto):
                 earliest = ends[at_step] + window
-        return pd.DataFrame({key: ordered[key], "_block": ordered["_block"], "_start": starts})
+        return {key: group[key], "_block": group["_block"], "_start": starts}
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values("_at")
-        times, chosen = ordered["_at"].to_numpy(), []
-        at_step = np.searchsorted(times, ordered["_start"].iloc[0])
+    def replay(group: dict[str, np.ndarray]) -> dict:
+        times, chosen = group["_at"], []
+        at_step = np.searchsorted(times, group["_start"][0])
         while at_step < len(times):
             chosen.append(at_step)
             at_step = np.searchsorted(times, times[at_step] + window)
-        return ordered.iloc[chosen][[key, "_at", "_seq"]]
+        return {name: group[name][chosen] for name in (key, "_at", "_seq")}
 
     def schema(**fields: T.DataType) -> T.StructType:
-        return T.StructType([T.StructField(key, key_type)] + [T.StructField(n, t) for n, t in fields.items()])
+        return T.StructType(
+            [T.StructField(key, requests.schema[key].dataType)] + [T.StructField(n, t) for n, t in fields.items()]
+        )
 
     longs, long = T.ArrayType(T.LongType()), T.LongType()
-    steps = instants.groupBy(key, "_block").applyInPandas(summarize, schema(_block=long, upto=longs, ends=longs))
-    starts = steps.groupBy(key).applyInPandas(chain, schema(_block=long, _start=long))
-    accepted = (
-        instants.join(starts, [key, "_block"])
-        .groupBy(key, "_block")
-        .applyInPandas(replay, schema(_at=long, _seq=instants.schema["_seq"].dataType))
-        .select(key, "_at", F.col("_seq").alias(seq), F.lit(True).alias("_accepted"))
+    steps = _per_group(instants, [key, "_block"], "_at", summarize, schema(_block=long, upto=longs, ends=longs))
+    starts = _per_group(steps, [key], "_block", chain, schema(_block=long, _start=long))
+    replayed = schema(_at=long, _seq=instants.schema["_seq"].dataType)
+    accepted = _per_group(instants.join(starts, [key, "_block"]), [key, "_block"], "_at", replay, replayed).select(
+        key, "_at", F.col("_seq").alias(seq), F.lit(True).alias("_accepted")
     )
     return timed.join(accepted, [key, "_at", seq], "left").select(
         *requests.columns, F.coalesce("_accepted", F.lit(False)).alias("accepted")

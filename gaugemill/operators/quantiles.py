@@ -11,12 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FEW_ROWS = 1_000_000
+FEW_ROWS = 1_000_000  # a bracket this small is counted exactly
+SAMPLED_ROWS = 100_000  # drawn per bracket and round
 
 
 @dataclass(frozen=True)
@@ -30,37 +30,56 @@ class _Bracket:
     low: float | None = None
     high: float | None = None
 
-    def holds(self) -> Column:
-        value = F.col(self.feature)
-        held = value.isNotNull()
+    def bounds(self) -> tuple:
+        return self.feature, self.low, self.high
+
+    def holds(self) -> str:
+        """SQL condition. Texts keep the many bracket expressions cheap to build."""
+        sides = [f"`{self.feature}` IS NOT NULL"]
         if self.low is not None:
-            held = held & (value >= self.low)
+            sides.append(f"`{self.feature}` >= double('{self.low!r}')")
         if self.high is not None:
-            held = held & (value <= self.high)
-        return held
+            sides.append(f"`{self.feature}` <= double('{self.high!r}')")
+        return "(" + " AND ".join(sides) + ")"
+
+
+def _any(brackets: Sequence[_Bracket]) -> str:
+    return " OR ".join(dict.fromkeys(b.holds() for b in brackets))
 
 
 def _counted(rows: DataFrame, brackets: Sequence[_Bracket]) -> list[_Bracket]:
     """The same brackets with exact row counts below and inside: one pass, nothing shuffled but sums."""
+    distinct = {b.bounds(): b for b in brackets}
     sums = []
-    for i, b in enumerate(brackets):
-        below = F.count_if(F.col(b.feature) < b.low) if b.low is not None else F.lit(0)
-        sums += [below.alias(f"below{i}"), F.count_if(b.holds()).alias(f"inside{i}")]
-    found = rows.agg(*sums).first()
-    return [replace(b, below=found[f"below{i}"], inside=found[f"inside{i}"]) for i, b in enumerate(brackets)]
+    for b in distinct.values():
+        below = f"count_if(`{b.feature}` < double('{b.low!r}'))" if b.low is not None else "0L"
+        sums += [below, f"count_if{b.holds()}"]
+    found = list(rows.selectExpr(*sums).first())
+    counts = {bounds: (found[2 * i], found[2 * i + 1]) for i, bounds in enumerate(distinct)}
+    return [replace(b, below=counts[b.bounds()][0], inside=counts[b.bounds()][1]) for b in brackets]
 
 
 def _proposed(rows: DataFrame, brackets: Sequence[_Bracket], few: int) -> list[_Bracket]:
-    fraction = min(1.0, few * len(brackets) / sum(b.inside for b in brackets))
-    drawn = rows.where(reduce(Column.__or__, [b.holds() for b in brackets])).sample(fraction)
-    bounds = []
-    for i, b in enumerate(brackets):
-        margin = 3.0 / math.sqrt(max(1.0, fraction * b.inside))  # six standard deviations of a sampled rank
-        low = max(0.0, (b.low_rank - b.below) / b.inside - margin)
-        high = min(1.0, (b.high_rank - b.below + 1) / b.inside + margin)
-        bounds.append(F.percentile(F.when(b.holds(), F.col(b.feature)), [low, high]).alias(f"p{i}"))
-    found = drawn.agg(*bounds).first()
-    return [b if found[i] is None else replace(b, low=found[i][0], high=found[i][1]) for i, b in enumerate(brackets)]
+    """Narrower brackets from a sample; brackets with equal bounds share one percentile call."""
+    shared: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        shared.setdefault(b.bounds(), []).append(b)
+    fraction = min(1.0, min(few, SAMPLED_ROWS) * len(shared) / sum(group[0].inside for group in shared.values()))
+    calls = []
+    for group in shared.values():
+        wanted = []
+        for b in group:
+            margin = 3.0 / math.sqrt(max(1.0, fraction * b.inside))  # six standard deviations of a sampled rank
+            wanted.append(max(0.0, (b.low_rank - b.below) / b.inside - margin))
+            wanted.append(min(1.0, (b.high_rank - b.below + 1) / b.inside + margin))
+        listed = ", ".join(f"double('{w!r}')" for w in wanted)
+        calls.append(f"percentile(CASE WHEN {group[0].holds()} THEN `{group[0].feature}` END, array({listed}))")
+    found = list(rows.where(_any(brackets)).sample(fraction).selectExpr(*calls).first())
+    return [
+        b if found[i] is None else replace(b, low=found[i][2 * j], high=found[i][2 * j + 1])
+        for i, group in enumerate(shared.values())
+        for j, b in enumerate(group)
+    ]
 
 
 def _narrowed(rows: DataFrame, brackets: list[_Bracket], few: int) -> list[_Bracket]:
@@ -68,7 +87,9 @@ def _narrowed(rows: DataFrame, brackets: list[_Bracket], few: int) -> list[_Brac
     done, wide = [b for b in brackets if b.inside <= few], [b for b in brackets if b.inside > few]
     while wide:
         still_wide = []
-        for before, after in zip(wide, _counted(rows, _proposed(rows, wide, few))):
+        earlier = {(b.feature, b.number): b for b in wide}
+        for after in _counted(rows, _proposed(rows, wide, few)):
+            before = earlier[after.feature, after.number]
             proven = after.below <= after.low_rank and after.below + after.inside > after.high_rank
             shrunk = proven and after.inside < before.inside / 2
             best = after if proven else before
@@ -92,39 +113,42 @@ def values_at_ranks(
     if not brackets:
         return {}
     brackets = _narrowed(rows, brackets, few)
-    candidates = []
-    for feature in ranks:
-        held = reduce(Column.__or__, [b.holds() for b in brackets if b.feature == feature])
-        candidates.append(F.struct(F.lit(feature).alias("feature"), F.when(held, F.col(feature)).alias("value")))
+    cells = ", ".join(
+        f"struct('{f}' AS feature, CASE WHEN {_any([b for b in brackets if b.feature == f])} THEN `{f}` END AS value)"
+        for f in ranks
+    )
     counts = (
-        rows.select(F.inline(F.array(*candidates))).where(F.col("value").isNotNull())
+        rows.selectExpr(f"inline(array({cells}))").where("value IS NOT NULL")
         .groupBy("feature", "value").agg(F.count("*").alias("n"))
     )
-    wanted = rows.sparkSession.range(1).select(F.inline(F.array(*[
-        F.struct(
-            F.lit(b.feature).alias("feature"), F.lit(b.number).alias("number"),
-            F.lit(b.low).cast("double").alias("low"), F.lit(b.high).cast("double").alias("high"),
-            F.lit(b.below).cast("bigint").alias("below"),
-            F.lit(b.low_rank).cast("bigint").alias("low_rank"), F.lit(b.high_rank).cast("bigint").alias("high_rank"),
-        )
+    spans = {bounds: (i, b) for i, (bounds, b) in enumerate({b.bounds(): b for b in brackets}.items())}
+    span_rows = _inline(rows, [
+        f"struct('{b.feature}' AS feature, {i} AS span, {b.below}L AS below, "
+        f"{_end(b.low)} AS low, {_end(b.high)} AS high)"
+        for i, b in spans.values()
+    ])
+    wanted = _inline(rows, [
+        f"struct({spans[b.bounds()][0]} AS span, {b.number} AS number, {side} AS side, {rank}L AS rank)"
         for b in brackets
-    ])))
-    within = (F.col("low").isNull() | (F.col("value") >= F.col("low"))) & (
-        F.col("high").isNull() | (F.col("value") <= F.col("high"))
-    )
-    upto = F.col("below") + F.sum("n").over(Window.partitionBy("feature", "number").orderBy("value"))
+        for side, rank in enumerate((b.low_rank, b.high_rank))
+    ])
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy("span").orderBy("value"))
     found = (
-        counts.join(F.broadcast(wanted), "feature")  # one row per wanted rank pair
-        .where(within)
-        .withColumn("upto", upto)
-        .groupBy("feature", "number")
-        .agg(
-            F.min(F.when(F.col("upto") > F.col("low_rank"), F.col("value"))).alias("at_low"),
-            F.min(F.when(F.col("upto") > F.col("high_rank"), F.col("value"))).alias("at_high"),
-        )
+        counts.join(F.broadcast(span_rows), "feature")  # one row per bracket
+        .where("(low IS NULL OR value >= low) AND (high IS NULL OR value <= high)")
+        .select("feature", "span", "value", "n", upto.alias("upto"))
+        .join(F.broadcast(wanted), "span")  # two rows per wanted pair
+        .where("upto > rank AND upto - n <= rank")
+        .select("feature", "number", "side", "value")
         .collect()
     )
-    result: dict[str, list] = {feature: [None] * len(pairs) for feature, pairs in ranks.items()}
-    for row in found:
-        result[row["feature"]][row["number"]] = (row["at_low"], row["at_high"])
-    return result
+    values = {(r["feature"], r["number"], r["side"]): r["value"] for r in found}
+    return {f: [(values[f, i, 0], values[f, i, 1]) for i in range(len(pairs))] for f, pairs in ranks.items()}
+
+
+def _end(bound: float | None) -> str:
+    return "CAST(NULL AS double)" if bound is None else f"double('{bound!r}')"
+
+
+def _inline(rows: DataFrame, structs: Sequence[str]) -> DataFrame:
+    return rows.sparkSession.range(1).selectExpr(f"inline(array({', '.join(structs)}))")

@@ -17,7 +17,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -66,24 +66,29 @@ def ngrams(tokens: Column, ngram_max: int) -> Column:
     return F.flatten(F.array(*lists))
 
 
-def term_counts(df: DataFrame, doc: str, text: str, ngram_max: int = 2) -> DataFrame:
-    """(doc, term, tf). Repeats of a term collapse within a task before the shuffle."""
-    tokens = df.select(doc, words(F.col(text)).alias("_words"))
-    return (
-        tokens.select(doc, F.explode(ngrams(F.col("_words"), ngram_max)).alias("term"))
-        .groupBy(doc, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+def _terms(df: DataFrame, text: str, ngram_max: int, *keep: str) -> DataFrame:
+    """One row per document with all its terms."""
+    return df.select(*keep, words(F.col(text)).alias("_words")).select(*keep, ngrams(F.col("_words"), ngram_max).alias("_terms"))
 
 
 def vocabulary(
-    counts: DataFrame, documents: Column | int, min_df: int = 5, max_features: int = MAX_FEATURES
+    df: DataFrame, text: str, ngram_max: int = 2, min_df: int = 5, max_features: int = MAX_FEATURES
 ) -> DataFrame:
-    """Top terms by corpus frequency among those in at least ``min_df`` documents, with idf."""
-    total = F.lit(documents) if isinstance(documents, int) else documents
+    """Top terms by corpus frequency among those in at least ``min_df`` documents, with idf.
+
+    A row is a document, so its distinct terms are found inside the row: each term list is
+    exploded followed by its distinct terms, and one aggregate by term counts both parts.
+    Only per-task term totals are shuffled, never (document, term) pairs.
+    """
+    terms = _terms(df, text, ngram_max)
+    marked = terms.select(
+        F.size("_terms").alias("_size"), F.posexplode(F.concat("_terms", F.array_distinct("_terms"))).alias("_at", "term")
+    )
+    repeat = F.col("_at") < F.col("_size")
+    total = df.agg(F.count("*")).scalar()
     return (
-        counts.groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("corpus_tf"))
+        marked.groupBy("term")
+        .agg(F.count_if(~repeat).alias("df"), F.count_if(repeat).alias("corpus_tf"))
         .where(F.col("df") >= min_df)
         .orderBy(F.desc("corpus_tf"), "term")
         .limit(max_features)
@@ -96,15 +101,20 @@ def tfidf_weights(
 ) -> DataFrame:
     """L2-normalized weight of every vocabulary term in every document.
 
-    The vocabulary is limited to ``max_features`` rows, hence the broadcast.
+    The vocabulary is limited to ``max_features`` rows, hence the broadcast; terms outside it
+    are dropped before the (document, term) counts are shuffled. All terms of a document came
+    from one row, so its norm is a window over no more than that row held.
     """
-    counts = term_counts(df, doc, text, ngram_max)
-    known = vocabulary(counts, df.agg(F.count("*")).scalar(), min_df, max_features)
-    weighted = counts.join(F.broadcast(known.select("term", "idf")), "term").withColumn(
-        "raw", F.col("tf") * F.col("idf")
+    known = vocabulary(df, text, ngram_max, min_df, max_features).select("term", "idf")
+    weighted = (
+        _terms(df, text, ngram_max, doc)
+        .select(doc, F.explode("_terms").alias("term"))
+        .join(F.broadcast(known), "term")
+        .groupBy(doc, "term")
+        .agg((F.count("*") * F.first("idf")).alias("raw"))
     )
-    norms = weighted.groupBy(doc).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighted.join(norms, doc).select(doc, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(doc)))
+    return weighted.select(doc, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def fit(config: TrainingConfig, rows: DataFrame, text: str = "review_text", label: str = "sentiment",
