@@ -31,6 +31,13 @@ def csv_scan(spark, sf):
     return tables.read_csv(spark, path)
 
 
+def csv_sink(spark, sf):
+    """Written cells read back as plain text."""
+    path = scratch_path(spark, "csv")
+    tables.write_csv(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), path)
+    return spark.read.option("header", True).csv(path)
+
+
 def csv_to_parquet(spark, sf):
     path = scratch_path(spark, "csv")
     tables.write_csv(_raw(spark, sf), path)
@@ -216,7 +223,7 @@ def build_datasets(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (csv_scan, csv_to_parquet, parquet_scan, parquet_sink, json_doc, json_doc_parse, artifact_table,
+    for f in (csv_scan, csv_sink, csv_to_parquet, parquet_scan, parquet_sink, json_doc, json_doc_parse, artifact_table,
               ingest_plan, incoming_override, header_check, file_arrivals, arrival_trigger, event_sink, event_source,
               replay, event_fanout, step_state_stream, cooldown_stream, build_datasets)
 }
@@ -227,6 +234,7 @@ _LAST = ("SELECT flow_run_id, step_name, arg_max(to_state, seq) AS state, max(se
 _KEEP = "unique_id, review_date, rating_bucket, review_length, review_word_count, split"
 ORACLES = {
     "csv_scan": oracle(_RAW, "reviews_raw"),
+    "csv_sink": "SELECT o_orderkey::varchar AS o_orderkey, o_orderpriority, o_orderstatus FROM orders",
     "csv_to_parquet": oracle(_RAW, "reviews_raw"),
     "parquet_scan": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1",
     "parquet_sink": "SELECT * FROM orders",

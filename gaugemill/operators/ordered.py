@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 SEGMENTS = 32
 
 
-def with_segment(df: DataFrame, column: str, segments: int = SEGMENTS) -> DataFrame:
+def with_segment(
+    df: DataFrame, column: str, segments: int = SEGMENTS, cuts_from: DataFrame | None = None
+) -> DataFrame:
     """Add ``_segment``: how many approximate quantile cuts of ``column`` lie at or below it.
 
     The sketch is kept coarse, a few kilobytes per task, since cuts only balance the work.
+    ``cuts_from`` names a cheaper table with about the same spread of ``column``.
     """
     probabilities = [i / segments for i in range(1, segments)]
-    cuts = df.agg(F.array_distinct(F.percentile_approx(column, probabilities, 4 * segments)))
+    cuts = (df if cuts_from is None else cuts_from).agg(F.array_distinct(F.percentile_approx(column, probabilities, 4 * segments)))
     return (
         df.withColumn("_cuts", cuts.scalar())
         .withColumn("_segment", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= F.col(column))), F.lit(0)))
@@ -77,10 +80,11 @@ def running_totals(
 
 
 def with_row_number(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str, segments: int = SEGMENTS
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str, segments: int = SEGMENTS,
+    cuts_from: DataFrame | None = None,
 ) -> DataFrame:
     """1-based position inside each group, ordered by ``order``."""
-    cut = with_segment(df, order[0], segments)
+    cut = with_segment(df, order[0], segments, cuts_from)
     earlier = _before(groups).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*_keys(groups))
@@ -101,9 +105,10 @@ def with_previous(
     order: Sequence[str],
     previous: Mapping[str, str],
     segments: int = SEGMENTS,
+    cuts_from: DataFrame | None = None,
 ) -> DataFrame:
     """Columns of the preceding row of the group: ``{new name: source column}``."""
-    cut = with_segment(df, order[0], segments)
+    cut = with_segment(df, order[0], segments, cuts_from)
     values = F.struct(*[F.col(source).alias(name) for name, source in previous.items()])
     local = Window.partitionBy(*_keys(groups)).orderBy(*order)
     carried = (

@@ -152,13 +152,13 @@ def _step_changes(events: DataFrame) -> DataFrame:
 
 def step_history(events: DataFrame) -> DataFrame:
     """State changes numbered per step, one row each: a history of any length stays distributed."""
-    return with_row_number(_step_changes(events), ["flow_run_id", "step_name"], ["seq"], "position")
+    return with_row_number(_step_changes(events), ["flow_run_id", "step_name"], ["seq"], "position", cuts_from=events)
 
 
 def transition_check(events: DataFrame) -> DataFrame:
     """State changes whose ``from_state`` is not where the step then was."""
     known = with_previous(
-        _step_changes(events), ["flow_run_id", "step_name"], ["seq"], {"current_state": "to_state"}
+        _step_changes(events), ["flow_run_id", "step_name"], ["seq"], {"current_state": "to_state"}, cuts_from=events
     ).withColumn("current_state", F.coalesce("current_state", F.lit("pending")))
     return known.where(F.col("from_state") != F.col("current_state"))
 

@@ -53,7 +53,8 @@ def spread(df: DataFrame) -> DataFrame:
     Tables of many files, as on a cluster, are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    files = len(df._jdf.inputFiles())  # counted in the JVM: the names of a big table stay there
+    return df.repartition(cores) if files < cores else df
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
