@@ -20,8 +20,7 @@ def champion_log(spark, sf):
 
 def champion_global_log(spark, sf):
     """The whole table as one log: a single group as large as the data."""
-    log = _log(spark, sf).withColumn("whole", F.lit(1))
-    return lifecycle.champion_history(log, ["whole"], ["seq"]).select("seq", "run_id", "previous_run_id", "previous_version")
+    return lifecycle.champion_history(_log(spark, sf), [], ["seq"]).select("seq", "run_id", "previous_run_id", "previous_version")
 
 
 def champion_current(spark, sf):

@@ -1,19 +1,23 @@
 """Order-dependent columns inside groups of any size.
 
-A plain ``partitionBy(key)`` window puts a whole group into one task. Here the
-order column is first cut into segments of similar row counts; windows run per
-(group, segment) and a small per-segment table carries values across the cuts.
+A plain ``partitionBy(key)`` window puts a whole group into one task. Here the order
+column of hot groups is first cut into segments of similar row counts; windows run per
+(group, segment) and a small per-segment table carries values across the cuts. Other
+groups form one segment each, so they cost no more than a plain window.
 Group columns must not be null.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENTS = 32
+SEGMENTS = 256
+HOT_SHARE = 0.001  # of all rows: at most a thousand groups can be that large
+HOT_ROWS = 100_000  # smaller groups never need cutting
 
 
 def with_segment(
@@ -25,11 +29,42 @@ def with_segment(
     ``cuts_from`` names a cheaper table with about the same spread of ``column``.
     """
     probabilities = [i / segments for i in range(1, segments)]
-    cuts = (df if cuts_from is None else cuts_from).agg(F.array_distinct(F.percentile_approx(column, probabilities, 4 * segments)))
+    stride = math.isqrt(segments)
+    cuts = (
+        (df if cuts_from is None else cuts_from)
+        .agg(F.array_distinct(F.percentile_approx(column, probabilities, 4 * segments)).alias("fine"))
+        .select(F.struct("fine", F.filter("fine", lambda _, i: i % stride == stride - 1).alias("coarse")))
+    )
+
+    def at_or_below(listed: Column) -> Column:
+        return F.size(F.filter(listed, lambda cut: cut <= F.col(column)))
+
+    # every coarse cut passed stands for ``stride`` fine ones, so few comparisons place a row
     return (
         df.withColumn("_cuts", cuts.scalar())
-        .withColumn("_segment", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= F.col(column))), F.lit(0)))
-        .drop("_cuts")
+        .withColumn("_passed", stride * at_or_below(F.col("_cuts.coarse")))
+        .withColumn(
+            "_segment",
+            F.coalesce(F.col("_passed") + at_or_below(F.slice("_cuts.fine", F.col("_passed") + 1, F.lit(stride))), F.lit(0)),
+        )
+        .drop("_cuts", "_passed")
+    )
+
+
+def _cut_groups(
+    df: DataFrame, groups: Sequence[str], column: str, segments: int, cuts_from: DataFrame | None, hot_rows: int
+) -> DataFrame:
+    """Segments within hot groups only; without groups the whole table is one hot group."""
+    if not groups:
+        return with_segment(df, column, segments, cuts_from)
+    sizes = (df if cuts_from is None else cuts_from).groupBy(*groups).agg(F.count("*").alias("_rows"))
+    share = sizes.agg(F.sum("_rows") * HOT_SHARE).scalar()
+    hot = sizes.where((F.col("_rows") >= hot_rows) & (F.col("_rows") >= share)).select(*groups, F.lit(True).alias("_hot"))
+    marked = df.join(F.broadcast(hot), list(groups), "left")  # at most 1 / HOT_SHARE rows
+    return (
+        with_segment(marked, column, segments, df if cuts_from is None else cuts_from)
+        .withColumn("_segment", F.when(F.col("_hot"), F.col("_segment")).otherwise(0))
+        .drop("_hot")
     )
 
 
@@ -81,10 +116,10 @@ def running_totals(
 
 def with_row_number(
     df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str, segments: int = SEGMENTS,
-    cuts_from: DataFrame | None = None,
+    cuts_from: DataFrame | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """1-based position inside each group, ordered by ``order``."""
-    cut = with_segment(df, order[0], segments, cuts_from)
+    cut = _cut_groups(df, groups, order[0], segments, cuts_from, hot_rows)
     earlier = _before(groups).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*_keys(groups))
@@ -106,9 +141,10 @@ def with_previous(
     previous: Mapping[str, str],
     segments: int = SEGMENTS,
     cuts_from: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Columns of the preceding row of the group: ``{new name: source column}``."""
-    cut = with_segment(df, order[0], segments, cuts_from)
+    cut = _cut_groups(df, groups, order[0], segments, cuts_from, hot_rows)
     values = F.struct(*[F.col(source).alias(name) for name, source in previous.items()])
     local = Window.partitionBy(*_keys(groups)).orderBy(*order)
     carried = (

@@ -51,8 +51,8 @@ def hot(spark):
 
 
 def test_ordered_columns_equal_plain_windows(spark, hot):
-    numbered = ordered.with_row_number(hot, ["g"], ["o"], "n", segments=8)
-    both = ordered.with_previous(numbered, ["g"], ["o"], {"before": "id"}, segments=8)
+    numbered = ordered.with_row_number(hot, ["g"], ["o"], "n", segments=9, hot_rows=100)
+    both = ordered.with_previous(numbered, ["g"], ["o"], {"before": "id"}, segments=9, hot_rows=100)
     hot.createOrReplaceTempView("hot_rows")
     plain = spark.sql(
         "select g, id, o, row_number() over (partition by g order by o) n, lag(id) over (partition by g order by o) before from hot_rows")
@@ -60,6 +60,18 @@ def test_ordered_columns_equal_plain_windows(spark, hot):
         map(tuple, plain.collect()), key=repr)
 
 
+def test_only_hot_groups_are_cut(spark, hot):
+    cut = ordered._cut_groups(hot, ["g"], "o", 16, None, 100).groupBy("g").agg(F.countDistinct("_segment").alias("n"))
+    sizes = {r["g"]: r["n"] for r in cut.collect()}
+    assert sizes.pop("hot") > 8 and set(sizes.values()) == {1}
+
+
+def test_whole_table_as_one_group(hot):
+    numbered = ordered.with_row_number(hot, [], ["o"], "n", segments=10)
+    rows = sorted(numbered.collect(), key=lambda r: r["o"])
+    assert [r["n"] for r in rows] == list(range(1, 3001))
+
+
 def test_running_totals(spark, hot):
     got = ordered.running_totals(hot, "o", {"upto": "id"}, segments=8)
     total = 0
