@@ -251,7 +251,7 @@ FROM (SELECT o_orderkey, o_orderkey % 2 = 0 AS has_incoming, o_orderkey % 3 > 0
 SELECT 'full' AS kind, true AS valid, false AS empty, '' AS missing
 UNION ALL SELECT 'short', false, false, 'date,usefulCount'
 UNION ALL SELECT 'void', false, true, 'condition,date,drugName,rating,review,uniqueID,usefulCount'""",
-    "file_arrivals": "SELECT true AS found, 0 AS empty",
+    "file_arrivals": "SELECT true AS found, 0::bigint AS empty",
     "arrival_trigger": oracle(_RAW + " WHERE uniqueID % 3 > 0", "reviews_raw"),
     "event_sink": oracle("SELECT type, seq FROM run_events WHERE type <> 'LogChunk'", "run_events"),
     "event_source": oracle("SELECT type, flow_run_id, seq, step_name, to_state, cast(len(step_names) AS int) AS names FROM run_events "
