@@ -28,11 +28,11 @@ def with_segment(
     The sketch is kept coarse, a few kilobytes per task, since cuts only balance the work.
     ``cuts_from`` names a cheaper table with about the same spread of ``column``.
     """
-    probabilities = [i / segments for i in range(1, segments)]
+    probabilities = ", ".join(f"{i / segments!r}D" for i in range(1, segments))
     stride = math.isqrt(segments)
     cuts = (
         (df if cuts_from is None else cuts_from)
-        .agg(F.array_distinct(F.percentile_approx(column, probabilities, 4 * segments)).alias("fine"))
+        .agg(F.expr(f"array_distinct(percentile_approx(`{column}`, array({probabilities}), {4 * segments})) AS fine"))
         .select(F.struct("fine", F.filter("fine", lambda _, i: i % stride == stride - 1).alias("coarse")))
     )
 
