@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe, linededup, rules, wordpiece
+from gaugemill.llm import bpe, linededup, rules, substrings, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words before and lost, and the hash of what is kept, of every document."""
+    return substrings.cut_passages(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines before and lost, and the hash of what is kept, of every document."""
     return linededup.drop_shared_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -67,6 +73,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
 """.replace(":bits", " + ".join(f"CASE WHEN {c} THEN {1 << k} ELSE 0 END::BIGINT" for k, c in enumerate(rules.RULES.values())))
 
+_OP6 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, i, list_slice(words, i, i + 49) AS win FROM d, LATERAL (SELECT unnest(range(1, len(words) - 48)) AS i)),
+h AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY sha256(array_to_string(win, ' '))) AS first FROM w),
+c AS (SELECT DISTINCT doc_id, i + o AS i FROM h, range(50) t(o) WHERE doc_id > first),
+k AS (SELECT d.doc_id, n.i, d.words[n.i] AS word, c.i IS NOT NULL AS lost
+      FROM d, LATERAL (SELECT unnest(range(1, len(words) + 1)) AS i) n LEFT JOIN c ON c.doc_id = d.doc_id AND c.i = n.i)
+SELECT d.doc_id, len(d.words) AS n_words, count(*) FILTER (k.lost) AS n_removed,
+  sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.i) FILTER (NOT k.lost), '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, len(d.words)
+"""
+
 _OP7 = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
@@ -78,5 +96,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
 FROM k GROUP BY doc_id
 """
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op3_quality_rules, op7_line_dedup, op9_byte_bpe)}
-ORACLES = {"op3_quality_rules": _OP3, "op7_line_dedup": _OP7}
+QUERIES = {q.__name__: q for q in (op1_token_counts, op3_quality_rules, op6_substring_dedup, op7_line_dedup, op9_byte_bpe)}
+ORACLES = {"op3_quality_rules": _OP3, "op6_substring_dedup": _OP6, "op7_line_dedup": _OP7}
