@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe, linededup, rules, substrings, wordpiece
+from gaugemill.llm import bpe, linededup, rules, substrings, suffixes, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes before and lost, removed runs, and the hash of what is kept, of every document."""
+    return suffixes.cut_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, the hash of its ids, and the hash of what they decode to."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -96,5 +102,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
 FROM k GROUP BY doc_id
 """
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op3_quality_rules, op6_substring_dedup, op7_line_dedup, op9_byte_bpe)}
+QUERIES = {q.__name__: q for q in (op1_token_counts, op3_quality_rules, op6_substring_dedup, op7_line_dedup, op8_suffix_dedup, op9_byte_bpe)}
 ORACLES = {"op3_quality_rules": _OP3, "op6_substring_dedup": _OP6, "op7_line_dedup": _OP7}
