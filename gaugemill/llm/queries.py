@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe, linededup, rules, substrings, suffixes, wordpiece
+from gaugemill.llm import bpe, htmltext, linededup, rules, substrings, suffixes, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(_table(spark, sf_dir, "documents"), pieces, ["doc_id"])
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"]).withColumn(
+        "n_chars", F.char_length("text").cast("long"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document, under the base and the strict policy."""
     entries = rules.ledger(_table(spark, sf_dir, "documents"), ["doc_id"])
@@ -102,5 +108,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
 FROM k GROUP BY doc_id
 """
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op3_quality_rules, op6_substring_dedup, op7_line_dedup, op8_suffix_dedup, op9_byte_bpe)}
+QUERIES = {q.__name__: q for q in (op1_token_counts, op2_html_text, op3_quality_rules, op6_substring_dedup, op7_line_dedup, op8_suffix_dedup, op9_byte_bpe)}
 ORACLES = {"op3_quality_rules": _OP3, "op6_substring_dedup": _OP6, "op7_line_dedup": _OP7}
