@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe, htmltext, linededup, rules, substrings, suffixes, wordpiece
+from gaugemill.llm import bpe, htmltext, jaccard, linededup, rules, substrings, suffixes, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of every document and the smallest id of its group of near duplicates."""
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 _BLANK = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
 _OP3 = r"""
@@ -108,5 +114,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
 FROM k GROUP BY doc_id
 """
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op2_html_text, op3_quality_rules, op6_substring_dedup, op7_line_dedup, op8_suffix_dedup, op9_byte_bpe)}
+QUERIES = {q.__name__: q for q in (op1_token_counts, op2_html_text, op3_quality_rules, op6_substring_dedup, op7_line_dedup, op8_suffix_dedup, op9_byte_bpe, op10_jaccard_join)}
 ORACLES = {"op3_quality_rules": _OP3, "op6_substring_dedup": _OP6, "op7_line_dedup": _OP7}

@@ -20,6 +20,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: A 64-bit value for each byte, drawn once by a fixed seed.
 BYTE_VALUES = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _IS_BLANK = np.isin(np.arange(256), np.frombuffer(BLANKS.encode(), np.uint8))
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: Bits of an entry that name a place; the rest compare parts. Longer inputs are worked on in overlapping chunks.
 _PLACE_BITS = 24
 CHUNK = 1 << (_PLACE_BITS - 1)
@@ -69,9 +70,11 @@ class Prefixes:
         return mixed(found + _U(length * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash value for each word of all texts, and the index at which each text's words begin (one entry more)."""
+def words_of(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A hash value for each word of all texts, A-Z ``lower``-cased or not, and the index at which each text's words
+    begin (one entry more)."""
     data, texts = text_bytes(column)
+    data = _LOWER[data] if lower else data
     solid = ~_IS_BLANK[data]
     first = np.zeros(len(data) + 1, bool)
     first[texts] = True
@@ -120,6 +123,18 @@ def runs(values: np.ndarray, texts: np.ndarray, window: int, part: int) -> dict[
     return {k: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in names}
 
 
+def shingles(values: np.ndarray, texts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``size`` consecutive words, and the text each is in; a text of fewer words has one, of all of them."""
+    counts = np.diff(texts)
+    sums = Prefixes(values)
+    whole = np.maximum(counts - size + 1, 0)
+    of = np.repeat(np.arange(len(counts)), whole)
+    start = texts[of] + np.arange(len(of)) - np.repeat(np.cumsum(whole) - whole, whole)
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    return (np.concatenate([sums.of(start, start + size), sums.of(texts[short], texts[short + 1])]),
+            np.concatenate([of, short]))
+
+
 def spans(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal stretches of true entries."""
     edges = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
