@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe, htmltext, jaccard, linededup, rules, substrings, suffixes, wordpiece
+from gaugemill.llm import bpe, decontaminate, htmltext, jaccard, linededup, rules, substrings, suffixes, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the window that is most like it."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words before and lost, and the hash of what is kept, of every document."""
     return substrings.cut_passages(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -91,6 +96,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
 """.replace(":bits", " + ".join(f"CASE WHEN {c} THEN {1 << k} ELSE 0 END::BIGINT" for k, c in enumerate(rules.RULES.values())))
 
+_OP5 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+i AS (SELECT item_id, w, len(w) AS l, least(len(w), 5) AS k, len(w) - least(len(w), 5) + 1 AS n FROM b WHERE len(w) > 0),
+ig AS (SELECT item_id, g, k, n, l, count(*) AS c FROM
+        (SELECT item_id, k, n, l, array_to_string(w[o:o + k - 1], ' ') AS g FROM i, LATERAL (SELECT unnest(range(1, n + 1)) AS o)) GROUP BY ALL),
+dg AS (SELECT doc_id, k, o, array_to_string(w[o:o + k - 1], ' ') AS g, len(w) AS dl
+       FROM d, (SELECT DISTINCT k FROM i) s, LATERAL (SELECT unnest(range(1, greatest(len(w) - k + 2, 1))) AS o)),
+s AS (SELECT DISTINCT doc_id, item_id, k, n, l, o - z AS start
+      FROM (SELECT doc_id, item_id, ig.k, n, l, o, dl FROM dg JOIN ig ON dg.g = ig.g AND dg.k = ig.k), LATERAL (SELECT unnest(range(0, n)) AS z)
+      WHERE o - z >= 1 AND o - z + l - 1 <= dl),
+v AS (SELECT s.doc_id, s.item_id, s.n, s.l, s.start, dg.g, count(*) AS c
+      FROM s JOIN dg ON s.doc_id = dg.doc_id AND s.k = dg.k AND dg.o BETWEEN s.start AND s.start + s.n - 1 GROUP BY ALL),
+m AS (SELECT v.doc_id, v.item_id, v.n, v.l, v.start, sum(least(v.c, ig.c)) AS common
+      FROM v JOIN ig ON v.item_id = ig.item_id AND v.g = ig.g GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common DESC, start) AS place FROM m WHERE 100 * common >= 75 * (2 * n - common))
+SELECT doc_id, item_id, (start - 1)::BIGINT AS start, l::BIGINT AS n_words, common::DOUBLE / (2 * n - common)::DOUBLE AS similarity FROM r WHERE place = 1
+"""
+
 _OP6 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 w AS (SELECT doc_id, i, list_slice(words, i, i + 49) AS win FROM d, LATERAL (SELECT unnest(range(1, len(words) - 48)) AS i)),
@@ -114,5 +138,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
 FROM k GROUP BY doc_id
 """
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op2_html_text, op3_quality_rules, op6_substring_dedup, op7_line_dedup, op8_suffix_dedup, op9_byte_bpe, op10_jaccard_join)}
-ORACLES = {"op3_quality_rules": _OP3, "op6_substring_dedup": _OP6, "op7_line_dedup": _OP7}
+QUERIES = {q.__name__: q for q in (op1_token_counts, op2_html_text, op3_quality_rules, op5_decontamination, op6_substring_dedup, op7_line_dedup, op8_suffix_dedup, op9_byte_bpe, op10_jaccard_join)}
+ORACLES = {"op3_quality_rules": _OP3, "op5_decontamination": _OP5, "op6_substring_dedup": _OP6, "op7_line_dedup": _OP7}
