@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe, decontaminate, htmltext, jaccard, linededup, rules, substrings, suffixes, wordpiece
+from gaugemill.llm import bpe, decontaminate, htmltext, jaccard, linededup, ruleensemble, rules, substrings, suffixes, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from the labels of four fifths."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = ruleensemble.fit(docs, labels.where(~held_out))
+    scored = ruleensemble.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the window that is most like it."""
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -138,5 +148,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
 FROM k GROUP BY doc_id
 """
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op2_html_text, op3_quality_rules, op5_decontamination, op6_substring_dedup, op7_line_dedup, op8_suffix_dedup, op9_byte_bpe, op10_jaccard_join)}
+QUERIES = {q.__name__: q for q in (op1_token_counts, op2_html_text, op3_quality_rules, op4_quality_classifier, op5_decontamination, op6_substring_dedup, op7_line_dedup, op8_suffix_dedup, op9_byte_bpe, op10_jaccard_join)}
 ORACLES = {"op3_quality_rules": _OP3, "op5_decontamination": _OP5, "op6_substring_dedup": _OP6, "op7_line_dedup": _OP7}
