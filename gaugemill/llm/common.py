@@ -33,6 +33,13 @@ def with_row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     })
 
 
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns that clash with ``names`` renamed, and what they were called: withColumnsRenamed undoes it."""
+    taken = {n.lower() for n in names}
+    renamed = {c: f"__gm_own_{c}" for c in df.columns if c.lower() in taken}
+    return df.withColumnsRenamed(renamed), {new: old for old, new in renamed.items()}
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, everything else unchanged."""
     return F.translate(text, UPPER, LOWER)

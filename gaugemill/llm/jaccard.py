@@ -313,3 +313,21 @@ def near_duplicates(
         F.col(ID).alias("__gm_of"), F.col(ROW).alias("__gm_in"), F.col("n").cast("long").alias(size_as),
         F.when(F.col("n") > 0, F.col(group_as)).otherwise(F.col(ID)).alias(group_as)).distinct()
     return rows.join(grouped, (F.col(ID) == F.col("__gm_of")) & (F.col(ROW) == F.col("__gm_in")), "left").drop(ID, ROW, "__gm_of", "__gm_in")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that of the smallest id; columns stay as they are.
+
+    Of rows with this id one is kept, the one with the smallest text hash. Texts without words are in no group and stay.
+    """
+    size, group = "__gm_size", "__gm_group"
+    grouped = with_row_keys(near_duplicates(docs, id_col, text_col, shingle, percent, size, group), id_col, text_col)
+    heads = (
+        grouped.where(f"{size} > 0 and {ID} = {group}").groupBy(F.col(ID).alias("__gm_of")).agg(F.min(ROW).alias("__gm_in"))
+    )
+    alone = grouped.where(f"{size} = 0")
+    first = (
+        grouped.where(f"{size} > 0 and {ID} = {group}").join(heads, F.col(ID) == F.col("__gm_of")).where(f"{ROW} = __gm_in")
+        .drop("__gm_of", "__gm_in").dropDuplicates([ID, ROW])
+    )
+    return first.unionByName(alone).select(*docs.columns)

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugemill.llm.textstats import measure
+from gaugemill.llm.common import set_aside
+from gaugemill.llm.textstats import MEASURES, measure
 
 #: The rules in bit order. Each is a condition on the measurements that holds for a bad text.
 RULES: dict[str, str] = {
@@ -60,6 +61,15 @@ def passes(policy: Policy, bits: str = "failed_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(policy.mask)) == 0
 
 
+def passing(docs: DataFrame, policy: Policy, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, all their columns unchanged, whatever these are called."""
+    own, back = set_aside(docs, [*MEASURES, "failed_bits"])
+    text = next((new for new, old in back.items() if old == text_col), text_col)
+    # the text itself is measured under a name of its own, so that it can also be kept
+    entries = ledger(own.withColumn("__gm_text", F.col(text)), own.columns, "__gm_text")
+    return entries.where(passes(policy)).select(*own.columns).withColumnsRenamed(back)
+
+
 def ablations(entries: DataFrame, policy: Policy, bits: str = "failed_bits") -> DataFrame:
     """For each enforced rule: rows that fail it, and rows that only this rule rejects.
 
