@@ -19,6 +19,8 @@ MOST_SMALL = 12
 #: One text in so many is looked at for frequent shingles, of which at most HOT come last in the order of shingles.
 #: This order decides about speed only: any order gives the same links.
 SAMPLED, SEEN, HOT = 16, 4, 1 << 18
+#: Pairs left in lists, per entry of all lists, from which leaders are compared before all pairs are.
+PAIRS_A_ROW = 100
 #: Rows up to which the texts to compare are picked by a broadcast list of their keys; beyond, by a shuffled join.
 PICKED_BY_BROADCAST = 500_000
 
@@ -206,7 +208,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = stage(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("least")), "component-least")
         links = stage(  # larger neighbours, to the smallest of all neighbours
             both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), "component-large")
-        least = stage(links.groupBy("a").agg(F.min("b").alias("least")), "component-least")
+        least = links.groupBy("a").agg(F.min("b").alias("least"))  # few neighbours of a node are smaller now
         small = links.join(least, "a")
         links = stage(  # smaller neighbours, and the node, to the smallest of them
             small.where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -219,15 +221,15 @@ def components(edges: DataFrame) -> DataFrame:
     return stage(links.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots), "components")
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return lists.withColumn("comp", F.col("node"))
-    return lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+def _pairs_left(open_: DataFrame) -> int:
+    """Pairs of sets that stand in one of the lists, each counted in each."""
+    sizes = open_.groupBy("shingle").count()
+    return int(sizes.agg(F.sum((F.col("count") * (F.col("count") - 1) / 2).cast("double"))).first()[0] or 0)
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The inverted lists whose sets are not yet all in one group."""
-    known = stage(_labelled(lists, labels), "jaccard-labelled")
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The inverted lists whose sets are not yet all in one group, each set with its group ``comp``."""
+    known = stage(lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-labelled")
     still = known.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
     return stage(known.join(stage(still, "jaccard-open"), "shingle"), "jaccard-lists")
 
@@ -270,10 +272,18 @@ def near_duplicates(
     Links are found by size. Sets up to a boundary, chosen by cost, enumerate the subsets that prove a link. Larger ones
     stand in inverted lists of their first shingles, in an order that puts frequent ones last. Lists are first
     joined with one leading set each, turn by turn, so that a group of near copies falls together without pairing its members;
-    once turns bring little, all pairs that are left between different groups are compared. Links within a group that is known already
+    once the pairs left between different groups are few for the size of the lists, all of them are compared. Links within a group that is known already
     change nothing and are not looked for. Similarities are counted on whole sets; shingles are hashes of 62 bits.
     """
-    rows = with_row_keys(docs.drop(size_as, group_as), id_col, text_col)
+    return _grouped(docs.drop(size_as, group_as), id_col, text_col, shingle, percent, size_as, group_as).drop(ID, ROW, _GROUP)
+
+
+#: The node that names a group inside; an id does not where rows of one id lie in several.
+_GROUP = "__gm_comp"
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, size_as: str, group_as: str) -> DataFrame:
+    rows = with_row_keys(docs, id_col, text_col)
     hot = _frequent(rows, text_col, shingle)
     base = stage(_prefixes(rows, text_col, shingle, percent, hot, MOST_SMALL), "jaccard-base")
     given = base.where(F.size("prefix") > 0)
@@ -293,26 +303,23 @@ def near_duplicates(
             union = union.unionByName(more)
         return union
 
-    turn, labels = 0, None
-    while True:
-        open_ = _open_lists(lists, labels)
+    turn, open_, entered = 0, lists.withColumn("comp", F.col("node")), lists.count()
+    while _pairs_left(open_) > PAIRS_A_ROW * entered:
         pairs = stage(_to_hubs(open_, turn, percent), "jaccard-pairs")
-        links = stage(_verified(rows, reps, pairs, text_col, shingle, percent), "jaccard-links")
-        found.append(links)
-        labels = components(all_links())
+        found.append(stage(_verified(rows, reps, pairs, text_col, shingle, percent), "jaccard-links"))
         turn += 1
-        linked = links.count()
-        if not linked or 20 * linked < pairs.count():  # most leaders are strangers now
+        open_ = _open_lists(lists, components(all_links()))
+        if 10 * found[-1].count() < pairs.count():  # most leaders are strangers to what is left
             break
-    rest = stage(_within_lists(_open_lists(lists, labels), percent, boundary), "jaccard-pairs")
+    rest = stage(_within_lists(open_, percent, boundary), "jaccard-pairs")
     found.append(stage(_verified(rows, reps, rest, text_col, shingle, percent), "jaccard-links"))
     labels = components(all_links())
     members = stage(base.select(ID, ROW, "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-members")
     smallest = stage(members.where("n > 0").groupBy("comp").agg(F.min(ID).alias(group_as)), "jaccard-smallest")
     grouped = members.join(smallest, "comp", "left").select(
-        F.col(ID).alias("__gm_of"), F.col(ROW).alias("__gm_in"), F.col("n").cast("long").alias(size_as),
+        F.col(ID).alias("__gm_of"), F.col(ROW).alias("__gm_in"), F.col("n").cast("long").alias(size_as), F.col("comp").alias(_GROUP),
         F.when(F.col("n") > 0, F.col(group_as)).otherwise(F.col(ID)).alias(group_as)).distinct()
-    return rows.join(grouped, (F.col(ID) == F.col("__gm_of")) & (F.col(ROW) == F.col("__gm_in")), "left").drop(ID, ROW, "__gm_of", "__gm_in")
+    return rows.join(grouped, (F.col(ID) == F.col("__gm_of")) & (F.col(ROW) == F.col("__gm_in")), "left").drop("__gm_of", "__gm_in")
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -321,13 +328,11 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Of rows with this id one is kept, the one with the smallest text hash. Texts without words are in no group and stay.
     """
     size, group = "__gm_size", "__gm_group"
-    grouped = with_row_keys(near_duplicates(docs, id_col, text_col, shingle, percent, size, group), id_col, text_col)
-    heads = (
-        grouped.where(f"{size} > 0 and {ID} = {group}").groupBy(F.col(ID).alias("__gm_of")).agg(F.min(ROW).alias("__gm_in"))
-    )
-    alone = grouped.where(f"{size} = 0")
+    grouped = _grouped(docs, id_col, text_col, shingle, percent, size, group)
+    heads = grouped.where(f"{size} > 0 and {ID} = {group}")
+    chosen = heads.groupBy(F.col(_GROUP).alias("__gm_of")).agg(F.min(ROW).alias("__gm_in"))
     first = (
-        grouped.where(f"{size} > 0 and {ID} = {group}").join(heads, F.col(ID) == F.col("__gm_of")).where(f"{ROW} = __gm_in")
-        .drop("__gm_of", "__gm_in").dropDuplicates([ID, ROW])
+        heads.join(chosen, (F.col(_GROUP) == F.col("__gm_of")) & (F.col(ROW) == F.col("__gm_in")))
+        .dropDuplicates([_GROUP])
     )
-    return first.unionByName(alone).select(*docs.columns)
+    return first.select(*docs.columns).unionByName(grouped.where(f"{size} = 0").select(*docs.columns))
