@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from checks.views import oracle, table, view
 from gaugemill.operators import evaluation, splits, textmodel
+from gaugemill.operators.quality import GateFailed, ks_statistic
 from gaugemill.operators.textmodel import TrainingConfig
 from gaugemill.plans import experiments, models
 from gaugemill.plans.workspace import Workspace, config_version_id
@@ -19,6 +20,8 @@ from gaugemill.session import scratch_path
 
 # The labelled stand-in is a tenth of a review table, and so is the guard on its size.
 _MIN_ROWS = 50
+# Labels do not follow from these texts, so no model is ever nine tenths sure of them.
+_SURE = 0.6
 _FIRST = TrainingConfig(C=1.0, ngram_max=2, min_df=5)
 _SECOND = TrainingConfig(C=0.05, ngram_max=1, min_df=20)
 _kept: dict[tuple[int, str], SimpleNamespace] = {}
@@ -76,10 +79,28 @@ def train_job(spark, sf):
 
 def train_versioned(spark, sf):
     kept = _data(spark, sf)
-    models.train_versioned(kept.ws, _SECOND, kept.data, _MIN_ROWS, check_quality=False)
+    models.train_versioned(kept.ws, _SECOND, _steady(kept), _MIN_ROWS)
     return spark.read.parquet(kept.ws.path("artifacts")).select("name", "payload")
 
 
+def _steady(kept):
+    """Splits that pass the quality gates: the current one is spread as the reference is."""
+    return SimpleNamespace(reference=kept.data.reference, training=kept.data.training, current=kept.data.reference)
+
+
+def quality_gate_stops_training(spark, sf):
+    """The current split's ratings differ from the reference, which the first gate must say."""
+    kept = _data(spark, sf)
+    try:
+        models.train_versioned(kept.ws, _SECOND, kept.data, _MIN_ROWS)
+        said = None
+    except GateFailed as failed:
+        said = str(failed)
+    ks = ks_statistic(kept.data.reference.select("rating", F.lit(True).alias("ref")).unionByName(
+        kept.data.current.select("rating", F.lit(False).alias("ref"))), "rating", "ref")
+    return ks.select((F.col("ks") > 0.02).alias("must_stop"), F.lit(said is not None).alias("stopped"))
+
+
 def model_store(spark, sf):
     """A stored model reloaded: rows on which it disagrees with the one in memory."""
     kept = _data(spark, sf)
@@ -108,13 +129,13 @@ def batch_predict(spark, sf):
 
 def confident_sample(spark, sf):
     kept = _data(spark, sf)
-    return textmodel.confident_sample(textmodel.predict(kept.model, kept.rows), "unique_id", above=0.6).select(
+    return textmodel.confident_sample(textmodel.predict(kept.model, kept.rows), "unique_id", above=_SURE).select(
         "unique_id", "prediction", "probabilities")
 
 
 def negation_shift(spark, sf):
     kept = _data(spark, sf)
-    return textmodel.negation_check(kept.model, textmodel.predict(kept.model, kept.rows), "unique_id", above=0.6)
+    return textmodel.negation_check(kept.model, textmodel.predict(kept.model, kept.rows), "unique_id", above=_SURE)
 
 
 def invariance_agreement(spark, sf):
@@ -158,10 +179,10 @@ def promotion_run(spark, sf):
 def adaptation_job(spark, sf):
     """The closed loop on a current segment whose lengths have drifted."""
     kept = _data(spark, sf)
-    drifted = kept.data.current.withColumn("review_length", F.col("review_length") * 20)
+    drifted = _steady(kept).current.withColumn("review_length", F.col("review_length") * 20)
     data = SimpleNamespace(reference=kept.data.reference, training=kept.data.training, current=drifted)
     for now in (1_000_000.0, 1_000_100.0):
-        models.adapt(kept.ws, data, _SECOND, "adapt-check", now, min_rows=_MIN_ROWS, check_quality=False)
+        models.adapt(kept.ws, data, _SECOND, "adapt-check", now, min_rows=_MIN_ROWS)
     return spark.read.parquet(kept.ws.path("adaptation_log")).drop("seq")
 
 
@@ -175,7 +196,7 @@ def experiment_run(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (tfidf_vocabulary, tfidf, min_rows_guard, train_logreg, train_job, train_versioned, model_store, model_catalog,
+    for f in (tfidf_vocabulary, tfidf, min_rows_guard, train_logreg, train_job, train_versioned, quality_gate_stops_training, model_store, model_catalog,
               ensure_model, batch_predict, confident_sample, negation_shift, invariance_agreement, champion_score,
               model_margin, select_job, ab_job, promotion_run, adaptation_job, experiment_run)
 }
@@ -192,5 +213,6 @@ ORACLES = {
     "tfidf_vocabulary": _TERMS + "SELECT term, df, corpus_tf, round(idf, 9) AS idf FROM v",
     "tfidf": _TERMS + """, raw AS (SELECT doc_id, term, tf * idf AS r FROM counts JOIN v USING (term))
 SELECT doc_id, term, round(r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)), 9) AS weight FROM raw""",
+    "quality_gate_stops_training": "SELECT true AS must_stop, true AS stopped",
     "min_rows_guard": oracle("SELECT count(*) AS rows, count(*) >= 1000 AS passed FROM reviews_raw WHERE rating >= 7 OR rating <= 4", "reviews_raw"),
 }

@@ -121,7 +121,7 @@ tree AS (SELECT flow_run_id AS run_id, flow_run_id AS root_id, 0 AS depth, lpad(
          FROM runs WHERE parent_flow_run_id IS NULL
   UNION ALL
   SELECT r.flow_run_id, t.root_id, t.depth + 1,
-         t.path || '/' || lpad(s.step_position::varchar, 6, '0') || '.' || lpad(r.created_seq::varchar, 19, '0')
+         t.path || '/' || lpad(s.step_position::varchar, 10, '0') || '.' || lpad(r.created_seq::varchar, 19, '0')
   FROM tree t JOIN runs r ON r.parent_flow_run_id = t.run_id
   JOIN seeds s ON s.flow_run_id = r.parent_flow_run_id AND s.step_name = r.parent_step_name)
 """
@@ -157,7 +157,7 @@ WHERE e.type NOT IN ('FlowRunCreated', 'LogChunk') AND (n.step_names IS NULL
 SELECT root_id, path, repeat('    ', depth) || flow_name || ' [' || state || '] (' || run_id || ')' AS line
 FROM tree JOIN runs ON flow_run_id = run_id
 UNION ALL
-SELECT root_id, path || '/' || lpad(step_position::varchar, 6, '0'), repeat('    ', depth) || '  - ' || step_name || ': ' || state
+SELECT root_id, path || '/' || lpad(step_position::varchar, 10, '0'), repeat('    ', depth) || '  - ' || step_name || ': ' || state
   || case when exit_code IS NULL then '' else ' exit=' || exit_code end FROM tree JOIN steps ON flow_run_id = run_id""", _TREE, True),
     "exit_class": _fold("SELECT flow_run_id, step_name, exit_code, case when exit_code = 0 OR (exit_code = 64 AND step_name IN ('click', 'view')) "
                         "then 'succeeded' else 'failed' end AS outcome FROM steps WHERE exit_code IS NOT NULL"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugemill.session import stage
+from gaugemill.session import scratch_path, stage
 
 
 class CycleError(ValueError):
@@ -20,28 +20,13 @@ def _sortable(number: Column, width: int) -> Column:
     return F.lpad(number.cast("string"), width, "0")
 
 
-def _without_cycles(pending: DataFrame) -> DataFrame:
-    """Rows (run_id, up, ...) whose pointers lead out of ``pending`` in the end."""
-    limit = pending.count()
-    pointers, hops = pending.select("run_id", "up"), 1
-    while hops <= limit:
-        ahead = pointers.select(F.col("run_id").alias("up"), F.col("up").alias("_up"))
-        pointers = stage(
-            pointers.join(ahead, "up", "left").select("run_id", F.col("_up").alias("up")), "run-pointers"
-        )
-        hops *= 2
-    return pending.join(pointers.where(F.col("up").isNull()), "run_id", "left_semi")
-
-
-_ROUNDS_BEFORE_CYCLE_CHECK = 6
-
-
 def run_tree(runs: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """Root, depth and sortable path of every run below a root.
 
     Pointer doubling: each round replaces a run's pointer by its pointer's pointer and
-    glues the paths, so a tree of depth d takes about log2(d) rounds. Runs on a cycle or
-    below an unknown parent hang under no root and are left out. With ``steps`` the path
+    glues the paths, so a tree of depth d takes about log2(d) rounds. A round after which as many runs as
+    before wait for a root has only cycles left: above any deep run there is one at every smaller depth. Runs on
+    a cycle or below an unknown parent hang under no root and are left out. With ``steps`` the path
     sorts children under their parent step, as the report prints them.
     """
     own = _sortable(F.col("created_seq"), 19)
@@ -55,7 +40,7 @@ def run_tree(runs: DataFrame, steps: DataFrame | None = None) -> DataFrame:
         linked = runs.join(places, ["parent_flow_run_id", "parent_step_name"], "left").where(
             F.col("parent_flow_run_id").isNull() | F.col("_at").isNotNull()
         )
-        own = F.when(F.col("_at").isNull(), own).otherwise(F.concat(_sortable(F.col("_at"), 6), F.lit("."), own))
+        own = F.when(F.col("_at").isNull(), own).otherwise(F.concat(_sortable(F.col("_at"), 10), F.lit("."), own))
     known = stage(
         linked.select(
             F.col("flow_run_id").alias("run_id"),
@@ -66,14 +51,13 @@ def run_tree(runs: DataFrame, steps: DataFrame | None = None) -> DataFrame:
         ),
         "run-tree",
     )
-    rounds = 0
+    before = None
     while True:
         pending = known.where(F.col("up").isNotNull())
-        if pending.isEmpty():
-            return known.select("run_id", F.col("top").alias("root_id"), "depth", "path")
-        rounds += 1
-        if rounds == _ROUNDS_BEFORE_CYCLE_CHECK:
-            pending = _without_cycles(pending)
+        waiting = pending.count()
+        if waiting in (0, before):
+            return known.where(F.col("up").isNull()).select("run_id", F.col("top").alias("root_id"), "depth", "path")
+        before = waiting
         ancestors = known.select(
             F.col("run_id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"),
             F.col("depth").alias("_depth"), F.col("path").alias("_path"),
@@ -101,7 +85,7 @@ def tree_report(runs: DataFrame, steps: DataFrame) -> DataFrame:
     code = F.coalesce(F.concat(F.lit(" exit="), F.col("exit_code").cast("string")), F.lit(""))
     step_lines = placed.join(steps.withColumnRenamed("flow_run_id", "run_id"), "run_id").select(
         "root_id",
-        F.concat("path", F.lit("/"), _sortable(F.col("step_position"), 6)).alias("path"),
+        F.concat("path", F.lit("/"), _sortable(F.col("step_position"), 10)).alias("path"),
         F.concat(pad, F.lit("  - "), "step_name", F.lit(": "), "state", code).alias("line"),
     )
     return run_lines.unionByName(step_lines)
@@ -132,16 +116,15 @@ def dag_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest-path level of each step: peel the steps that nothing left over blocks."""
     left = nodes.select("graph", "step").distinct()
     blocking = stage(edges.select("graph", "step", "dep").distinct(), "dag-edges")
-    levels, level = None, 0
+    path, level = scratch_path(nodes.sparkSession, "dag-levels"), 0  # a level is a folder, so the plan does not grow
     while True:
         blocked = blocking.select("graph", "step").distinct()
         ready = stage(left.join(blocked, ["graph", "step"], "left_anti"), "dag-ready")
         if level and ready.isEmpty():
             raise CycleError("dependency table contains a cycle or an unknown dependency")
-        peeled = ready.withColumn("level", F.lit(level))
-        levels = peeled if levels is None else levels.unionByName(peeled)
+        ready.write.parquet(f"{path}/level={level}")
         if blocking.isEmpty():
-            return levels
+            return nodes.sparkSession.read.parquet(path).select(*ready.columns, F.col("level").cast("int").alias("level"))
         resolved = ready.withColumnRenamed("step", "dep")
         left = blocked
         blocking = stage(blocking.join(resolved, ["graph", "dep"], "left_anti"), "dag-edges")

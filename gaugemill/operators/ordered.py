@@ -1,80 +1,44 @@
 """Order-dependent columns inside groups of any size.
 
-A plain ``partitionBy(key)`` window puts a whole group into one task. Here the order
-column of hot groups is first cut into segments of similar row counts; windows run per
-(group, segment) and a small per-segment table carries values across the cuts. Other
-groups form one segment each, so they cost no more than a plain window.
-Group columns must not be null.
+A plain ``partitionBy(key)`` window puts a whole group into one task. Here rows are dealt out by ranges of
+(group columns, order columns), so that any group may be cut at any place, windows run within a range, and a table
+with one row per group and range carries values across the cuts. There is one path for groups of every size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENTS = 256
-HOT_SHARE = 0.001  # of all rows: at most a thousand groups can be that large
-HOT_ROWS = 100_000  # smaller groups never need cutting
+from gaugemill.session import stage
 
+#: Rows a range is meant to hold; the number of ranges follows from the row count.
+RANGE_ROWS = 1_000_000
+_RANGE = "_range"
 
-def with_segment(
-    df: DataFrame, column: str, segments: int = SEGMENTS, cuts_from: DataFrame | None = None
-) -> DataFrame:
-    """Add ``_segment``: how many approximate quantile cuts of ``column`` lie at or below it.
-
-    The sketch is kept coarse, a few kilobytes per task, since cuts only balance the work.
-    ``cuts_from`` names a cheaper table with about the same spread of ``column``.
-    """
-    probabilities = ", ".join(f"{i / segments!r}D" for i in range(1, segments))
-    stride = math.isqrt(segments)
-    cuts = (
-        (df if cuts_from is None else cuts_from)
-        .agg(F.expr(f"array_distinct(percentile_approx(`{column}`, array({probabilities}), {4 * segments})) AS fine"))
-        .select(F.struct("fine", F.filter("fine", lambda _, i: i % stride == stride - 1).alias("coarse")))
-    )
-
-    def at_or_below(listed: Column) -> Column:
-        return F.size(F.filter(listed, lambda cut: cut <= F.col(column)))
-
-    # every coarse cut passed stands for ``stride`` fine ones, so few comparisons place a row
-    return (
-        df.withColumn("_cuts", cuts.scalar())
-        .withColumn("_passed", stride * at_or_below(F.col("_cuts.coarse")))
-        .withColumn(
-            "_segment",
-            F.coalesce(F.col("_passed") + at_or_below(F.slice("_cuts.fine", F.col("_passed") + 1, F.lit(stride))), F.lit(0)),
-        )
-        .drop("_cuts", "_passed")
-    )
 
+def in_ranges(df: DataFrame, keys: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with ``_range``, the number of the range of ``keys`` a row is in; later ranges hold later keys.
 
-def _cut_groups(
-    df: DataFrame, groups: Sequence[str], column: str, segments: int, cuts_from: DataFrame | None, hot_rows: int
-) -> DataFrame:
-    """Segments within hot groups only; without groups the whole table is one hot group."""
-    if not groups:
-        return with_segment(df, column, segments, cuts_from)
-    sizes = (df if cuts_from is None else cuts_from).groupBy(*groups).agg(F.count("*").alias("_rows"))
-    share = sizes.agg(F.sum("_rows") * HOT_SHARE).scalar()
-    hot = sizes.where((F.col("_rows") >= hot_rows) & (F.col("_rows") >= share)).select(*groups, F.lit(True).alias("_hot"))
-    marked = df.join(F.broadcast(hot), list(groups), "left")  # at most 1 / HOT_SHARE rows
-    return (
-        with_segment(marked, column, segments, df if cuts_from is None else cuts_from)
-        .withColumn("_segment", F.when(F.col("_hot"), F.col("_segment")).otherwise(0))
-        .drop("_hot")
-    )
+    The rows are written once, so that every use of them sees the same ranges.
+    """
+    ranges = max(1, -(-df.count() // range_rows))
+    return stage(df.repartitionByRange(ranges, *keys).withColumn(_RANGE, F.spark_partition_id()), "ranges")
 
 
-def _keys(groups: Sequence[str]) -> list[str]:
-    return [*groups, "_segment"]
+def _joined(rows: DataFrame, carried: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Per-range values next to the rows; groups are compared null-safely, so a null group is one like any other."""
+    renamed = carried.select(*[F.col(k).alias(f"_of_{k}") for k in [*groups, _RANGE]], *values)
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in groups] + [F.col(_RANGE) == F.col(f"_of_{_RANGE}")]
+    return rows.join(renamed, reduce(Column.__and__, same)).drop(*[f"_of_{k}" for k in [*groups, _RANGE]])
 
 
-def _before(groups: Sequence[str]):
-    """Window over the per-segment table: at most one row per segment and group."""
-    return Window.partitionBy(*groups).orderBy("_segment")
+def _ranges_of(groups: Sequence[str]):
+    """Window over the table of ranges: a group has one row for each RANGE_ROWS of all rows at most."""
+    return Window.partitionBy(*groups).orderBy(_RANGE)
 
 
 def running_totals(
@@ -82,79 +46,59 @@ def running_totals(
     order: str,
     totals: Mapping[str, str],
     groups: Sequence[str] = (),
-    segments: int = SEGMENTS,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Cumulative sums of the ``totals`` source columns up to and including each row.
 
     ``order`` must be unique within a group. ``all_<name>`` is the group's grand total.
     """
-    cut = with_segment(df, order, segments)
-    local = Window.partitionBy(*_keys(groups)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = _before(groups).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*groups)
+    rows = in_ranges(df, [*groups, order], range_rows)
+    earlier = _ranges_of(groups).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*_keys(groups))
+        rows.groupBy(*groups, _RANGE)
         .agg(*[F.sum(source).alias(f"_o_{name}") for name, source in totals.items()])
         .select(
-            *_keys(groups),
-            *[F.coalesce(F.sum(f"_o_{name}").over(earlier), F.lit(0)).alias(f"_o_{name}") for name in totals],
-            *[F.sum(f"_o_{name}").over(every).alias(f"all_{name}") for name in totals],
+            *groups, _RANGE,
+            *[F.coalesce(F.sum(f"_o_{name}").over(earlier), F.lit(0)).alias(f"_b_{name}") for name in totals],
+            *[F.sum(f"_o_{name}").over(Window.partitionBy(*groups)).alias(f"all_{name}") for name in totals],
         )
     )
-    if not groups:
-        offsets = F.broadcast(offsets)  # one row per segment
-    summed = cut.select("*", *[F.sum(source).over(local).alias(name) for name, source in totals.items()])
-    return (
-        summed.join(offsets, _keys(groups))
-        .select(
-            *df.columns,
-            *[(F.col(name) + F.col(f"_o_{name}")).alias(name) for name in totals],
-            *[f"all_{name}" for name in totals],
-        )
+    local = Window.partitionBy(*groups, _RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.select("*", *[F.sum(source).over(local).alias(name) for name, source in totals.items()])
+    return _joined(summed, offsets, groups, [f"{p}{name}" for name in totals for p in ("_b_", "all_")]).select(
+        *df.columns,
+        *[(F.col(name) + F.col(f"_b_{name}")).alias(name) for name in totals],
+        *[f"all_{name}" for name in totals],
     )
 
 
 def with_row_number(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str, segments: int = SEGMENTS,
-    cuts_from: DataFrame | None = None, hot_rows: int = HOT_ROWS,
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
-    """1-based position inside each group, ordered by ``order``."""
-    cut = _cut_groups(df, groups, order[0], segments, cuts_from, hot_rows)
-    earlier = _before(groups).rowsBetween(Window.unboundedPreceding, -1)
+    """1-based position inside each group, ordered by ``order``; rows equal in all of it come in any order."""
+    rows = in_ranges(df, [*groups, *order], range_rows)
     offsets = (
-        cut.groupBy(*_keys(groups))
+        rows.groupBy(*groups, _RANGE)
         .agg(F.count("*").alias("_n"))
-        .select(*_keys(groups), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"))
-    )
-    local = Window.partitionBy(*_keys(groups)).orderBy(*order)
-    return (
-        cut.withColumn("_local", F.row_number().over(local))
-        .join(offsets, _keys(groups))
-        .select(*df.columns, (F.col("_local") + F.col("_n")).alias(name))
+        .select(*groups, _RANGE, F.coalesce(
+            F.sum("_n").over(_ranges_of(groups).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     )
+    local = Window.partitionBy(*groups, _RANGE).orderBy(*order)
+    numbered = rows.withColumn("_local", F.row_number().over(local))
+    return _joined(numbered, offsets, groups, ["_before"]).select(*df.columns, (F.col("_local") + F.col("_before")).alias(name))
 
 
 def with_previous(
-    df: DataFrame,
-    groups: Sequence[str],
-    order: Sequence[str],
-    previous: Mapping[str, str],
-    segments: int = SEGMENTS,
-    cuts_from: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], previous: Mapping[str, str], range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """Columns of the preceding row of the group: ``{new name: source column}``."""
-    cut = _cut_groups(df, groups, order[0], segments, cuts_from, hot_rows)
+    rows = in_ranges(df, [*groups, *order], range_rows)
     values = F.struct(*[F.col(source).alias(name) for name, source in previous.items()])
-    local = Window.partitionBy(*_keys(groups)).orderBy(*order)
     carried = (
-        cut.groupBy(*_keys(groups))
+        rows.groupBy(*groups, _RANGE)
         .agg(F.max_by(values, F.struct(*order)).alias("_last"))
-        .select(*_keys(groups), F.lag("_last").over(_before(groups)).alias("_carried"))
-    )
-    chosen: Column = F.coalesce(F.col("_lagged"), F.col("_carried"))
-    return (
-        cut.withColumn("_lagged", F.lag(values).over(local))
-        .join(carried, _keys(groups))
-        .select(*df.columns, *[chosen[name].alias(name) for name in previous])
+        .select(*groups, _RANGE, F.lag("_last").over(_ranges_of(groups)).alias("_carried"))
     )
+    lagged = rows.withColumn("_lagged", F.lag(values).over(Window.partitionBy(*groups, _RANGE).orderBy(*order)))
+    chosen = F.coalesce(F.col("_lagged"), F.col("_carried"))
+    return _joined(lagged, carried, groups, ["_carried"]).select(*df.columns, *[chosen[name].alias(name) for name in previous])

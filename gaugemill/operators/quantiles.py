@@ -1,101 +1,96 @@
 """Exact quantiles of huge columns by narrowing brackets.
 
-Sorting or grouping a whole column of distinct values shuffles all of it. Instead every
-wanted rank gets a bracket of values; a sample of the rows inside proposes a narrower one
-and a count over all rows accepts it only if the rank provably lies within. Once a bracket
-holds few rows they are counted exactly, so sampling decides speed and never the result.
+Sorting or grouping a whole column of distinct values shuffles all of it. Instead every wanted rank gets a bracket:
+an open interval between two values. A sketch of the values inside proposes two closer ones, and a count over all
+rows tells whether the rank is that of one of them, lies between them, or outside (then the bracket stays as wide on
+that side). Ties at an end are counted apart, so they cannot keep a bracket wide. What is left of a bracket is
+counted value by value. The path is the same for every size, and the result never depends on the sketch.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FEW_ROWS = 1_000_000  # a bracket this small is counted exactly
-SAMPLED_ROWS = 100_000  # drawn per bracket and round
+FEW_ROWS = 100_000  # a bracket this small is counted value by value, in one task
+ACCURACY = 5_000  # of the sketch: ranks are off by one in so many at most
 
 
 @dataclass(frozen=True)
 class _Bracket:
+    """Values between ``low`` and ``high``, neither included; ``below`` rows are at or under ``low``."""
+
     feature: str
-    number: int
-    low_rank: int
-    high_rank: int
+    rank: int
     inside: int
     below: int = 0
     low: float | None = None
     high: float | None = None
-
-    def bounds(self) -> tuple:
-        return self.feature, self.low, self.high
+    margin: float = 2.0
+    value: float | None = None
 
     def holds(self) -> str:
         """SQL condition. Texts keep the many bracket expressions cheap to build."""
         sides = [f"`{self.feature}` IS NOT NULL"]
         if self.low is not None:
-            sides.append(f"`{self.feature}` >= double('{self.low!r}')")
+            sides.append(f"`{self.feature}` > double('{self.low!r}')")
         if self.high is not None:
-            sides.append(f"`{self.feature}` <= double('{self.high!r}')")
+            sides.append(f"`{self.feature}` < double('{self.high!r}')")
         return "(" + " AND ".join(sides) + ")"
 
 
-def _any(brackets: Sequence[_Bracket]) -> str:
-    return " OR ".join(dict.fromkeys(b.holds() for b in brackets))
-
-
-def _counted(rows: DataFrame, brackets: Sequence[_Bracket]) -> list[_Bracket]:
-    """The same brackets with exact row counts below and inside: one pass, nothing shuffled but sums."""
-    distinct = {b.bounds(): b for b in brackets}
-    sums = []
-    for b in distinct.values():
-        below = f"count_if(`{b.feature}` < double('{b.low!r}'))" if b.low is not None else "0L"
-        sums += [below, f"count_if{b.holds()}"]
-    found = list(rows.selectExpr(*sums).first())
-    counts = {bounds: (found[2 * i], found[2 * i + 1]) for i, bounds in enumerate(distinct)}
-    return [replace(b, below=counts[b.bounds()][0], inside=counts[b.bounds()][1]) for b in brackets]
-
-
-def _proposed(rows: DataFrame, brackets: Sequence[_Bracket], few: int) -> list[_Bracket]:
-    """Narrower brackets from a sample; brackets with equal bounds share one percentile call."""
-    shared: dict[tuple, list[_Bracket]] = {}
-    for b in brackets:
-        shared.setdefault(b.bounds(), []).append(b)
-    fraction = min(1.0, min(few, SAMPLED_ROWS) * len(shared) / sum(group[0].inside for group in shared.values()))
+def _proposed(rows: DataFrame, brackets: Sequence[_Bracket]) -> list[tuple[float | None, float | None]]:
+    """Two values around each wanted rank, from one sketch for all brackets with equal bounds."""
+    shared: dict[str, list[int]] = {}
+    for i, b in enumerate(brackets):
+        shared.setdefault(b.holds(), []).append(i)
     calls = []
-    for group in shared.values():
+    for holds, group in shared.items():
         wanted = []
-        for b in group:
-            margin = 3.0 / math.sqrt(max(1.0, fraction * b.inside))  # six standard deviations of a sampled rank
-            wanted.append(max(0.0, (b.low_rank - b.below) / b.inside - margin))
-            wanted.append(min(1.0, (b.high_rank - b.below + 1) / b.inside + margin))
+        for b in (brackets[i] for i in group):
+            at = (b.rank - b.below + 0.5) / b.inside
+            wanted += [max(0.0, at - b.margin / ACCURACY), min(1.0, at + b.margin / ACCURACY)]
         listed = ", ".join(f"double('{w!r}')" for w in wanted)
-        calls.append(f"percentile(CASE WHEN {group[0].holds()} THEN `{group[0].feature}` END, array({listed}))")
-    found = list(rows.where(_any(brackets)).sample(fraction).selectExpr(*calls).first())
-    return [
-        b if found[i] is None else replace(b, low=found[i][2 * j], high=found[i][2 * j + 1])
-        for i, group in enumerate(shared.values())
-        for j, b in enumerate(group)
-    ]
-
-
-def _narrowed(rows: DataFrame, brackets: list[_Bracket], few: int) -> list[_Bracket]:
-    """Brackets of at most ``few`` rows, or of few distinct values where narrowing stops helping."""
-    done, wide = [b for b in brackets if b.inside <= few], [b for b in brackets if b.inside > few]
-    while wide:
-        still_wide = []
-        earlier = {(b.feature, b.number): b for b in wide}
-        for after in _counted(rows, _proposed(rows, wide, few)):
-            before = earlier[after.feature, after.number]
-            proven = after.below <= after.low_rank and after.below + after.inside > after.high_rank
-            shrunk = proven and after.inside < before.inside / 2
-            best = after if proven else before
-            (still_wide if shrunk and best.inside > few else done).append(best)
-        wide = still_wide
-    return done
+        feature = brackets[group[0]].feature
+        calls.append(f"percentile_approx(CASE WHEN {holds} THEN `{feature}` END, array({listed}), {ACCURACY})")
+    found = rows.selectExpr(*calls).first()
+    out: list[tuple[float | None, float | None]] = [(None, None)] * len(brackets)
+    for values, group in zip(found, shared.values()):
+        for j, i in enumerate(group):
+            out[i] = (values[2 * j], values[2 * j + 1])
+    return out
+
+
+def _narrowed(rows: DataFrame, brackets: Sequence[_Bracket]) -> list[_Bracket]:
+    """One round: the brackets closer around their ranks, or with their value found."""
+    ends = _proposed(rows, brackets)
+    texts: dict[str, int] = {}
+    for b, pair in zip(brackets, ends):
+        for end in pair:
+            for sign in ("<", "<="):
+                texts.setdefault(f"count_if(`{b.feature}` {sign} double('{end!r}'))", len(texts))
+    counts = rows.selectExpr(*texts).first()
+
+    def count(b: _Bracket, sign: str, end: float) -> int:
+        return counts[texts[f"count_if(`{b.feature}` {sign} double('{end!r}'))"]]
+
+    out = []
+    for b, (low, high) in zip(brackets, ends):
+        after = b
+        for end in (low, high):
+            under, upto = count(b, "<", end), count(b, "<=", end)
+            if under <= b.rank < upto:
+                after = replace(after, value=end)
+            elif upto <= b.rank and (after.low is None or end > after.low):
+                after = replace(after, low=end, inside=after.inside - (upto - after.below), below=upto)
+            elif under > b.rank and (after.high is None or end < after.high):
+                after = replace(after, high=end, inside=under - after.below)
+        halved = after.inside <= b.inside / 2
+        out.append(after if halved else replace(after, margin=b.margin * 4))
+    return out
 
 
 def values_at_ranks(
@@ -105,50 +100,32 @@ def values_at_ranks(
 
     The result holds two numbers per wanted rank pair, which is all the driver receives.
     """
-    brackets = [
-        _Bracket(feature, number, low, high, sizes[feature])
-        for feature, pairs in ranks.items()
-        for number, (low, high) in enumerate(pairs)
-    ]
-    if not brackets:
+    wanted = list(dict.fromkeys((f, rank) for f, pairs in ranks.items() for pair in pairs for rank in pair))
+    if not wanted:
         return {}
-    brackets = _narrowed(rows, brackets, few)
-    cells = ", ".join(
-        f"struct('{f}' AS feature, CASE WHEN {_any([b for b in brackets if b.feature == f])} THEN `{f}` END AS value)"
-        for f in ranks
-    )
-    counts = (
-        rows.selectExpr(f"inline(array({cells}))").where("value IS NOT NULL")
-        .groupBy("feature", "value").agg(F.count("*").alias("n"))
-    )
-    spans = {bounds: (i, b) for i, (bounds, b) in enumerate({b.bounds(): b for b in brackets}.items())}
-    span_rows = _inline(rows, [
-        f"struct('{b.feature}' AS feature, {i} AS span, {b.below}L AS below, "
-        f"{_end(b.low)} AS low, {_end(b.high)} AS high)"
-        for i, b in spans.values()
-    ])
-    wanted = _inline(rows, [
-        f"struct({spans[b.bounds()][0]} AS span, {b.number} AS number, {side} AS side, {rank}L AS rank)"
-        for b in brackets
-        for side, rank in enumerate((b.low_rank, b.high_rank))
-    ])
-    upto = F.col("below") + F.sum("n").over(Window.partitionBy("span").orderBy("value"))
-    found = (
-        counts.join(F.broadcast(span_rows), "feature")  # one row per bracket
-        .where("(low IS NULL OR value >= low) AND (high IS NULL OR value <= high)")
-        .select("feature", "span", "value", "n", upto.alias("upto"))
-        .join(F.broadcast(wanted), "span")  # two rows per wanted pair
-        .where("upto > rank AND upto - n <= rank")
-        .select("feature", "number", "side", "value")
-        .collect()
-    )
-    values = {(r["feature"], r["number"], r["side"]): r["value"] for r in found}
-    return {f: [(values[f, i, 0], values[f, i, 1]) for i in range(len(pairs))] for f, pairs in ranks.items()}
-
-
-def _end(bound: float | None) -> str:
-    return "CAST(NULL AS double)" if bound is None else f"double('{bound!r}')"
-
-
-def _inline(rows: DataFrame, structs: Sequence[str]) -> DataFrame:
-    return rows.sparkSession.range(1).selectExpr(f"inline(array({', '.join(structs)}))")
+    brackets = [_Bracket(f, rank, sizes[f]) for f, rank in wanted]
+    while wide := [b for b in brackets if b.value is None and (b.inside > few or b.low is None and b.high is None)]:
+        done = [b for b in brackets if b not in wide]
+        brackets = done + _narrowed(rows, wide)
+    known = {(b.feature, b.rank): b.value for b in brackets if b.value is not None}
+    open_ = [b for b in brackets if b.value is None]
+    if open_:
+        spans = {b.holds(): b for b in open_}
+        cells = ", ".join(
+            f"struct({i} AS span, CASE WHEN {holds} THEN `{b.feature}` END AS value)" for i, (holds, b) in enumerate(spans.items())
+        )
+        counts = (
+            rows.where(" OR ".join(spans)).selectExpr(f"inline(array({cells}))").where("value IS NOT NULL")
+            .groupBy("span", "value").agg(F.count("*").alias("n"))
+        )
+        number = {holds: i for i, holds in enumerate(spans)}
+        asked = rows.sparkSession.range(1).selectExpr("inline(array(" + ", ".join(
+            f"struct({number[b.holds()]} AS span, '{b.feature}' AS feature, {b.rank}L AS rank, {b.rank - b.below}L AS place)"
+            for b in open_) + "))")
+        upto = F.sum("n").over(Window.partitionBy("span").orderBy("value"))  # at most ``few`` rows a span
+        found = (
+            counts.withColumn("upto", upto).join(F.broadcast(asked), "span")  # a row per wanted rank
+            .where("upto > place AND upto - n <= place").select("feature", "rank", "value").collect()
+        )
+        known |= {(r["feature"], r["rank"]): r["value"] for r in found}
+    return {f: [(known[f, low], known[f, high]) for low, high in pairs] for f, pairs in ranks.items()}

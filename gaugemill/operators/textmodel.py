@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     IDF,
     NGram,
@@ -17,7 +18,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -101,20 +102,23 @@ def tfidf_weights(
 ) -> DataFrame:
     """L2-normalized weight of every vocabulary term in every document.
 
-    The vocabulary is limited to ``max_features`` rows, hence the broadcast; terms outside it
-    are dropped before the (document, term) counts are shuffled. All terms of a document came
-    from one row, so its norm is a window over no more than that row held.
+    The vocabulary is limited to ``max_features`` rows, which is all the driver receives. A document is one row:
+    its terms are counted, weighted and normalized inside it, so nothing is shuffled once the vocabulary is known.
     """
-    known = vocabulary(df, text, ngram_max, min_df, max_features).select("term", "idf")
-    weighted = (
-        _terms(df, text, ngram_max, doc)
-        .select(doc, F.explode("_terms").alias("term"))
-        .join(F.broadcast(known), "term")
-        .groupBy(doc, "term")
-        .agg((F.count("*") * F.first("idf")).alias("raw"))
+    known = vocabulary(df, text, ngram_max, min_df, max_features).select("term", "idf").collect()  # max_features rows
+    if not known:
+        return df.select(doc, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
+    counts = CountVectorizerModel.from_vocabulary([r["term"] for r in known], "_terms", "_counts")
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in known]), inputCol="_counts", outputCol="_scaled")
+    unit = Normalizer(p=2.0, inputCol="_scaled", outputCol="_unit")
+    rows = unit.transform(scaled.transform(counts.transform(_terms(df, text, ngram_max, doc)))).select(doc, "_unit")
+    cells = F.from_json(F.to_json(F.struct("_unit")), "_unit struct<indices array<int>, values array<double>>")["_unit"]
+    names = df.sparkSession.createDataFrame([(i, r["term"]) for i, r in enumerate(known)], "_at int, term string")
+    return (
+        rows.select(doc, cells.alias("_cells")).select(doc, F.explode(F.arrays_zip("_cells.indices", "_cells.values")).alias("_cell"))
+        .select(doc, F.col("_cell")["indices"].alias("_at"), F.col("_cell")["values"].alias("weight"))
+        .join(F.broadcast(names), "_at").select(doc, "term", "weight")
     )
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(doc)))
-    return weighted.select(doc, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def fit(config: TrainingConfig, rows: DataFrame, text: str = "review_text", label: str = "sentiment",

@@ -60,7 +60,7 @@ def table_digest(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """
     cells = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns or df.columns]
     prefix = F.conv(F.left(F.sha2(F.concat_ws("\x1f", *cells), 256), F.lit(15)), 16, 10)
-    total = F.coalesce(F.sum(prefix.cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
+    total = F.coalesce(F.sum(prefix.cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)"))
     rows = F.count("*")
     return df.agg(
         rows.alias("rows"),

@@ -26,6 +26,7 @@ ADAPTATION_SCHEMA = (
     "seq bigint, psi double, band string, action string, promoted boolean, champion_macro_f1 double, "
     "candidate_macro_f1 double, margin double, last_retrain_ts double"
 )
+RETRAIN_SCHEMA = "last_retrain_ts double"
 
 
 class NoChampion(RuntimeError):

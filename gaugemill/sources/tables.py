@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,23 +28,45 @@ class HeaderError(ValueError):
     """A dropped CSV file lacks a header or required columns."""
 
 
+#: Columns a CSV file may have; further ones are not read.
+MOST_COLUMNS = 256
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """CSV with quoted line breaks. Columns are matched by header name, extra ones ignored.
+    """CSV with quoted line breaks. Every file's columns are matched by its own header, extra ones ignored.
 
-    Cells are read as text so that the missing-value texts become null before any cast.
-    Such files do not split, so land them as Parquet once (csv_to_parquet).
+    Files are read without a header, and each task puts a file's cells into the order of ``schema`` by the file's first
+    row; a file without a required column raises. Cells are read as text so that the missing-value texts become
+    null before any cast. Such files do not split, so land them as Parquet once (csv_to_parquet).
     """
-    texts = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        .option("nullValue", "\x00").option("emptyValue", "").csv(path)
-    )
-    names = {c.strip(): c for c in texts.columns}
-    missing = sorted(set(schema.names) - set(names))
+    reader = spark.read.option("multiLine", True).option("escape", '"').option("nullValue", "\x00").option("emptyValue", "")
+    first = [c.strip().removeprefix("\ufeff") for c in reader.option("header", True).csv(path).columns]
+    missing = sorted(set(schema.names) - set(first))
     if missing:
         raise HeaderError(f"CSV missing required columns: {missing}")
-    return texts.select(
-        *[null_if_na(F.col(f"`{names[f.name]}`")).cast(f.dataType).alias(f.name) for f in schema]
-    )
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(MOST_COLUMNS)])
+    rows = reader.option("header", False).schema(cells).csv(path).select(
+        F.col("_metadata.file_path").alias("file"), F.array(*cells.names).alias("cells"))
+    names = list(schema.names)
+
+    def by_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, places = None, []
+        for batch in batches:
+            columns: list[list[str | None]] = [[] for _ in names]
+            for at, row in zip(batch.column("file").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                if at != file:
+                    header = [(c or "").strip().removeprefix("\ufeff") for c in row]
+                    lacking = sorted(set(names) - set(header))
+                    if lacking:
+                        raise HeaderError(f"{at.rpartition('/')[2]}: CSV missing required columns: {lacking}")
+                    file, places = at, [header.index(n) for n in names]
+                    continue
+                for column, place in zip(columns, places, strict=True):
+                    column.append(row[place])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=names)
+
+    texts = rows.mapInArrow(by_header, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    return texts.select(*[null_if_na(F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def write_csv(df: DataFrame, path: str) -> None:

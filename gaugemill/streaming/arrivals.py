@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +19,13 @@ _FILE = T.StructType([
 
 
 def list_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """Names of the regular files in a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
+    """Names and sizes of the regular files in a folder; none if there is no such folder. Their content is not read."""
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = spark.createDataFrame([], _FILE)
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length")
 
 

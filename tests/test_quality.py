@@ -69,6 +69,19 @@ def test_ranks_of_two_columns(spark):
     assert found == {"a": [(1.0, 2.0), (2501.0, 2501.0)], "b": [(-1.0, -1.0)]}
 
 
+@pytest.mark.parametrize("kind", ["spread", "ties", "two values", "constant"])
+def test_ranks_at_the_ends_and_inside_ties(spark, kind):
+    rng = np.random.default_rng(8)
+    values = {
+        "spread": rng.normal(0, 1, 30_000), "ties": np.where(rng.random(30_000) < 0.6, 0.0, rng.normal(0, 1, 30_000)),
+        "two values": np.where(rng.random(30_000) < 0.5, 1.0, 2.0), "constant": np.full(30_000, 3.0),
+    }[kind]
+    ranks = [0, 1, 2999, 15_000, 17_999, 29_998, 29_999]
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    found = quantiles.values_at_ranks(df, {"x": [(r, r) for r in ranks]}, {"x": 30_000}, few=50)["x"]
+    assert found == [(v, v) for v in np.sort(values)[ranks].tolist()]
+
+
 def _numpy_ks(a, b):
     grid = np.concatenate([a, b])
     grid.sort()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugemill.operators import splits
 from gaugemill.plans import datasets
 from gaugemill.plans.workspace import Workspace
-from gaugemill.sources import ingestion, tables
+from gaugemill.sources import events, ingestion, tables
 from gaugemill.streaming import arrivals
 
 HEADER = "uniqueID,drugName,condition,review,rating,date,usefulCount\n"
@@ -101,3 +101,27 @@ def test_build_is_reused_until_a_file_changes(spark, tmp_path):
     with pytest.raises(tables.HeaderError):
         (raw / "incoming" / "f.csv").write_text("uniqueID\n1\n")
         datasets.build(ws, reference, current, incoming)
+
+
+def test_csv_columns_are_matched_by_each_files_header(spark, tmp_path):
+    names = HEADER.strip().split(",")
+    first = dict(zip(names, ("1", "drug one", "cold", "line one\nline two", "5", "3-Feb-12", "4")))
+    second = {**first, "uniqueID": "2", "drugName": "drug two", "condition": "NA"}
+    for file, row, order in (("a", first, names), ("b", second, names[::-1]), ("c", {**first, "uniqueID": "3", "more": "x"}, ["more", *names])):
+        cells = ",".join('"' + row[n] + '"' for n in order)
+        (tmp_path / f"{file}.csv").write_text(",".join(order) + "\n" + cells + "\n")
+    rows = {r["uniqueID"]: r for r in tables.read_csv(spark, str(tmp_path)).collect()}
+    assert [(r.drugName, r.condition, r.rating, r.review) for _, r in sorted(rows.items())] == [
+        ("drug one", "cold", 5, "line one\nline two"), ("drug two", None, 5, "line one\nline two"), ("drug one", "cold", 5, "line one\nline two")]
+
+
+def test_a_log_of_several_files_is_read_in_order(spark, tmp_path):
+    line = lambda kind, **data: json.dumps({"type": kind, "data": {"flow_run_id": "r", **data}}) + "\n"
+    (tmp_path / "a.jsonl").write_text(line("FlowRunCreated") + line("FlowStateChanged", to_state="running"))
+    (tmp_path / "b.jsonl").write_text("\n" * 5000 + line("FlowStateChanged", to_state="succeeded"))
+    found = events.read_events(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r["seq"], r["to_state"]) for r in found] == [(0, None), (1, "running"), (2, "succeeded")]
+
+
+def test_a_folder_that_is_not_there_holds_no_files(spark, tmp_path):
+    assert arrivals.list_files(spark, str(tmp_path / "none")).count() == 0

@@ -50,30 +50,42 @@ def hot(spark):
     ).repartition(5)
 
 
-def test_ordered_columns_equal_plain_windows(spark, hot):
-    numbered = ordered.with_row_number(hot, ["g"], ["o"], "n", segments=9, hot_rows=100)
-    both = ordered.with_previous(numbered, ["g"], ["o"], {"before": "id"}, segments=9, hot_rows=100)
-    hot.createOrReplaceTempView("hot_rows")
-    plain = spark.sql(
-        "select g, id, o, row_number() over (partition by g order by o) n, lag(id) over (partition by g order by o) before from hot_rows")
-    assert sorted(map(tuple, both.select("g", "id", "o", "n", "before").collect()), key=repr) == sorted(
-        map(tuple, plain.collect()), key=repr)
-
-
-def test_only_hot_groups_are_cut(spark, hot):
-    cut = ordered._cut_groups(hot, ["g"], "o", 16, None, 100).groupBy("g").agg(F.countDistinct("_segment").alias("n"))
-    sizes = {r["g"]: r["n"] for r in cut.collect()}
-    assert sizes.pop("hot") > 8 and set(sizes.values()) == {1}
+def _plain(frame):
+    frame.createOrReplaceTempView("plain_rows")
+    return sorted(map(tuple, frame.sparkSession.sql(
+        "select g, id, o, row_number() over (partition by g order by o, id) n, lag(id) over (partition by g order by o, id) before from plain_rows"
+    ).collect()), key=repr)
+
+
+@pytest.mark.parametrize("kind", ["hot", "burst", "few order values", "null group", "one group"])
+def test_ordered_columns_equal_plain_windows(spark, hot, kind):
+    rows = {
+        "hot": hot,
+        "burst": hot.withColumn("g", F.when(F.col("o").between(1000, 1299), "burst").otherwise(F.col("g"))),
+        "few order values": hot.withColumn("o", F.col("o") % 3),
+        "null group": hot.withColumn("g", F.when(F.col("g") != "hot", F.col("g"))),
+        "one group": hot.withColumn("g", F.lit("all")),
+    }[kind]
+    numbered = ordered.with_row_number(rows, ["g"], ["o", "id"], "n", range_rows=200)
+    both = ordered.with_previous(numbered, ["g"], ["o", "id"], {"before": "id"}, range_rows=200)
+    assert sorted(map(tuple, both.select("g", "id", "o", "n", "before").collect()), key=repr) == _plain(rows)
+
+
+@pytest.mark.parametrize("order", [["o"], ["o3", "id"]])
+def test_no_range_holds_much_more_than_it_should(hot, order):
+    rows = hot.withColumn("o3", F.col("o") % 3).withColumn("g", F.when(F.col("o").between(1000, 1299), "burst").otherwise(F.col("g")))
+    sizes = [r["count"] for r in ordered.in_ranges(rows, ["g", *order], 200).groupBy("_range").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 500
 
 
 def test_whole_table_as_one_group(hot):
-    numbered = ordered.with_row_number(hot, [], ["o"], "n", segments=10)
+    numbered = ordered.with_row_number(hot, [], ["o"], "n", range_rows=300)
     rows = sorted(numbered.collect(), key=lambda r: r["o"])
     assert [r["n"] for r in rows] == list(range(1, 3001))
 
 
 def test_running_totals(spark, hot):
-    got = ordered.running_totals(hot, "o", {"upto": "id"}, segments=8)
+    got = ordered.running_totals(hot, "o", {"upto": "id"}, range_rows=400)
     total = 0
     for row in sorted(got.collect(), key=lambda r: r["o"]):
         total += row["id"]
