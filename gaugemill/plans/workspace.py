@@ -24,7 +24,8 @@ MODEL_SCHEMA = (
 )
 ADAPTATION_SCHEMA = (
     "seq bigint, psi double, band string, action string, promoted boolean, champion_macro_f1 double, "
-    "candidate_macro_f1 double, margin double, last_retrain_ts double"
+    "candidate_macro_f1 double, margin double, last_retrain_ts double, champion_version string, candidate_version string, "
+    "ab_test_id string"
 )
 RETRAIN_SCHEMA = "last_retrain_ts double"
 

@@ -98,7 +98,7 @@ def test_select_ab_promote_and_adapt(spark, data, tmp_path):
 
 def test_experiment_spec_and_summary(spark, data, tmp_path):
     spec = experiments.ExperimentSpec("exp-rt", (WEAK, STRONG), ((0, 1),))
-    assert experiments.ExperimentSpec.from_json(spec.to_json()) == spec
+    assert experiments.read_specs(spark.createDataFrame([(spec.to_json(),)], "value string")) == [spec]
     ws = Workspace(spark, str(tmp_path))
     result = experiments.run_experiment(ws, spec, data, 50)
     line = experiments.summarize(experiments.parse_results(spark.read.parquet(ws.path("experiment_results")))).first()
