@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.cleaning import _PREPARED
 from checks.lifecycle import ORACLES as _LIFECYCLE
+from checks.runlog import ORACLES as _RUNLOG
 from checks.runlog import _fold
 from checks.splits import _HELD
 from checks.views import oracle, table, view
@@ -186,13 +187,13 @@ def event_fanout(spark, sf):
 
 
 def step_state_stream(spark, sf):
-    """Update-mode streaming fold, collapsed to its last row per key."""
+    """Update-mode streaming fold, collapsed to its last row per key: the batch replay's step states."""
     path, out = scratch_path(spark, "events"), scratch_path(spark, "updates")
     events.write_events(view(spark, sf, "run_events"), path)
     stream = folds.step_state_stream(events.stream_events(spark, path, files_per_trigger=2))
     (stream.writeStream.outputMode("update").option("checkpointLocation", scratch_path(spark, "fold"))
      .foreachBatch(folds.parquet_sink(out)).trigger(availableNow=True).start().awaitTermination())
-    return folds.latest_per_key(spark.read.parquet(out).drop("batch_id"), ["flow_run_id", "step_name"])
+    return folds.current_steps(folds.latest_per_key(spark.read.parquet(out).drop("batch_id"), ["flow_run_id", "step_name"]))
 
 
 def cooldown_stream(spark, sf):
@@ -260,7 +261,7 @@ UNION ALL SELECT 'void', false, true, 'condition,date,drugName,rating,review,uni
     "event_fanout": oracle(f"""
 WITH n AS (SELECT flow_run_id, count(*) AS events FROM run_events WHERE type <> 'LogChunk' GROUP BY 1)
 SELECT flow_run_id, step_name, state, events FROM ({_LAST}) JOIN n USING (flow_run_id)""", "run_events"),
-    "step_state_stream": oracle(_LAST, "run_events"),
+    "step_state_stream": _RUNLOG["step_state"],
     "cooldown_stream": _LIFECYCLE["cooldown"],
     "build_datasets": oracle(f"""
 WITH p AS ({_PREPARED}), h AS (SELECT *, {_HELD} AS held FROM p)

@@ -9,16 +9,40 @@ from gaugemill.functions.canonical import json_object, json_string
 from gaugemill.operators import tracking, versions
 from gaugemill.sources import tables
 
-_DIGESTED = ("region", "nation", "supplier", "customer", "orders", "documents")
-# Columns whose text is the same in both engines.
+# Every column of every table; # marks doubles, @ timestamps and * vectors, whose texts differ between engines.
 _COLUMNS = {
-    "region": ("r_regionkey", "r_name"),
-    "nation": ("n_nationkey", "n_name", "n_regionkey"),
-    "supplier": ("s_suppkey", "s_name", "s_nationkey"),
-    "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"),
-    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
-    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+    table: columns.split() for table, columns in {
+        "region": "r_regionkey r_name",
+        "nation": "n_nationkey n_name n_regionkey",
+        "supplier": "s_suppkey s_name s_nationkey s_acctbal#",
+        "customer": "c_custkey c_name c_nationkey c_acctbal# c_mktsegment",
+        "part": "p_partkey p_name p_brand p_type p_size p_retailprice#",
+        "orders": "o_orderkey o_custkey o_orderstatus o_totalprice# o_orderdate@ o_orderpriority",
+        "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity# l_extendedprice# l_discount# l_tax# l_returnflag l_linestatus l_shipdate@",
+        "events": "event_id ts@ user_id event_type value# props",
+        "documents": "doc_id text lang source n_chars",
+        "embeddings": "vec_id embedding* label",
+        "pages": "page_id url html",
+        "benchmark": "item_id text",
+        "labels": "doc_id quality toxic",
+        "conversations": "conv_id turn role text",
+    }.items()
 }
+_DIGESTED = tuple(_COLUMNS)
+_SPARK_TEXT = {
+    "#": "cast(cast({c} as decimal(24,6)) as string)", "@": "date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')",
+    "*": "array_join(transform({c}, x -> cast(cast(cast(x as double) as decimal(24,6)) as string)), ',')",
+}
+_DUCK_TEXT = {
+    "#": "cast(cast({c} as decimal(24,6)) as varchar)", "@": "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')",
+    "*": "array_to_string(list_transform({c}, lambda x: cast(cast(cast(x as double) as decimal(24,6)) as varchar)), ',')",
+}
+
+
+def _texts(table: str, kinds: dict[str, str], plain: str) -> list[tuple[str, str]]:
+    """Each column's name and the expression of its text."""
+    names = [(c.rstrip("#@*"), c[-1]) for c in _COLUMNS[table]]
+    return [(name, kinds.get(kind, plain).format(c=name)) for name, kind in names]
 
 
 def config_version(spark, sf):
@@ -43,7 +67,8 @@ def component_version_text(spark, sf):
 
 def _digests(spark, sf):
     parts = [
-        versions.table_digest(table(spark, sf, t), _COLUMNS[t]).select(F.lit(t).alias("name"), "rows", "digest")
+        versions.table_digest(table(spark, sf, t).selectExpr(*[f"{text} AS {name}" for name, text in _texts(t, _SPARK_TEXT, "{c}")]))
+        .select(F.lit(t).alias("name"), "rows", "digest")
         for t in _DIGESTED
     ]
     whole = parts[0]
@@ -109,7 +134,7 @@ QUERIES = {
 
 
 def _digest_sql(name: str) -> str:
-    cells = ", ".join(f"coalesce('v' || cast({c} AS varchar), 'n')" for c in _COLUMNS[name])
+    cells = ", ".join(f"coalesce('v' || {text}, 'n')" for _, text in _texts(name, _DUCK_TEXT, "cast({c} AS varchar)"))
     return (f"SELECT '{name}' AS name, rows, sha256(rows || ':' || total) AS digest FROM (SELECT count(*) AS rows, "
             f"cast(sum(('0x' || left(sha256(concat_ws(chr(31), {cells})), 15))::bigint) AS varchar) AS total FROM {name})")
 

@@ -47,16 +47,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gaugemill/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out rows read from fewer files than there are cores, for work that is heavy per row.
-
-    Tables of many files, as on a cluster, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df._jdf.inputFiles())  # counted in the JVM: the names of a big table stay there
-    return df.repartition(cores) if files < cores else df
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it.
 

@@ -15,14 +15,31 @@ from gaugemill.settings import RETRAIN_COOLDOWN_SECONDS
 
 
 def step_state_stream(events: DataFrame) -> DataFrame:
-    """Running last state of every (run, step) by ``seq``, for update or complete mode."""
+    """Running creation, last state and last change of every (run, step), for update or complete mode.
+
+    A run's creation counts as an event of each step it declares, so resets and unknown runs need no join in the stream;
+    ``current_steps`` reads the states off.
+    """
+    creates, moves = F.col("type") == "FlowRunCreated", F.col("type") == "StepStateChanged"
+    steps = F.when(creates, F.col("step_names")).otherwise(F.array("step_name"))
     return (
-        events.where("type = 'StepStateChanged'")
+        events.where(creates | moves)
+        .select("flow_run_id", F.explode(steps).alias("step_name"), F.when(creates, F.col("seq")).alias("created_seq"),
+                F.when(moves, F.col("seq")).alias("moved_seq"), "to_state", "seq")
         .groupBy("flow_run_id", "step_name")
-        .agg(F.max_by("to_state", "seq").alias("state"), F.max("seq").alias("seq"))
+        .agg(F.max("created_seq").alias("created_seq"), F.max_by("to_state", "moved_seq").alias("state"),
+             F.max("moved_seq").alias("moved_seq"), F.max("seq").alias("seq"))
     )
 
 
+def current_steps(latest: DataFrame) -> DataFrame:
+    """State of every step that its run's latest creation declares, from the newest row of each (run, step)."""
+    newest = latest.groupBy("flow_run_id").agg(F.max("created_seq").alias("created_seq"))
+    moved = F.col("moved_seq") > F.col("created_seq")
+    return latest.join(newest, ["flow_run_id", "created_seq"]).select(
+        "flow_run_id", "step_name", F.when(moved, F.col("state")).otherwise("pending").alias("state"))
+
+
 def latest_per_key(updates: DataFrame, keys: Sequence[str], order: str = "seq") -> DataFrame:
     """Collapse an update-mode sink's appended rows to the newest row of each key."""
     values = [c for c in updates.columns if c not in keys]

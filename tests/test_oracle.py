@@ -8,9 +8,6 @@ import __spark_entry__ as contract
 from checks.compare import database, difference
 
 SF = "/root/testdata/sf0.001"
-# Trained, staged and streamed jobs have tests of their own and run in checks.compare.
-SLOW = {"build_datasets", "arrival_trigger", "event_fanout", "step_state_stream", "cooldown_stream", "header_check"}
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 
 
@@ -19,7 +16,7 @@ def con():
     return database(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     assert difference(con, contract.queries()[name](spark, SF), contract.oracle_sql()[name]) is None
 
