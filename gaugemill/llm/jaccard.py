@@ -7,7 +7,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugemill.llm import windows as W
@@ -18,8 +18,8 @@ from gaugemill.session import stage
 MOST_SMALL = 12
 #: One text in so many is looked at for frequent shingles, of which at most HOT come last in the order of shingles.
 #: This order decides about speed only: any order gives the same links.
-SAMPLED, SEEN, HOT = 16, 4, 1 << 18
-#: Pairs left in lists, per entry of all lists, from which leaders are compared before all pairs are.
+SAMPLED, SEEN, HOT = 16, 2, 1 << 18
+#: Pairs of different groups left in lists, per entry of all lists, up to which all of them are compared.
 PAIRS_A_ROW = 100
 #: Rows up to which the texts to compare are picked by a broadcast list of their keys; beyond, by a shuffled join.
 PICKED_BY_BROADCAST = 500_000
@@ -162,22 +162,29 @@ def _cost_boundary(base: DataFrame, lists: DataFrame, percent: int) -> int:
     return best
 
 
-def _votes(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b with the number of prefix shingles they share, without those that can no longer reach the threshold.
+def _least_votes(percent: int) -> Column:
+    """Shared prefix shingles below which a pair, of sizes na and nb, cannot reach the threshold.
 
-    Of the set whose prefix ends first all shared shingles up to there are counted; what follows is no more than its rest.
+    Of the set whose prefix ends first, at wa or wb, all shared shingles up to there are counted; what follows is no more
+    than its rest. Where the ends look alike the larger rest is allowed for.
     """
-    need = F.expr(f"ceil({percent} * (na + nb) / {100 + percent})")
-    rest = F.expr(f"case when wa <= wb then na - (na - ceil({percent} * na / 100) + 1) else nb - (nb - ceil({percent} * nb / 100) + 1) end")
-    return pairs.groupBy("a", "b", "na", "nb", "wa", "wb").agg(F.count("*").alias("v")).where(F.col("v") + rest >= need)
+    rest_a, rest_b = f"(ceil({percent} * na / 100) - 1)", f"(ceil({percent} * nb / 100) - 1)"
+    return F.expr(
+        f"cast(ceil({percent} * (na + nb) / {100 + percent}) - case when wa < wb then {rest_a} when wb < wa then {rest_b} "
+        f"else greatest({rest_a}, {rest_b}) end as int)")
+
+
+def _votes(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b with the number ``v`` of prefix shingles they share, if that is enough."""
+    counted = pairs.select("a", "b", _least_votes(percent).alias("least")).groupBy("a", "b", "least").agg(F.count("*").alias("v"))
+    return counted.where("v >= least").drop("least")
 
 
 def _verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` whose sets have the similarity, counted on the whole sets."""
-    wanted = stage(
-        reps.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node")
-        .select("node", F.col(ID).alias("__gm_of"), F.col(ROW).alias("__gm_in")), "jaccard-wanted")
-    if wanted.count() <= PICKED_BY_BROADCAST:
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = reps.join(named, "node").select("node", F.col(ID).alias("__gm_of"), F.col(ROW).alias("__gm_in"))
+    if 2 * pairs.count() <= PICKED_BY_BROADCAST:
         wanted = F.broadcast(wanted)
     picked = rows.select(ID, ROW, text_col).join(wanted, (F.col(ID) == F.col("__gm_of")) & (F.col(ROW) == F.col("__gm_in")))
 
@@ -198,33 +205,32 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and the smallest node it is connected with, ``comp``, for every node of ``edges`` (a, b).
 
     Alternates between tying the larger neighbours, and the smaller ones, of each node to its smallest neighbour until
-    nothing changes. A node's neighbours are never gathered: each step is a minimum and a join on written tables.
+    all links are stars. A node's neighbours are never gathered: a step is a minimum and a join on written tables.
     """
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     links = stage(ordered, "component-links")
-    before = None
     while True:
+        many = links.groupBy("a").count().where("count > 1").select("a")
+        inner = links.select(F.col("b").alias("a")).join(links, "a", "left_semi")
+        if many.unionByName(inner).isEmpty():
+            break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stage(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("least")), "component-least")
-        links = stage(  # larger neighbours, to the smallest of all neighbours
-            both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), "component-large")
-        least = links.groupBy("a").agg(F.min("b").alias("least"))  # few neighbours of a node are smaller now
-        small = links.join(least, "a")
+        # larger neighbours, to the smallest of all neighbours
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        lower = large.groupBy("a").agg(F.min("b").alias("least"))  # few neighbours of a node are smaller now
         links = stage(  # smaller neighbours, and the node, to the smallest of them
-            small.where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-            .unionByName(least.select("a", F.col("least").alias("b"))).distinct(), "component-small")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = links.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("comp"))
-    return stage(links.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots), "components")
+            large.join(lower, "a").where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+            .unionByName(lower.select("a", F.col("least").alias("b"))).distinct(), "component-links")
+    roots = links.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("comp"))
+    return links.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
 
 
 def _pairs_left(open_: DataFrame) -> int:
-    """Pairs of sets that stand in one of the lists, each counted in each."""
-    sizes = open_.groupBy("shingle").count()
-    return int(sizes.agg(F.sum((F.col("count") * (F.col("count") - 1) / 2).cast("double"))).first()[0] or 0)
+    """Pairs of sets of different groups that stand in one of the lists, each counted in each."""
+    parts = open_.groupBy("shingle", "comp").count()
+    lists = parts.groupBy("shingle").agg(F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("same"))
+    return int(lists.agg(F.sum(((F.col("k") * F.col("k") - F.col("same")) / 2).cast("double"))).first()[0] or 0)
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -287,13 +293,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     hot = _frequent(rows, text_col, shingle)
     base = stage(_prefixes(rows, text_col, shingle, percent, hot, MOST_SMALL), "jaccard-base")
     given = base.where(F.size("prefix") > 0)
-    entries = given.select(F.explode("prefix").alias("shingle"), "node", "n", F.element_at("prefix", -1).alias("w"))
+    # where a prefix ends is kept to 31 bits
+    entries = given.select(F.explode("prefix").alias("shingle"), "node", "n", F.shiftright(F.element_at("prefix", -1), 32).cast("int").alias("w"))
     repeated = stage(
-        entries.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c"))
-        .where("lo < hi").select("shingle", "c"), "jaccard-repeated")
+        entries.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-repeated")
     lists = stage(entries.join(repeated, "shingle").distinct(), "jaccard-entries")
     boundary = _cost_boundary(base, lists, percent)
-    found = [stage(_subset_links(given.where(F.col("n") <= boundary), percent, boundary).select(F.col("node").alias("a"), F.col("to").alias("b")), "jaccard-links")]
+    found = []
+    if boundary:
+        small = _subset_links(given.where(F.col("n") <= boundary), percent, boundary)
+        found.append(stage(small.select(F.col("node").alias("a"), F.col("to").alias("b")), "jaccard-links"))
     lists = lists.where(F.expr(f"100 * n >= {percent} * {boundary + 1}"))
     reps = base.where("n > 0").groupBy("node").agg(F.min(F.struct(ID, ROW)).alias("r")).select("node", "r.*")
 
@@ -304,12 +313,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
         return union
 
     turn, open_, entered = 0, lists.withColumn("comp", F.col("node")), lists.count()
-    while _pairs_left(open_) > PAIRS_A_ROW * entered:
+    while True:
         pairs = stage(_to_hubs(open_, turn, percent), "jaccard-pairs")
         found.append(stage(_verified(rows, reps, pairs, text_col, shingle, percent), "jaccard-links"))
-        turn += 1
-        open_ = _open_lists(lists, components(all_links()))
-        if 10 * found[-1].count() < pairs.count():  # most leaders are strangers to what is left
+        open_, turn = _open_lists(lists, components(all_links())), turn + 1
+        if _pairs_left(open_) <= PAIRS_A_ROW * entered or 4 * found[-1].count() < pairs.count():  # few pairs, or few more links
             break
     rest = stage(_within_lists(open_, percent, boundary), "jaccard-pairs")
     found.append(stage(_verified(rows, reps, rest, text_col, shingle, percent), "jaccard-links"))
