@@ -213,6 +213,5 @@ ORACLES = {
     "tfidf_vocabulary": _TERMS + "SELECT term, df, corpus_tf, round(idf, 9) AS idf FROM v",
     "tfidf": _TERMS + """, raw AS (SELECT doc_id, term, tf * idf AS r FROM counts JOIN v USING (term))
 SELECT doc_id, term, round(r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)), 9) AS weight FROM raw""",
-    "quality_gate_stops_training": "SELECT true AS must_stop, true AS stopped",
     "min_rows_guard": oracle("SELECT count(*) AS rows, count(*) >= 1000 AS passed FROM reviews_raw WHERE rating >= 7 OR rating <= 4", "reviews_raw"),
 }
