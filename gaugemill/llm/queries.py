@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_tokens and n_unknown of every document."""
     pieces = wordpiece.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    return wordpiece.count_tokens(_table(spark, sf_dir, "documents"), pieces, ["doc_id"])
+    return wordpiece.count_tokens(_table(spark, sf_dir, "documents"), pieces, ["doc_id"], whole=True)
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

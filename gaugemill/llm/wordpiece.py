@@ -30,27 +30,34 @@ class Automaton:
 
     States are nodes of two tries: of first pieces and, from ``INNER`` on, of later ones. ``fail`` is where the walk goes
     on once no longer piece can match, ``popped`` how many pieces that completes; both are computed once, breadth first.
+
+    With ``whole`` every piece counts and a word is matched with its mark: the bare mark is a piece, so that a word none of
+    whose first characters stands behind a mark goes on with later pieces, and marks inside words match like any character.
+    Without, as in WordPiece vocabularies, which have no such piece, the bare mark and pieces with further marks are left out.
     """
 
     FIRST, INNER, NONE = 0, 1, -1
 
-    def __init__(self, pieces: Iterable[str], mark: str = WORD_MARK):
+    def __init__(self, pieces: Iterable[str], mark: str = WORD_MARK, whole: bool = False):
         self.next: list[dict[str, int]] = [{}, {}]
         ends, parent = {}, {}
         for piece in pieces:
             first = piece.startswith(mark)
             body = piece[len(mark):] if first else piece
-            if not body or mark in body:
+            if not whole and (not body or mark in body):
                 continue
-            state = self.FIRST if first else self.INNER
-            for char in body:
-                to = self.next[state].get(char)
-                if to is None:
-                    to = self.next[state][char] = len(self.next)
-                    self.next.append({})
-                    parent[to] = (state, char)
-                state = to
-            ends[state] = True
+            ways = [(self.FIRST, body)] if first else [(self.INNER, body)]
+            if whole and first:
+                ways.append((self.INNER, piece))
+            for state, rest in ways:
+                for char in rest:
+                    to = self.next[state].get(char)
+                    if to is None:
+                        to = self.next[state][char] = len(self.next)
+                        self.next.append({})
+                        parent[to] = (state, char)
+                    state = to
+                ends[state] = True
         size = len(self.next)
         self.fail, self.popped = [self.NONE] * size, [0] * size
         todo = deque([self.FIRST, self.INNER])
@@ -93,10 +100,10 @@ class Automaton:
 _built: dict[int, tuple[Automaton, dict[bytes, int]]] = {}
 
 
-def _worker(pieces: list[str], key: int) -> tuple[Automaton, dict[bytes, int]]:
+def _worker(pieces: list[str], whole: bool, key: int) -> tuple[Automaton, dict[bytes, int]]:
     if key not in _built:
         _built.clear()
-        _built[key] = (Automaton(pieces), {})
+        _built[key] = (Automaton(pieces, whole=whole), {})
     return _built[key]
 
 
@@ -113,20 +120,23 @@ def _counts(text: bytes, automaton: Automaton, known: dict[bytes, int]) -> tuple
     return len(words), sum(found) + unknown, unknown
 
 
-def count_tokens(docs: DataFrame, pieces: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
+def count_tokens(
+    docs: DataFrame, pieces: list[str], keep: list[str], text_col: str = "text", whole: bool = False,
+) -> DataFrame:
     """The columns ``keep`` with ``n_words``, ``n_tokens`` and ``n_unknown`` of every whole text.
 
-    A word whose pieces cannot be matched counts as one token and as unknown. Null and empty texts count 0. Rows are
-    independent. Columns in ``keep`` must not bear the names of the counts.
+    A word whose pieces cannot be matched counts as one token and as unknown. With ``whole`` all pieces are used, the bare
+    mark too; without, a word that starts with a character no marked piece has is unknown. Null and empty texts count 0.
+    Rows are independent. Columns in ``keep`` must not bear the names of the counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # bounded by the vocabulary
-    key = hash(tuple(pieces))
+    key = hash((whole, *pieces))
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     names = ["n_words", "n_tokens", "n_unknown"]
     schema = ", ".join([f"`{c}` {fields[c]}" for c in keep] + [f"{n} bigint" for n in names])
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
-        worker = _worker(shared.value, key)
+        worker = _worker(shared.value, whole, key)
         columns = zip(*(_counts(t, *worker) for t in utf8(part.column(text_col))), strict=True)
         return pa.RecordBatch.from_arrays(
             [*(part.column(c) for c in keep), *(pa.array(c, pa.int64()) for c in columns)], names=[*keep, *names])

@@ -46,6 +46,46 @@ def test_automaton_takes_the_longest_piece():
     assert [a.count(w) for w in ("ab", "abcd", "abce", "abcdd", "abq", "x")] == [1, 1, 2, 2, 0, 1]
 
 
+def test_whole_vocabulary_is_matched(spark, tmp_path):
+    from gaugemill.llm import queries
+
+    pieces = set(wordpiece.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    longest = max(map(len, pieces))
+
+    def split(word):
+        left, n = "▁" + word, 0
+        while left:
+            size = next((k for k in range(min(longest, len(left)), 0, -1) if left[:k] in pieces), 0)
+            if not size:
+                return 0
+            left, n = left[size:], n + 1
+        return n
+
+    texts = ["2024", "ñandú", "ça", "ß 日本語 a▁b ▁ ▁the x▁▁▁▁y 7", "the year 1999 was", "\U00012345 a\U00012345", "", None]
+    docs = list(enumerate(texts))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [[split(w) for w in plain.words(t)] for t in texts]
+    assert [sum(f) for f in found[:3]] == [5, 4, 2] and found[5] == [0, 0]
+    got = queries.op1_token_counts(spark, str(tmp_path))
+    assert rows_of(got, "doc_id", "n_words", "n_tokens", "n_unknown") == keyed(
+        docs, [(len(f), sum(f) + f.count(0), f.count(0)) for f in found])
+
+
+def test_whole_automaton_is_the_longest_match():
+    import random
+
+    pick = random.Random(3)
+    for _ in range(300):
+        pieces = {"".join(pick.choice("▁abc") for _ in range(pick.randint(1, 4))) for _ in range(pick.randint(1, 9))}
+        a = wordpiece.Automaton(pieces, whole=True)
+        for _ in range(40):
+            word = "".join(pick.choice("abc▁") for _ in range(pick.randint(1, 9)))
+            left, n = "▁" + word, 0
+            while left and (size := max((len(p) for p in pieces if left.startswith(p)), default=0)):
+                left, n = left[size:], n + 1
+            assert a.count(word) == (0 if left else n), (pieces, word)
+
+
 def test_rules(table, docs, nothing):
     got = rules.ledger(table.drop("n_words", "N_LINES"), ["doc_id"])
     assert rows_of(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == keyed(
