@@ -21,6 +21,8 @@ MOST_SMALL = 12
 SAMPLED, SEEN, HOT = 16, 2, 1 << 18
 #: Pairs of different groups left in lists, per entry of all lists, up to which all of them are compared.
 PAIRS_A_ROW = 100
+#: Ratio of set sizes in one part of a list, where lists are cut by size and place.
+SIZE_STEP = 1.1
 #: Rows up to which the texts to compare are picked by a broadcast list of their keys; beyond, by a shuffled join.
 PICKED_BY_BROADCAST = 500_000
 
@@ -264,6 +266,40 @@ def _within_lists(open_: DataFrame, percent: int, boundary: int) -> DataFrame:
     return _votes(pairs.drop("shingle", "ca", "cb"), percent).select("a", "b")
 
 
+def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) -> DataFrame:
+    """The pairs of ``_within_lists``, from lists that are cut by size and place before anything is paired.
+
+    Two linked sets share all they share from their first common shingle on, so at its places they have enough left: a set
+    of n with the place p there links with none of more than (100 n - (100 + percent) p) / percent, its reach. One of the
+    two then reaches its own size. Lists in which none does are dropped, the others are met by both sets' sizes and reaches.
+    Texts that share a boilerplate too small to link them stand late in its lists and meet nowhere.
+    """
+    prefixes = stage(base.where(F.size("prefix") > 0).select("node", "n", "prefix").dropDuplicates(["node"])
+                     .join(open_.select("node").distinct(), "node", "left_semi"), "jaccard-prefixes")
+    places = stage(
+        prefixes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
+        .join(open_.select("shingle", "node", "comp"), ["shingle", "node"])
+        .select("shingle", "node", "comp", "n", F.expr(f"cast((100L * n - {100 + percent}L * at) div {percent} as int)").alias("reach")),
+        "jaccard-places")
+    step = lambda x: F.floor(F.log(x) / F.log(F.lit(SIZE_STEP))).cast("int")
+    each = stage(
+        places.join(places.where("reach >= n").select("shingle").distinct(), "shingle", "left_semi").withColumns({
+            "own": step(F.col("n")),
+            "other": F.explode(F.sequence(step(F.ceil(F.lit(percent) * F.col("n") / 100)), step(F.greatest("reach", F.lit(1))))),
+        }), "jaccard-parts")
+    left = each.where("reach >= n").select("shingle", F.col("own").alias("x"), F.col("other").alias("y"), *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "reach", "comp")))
+    right = each.select("shingle", F.col("other").alias("x"), F.col("own").alias("y"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "reach", "comp")))
+    met = left.join(right, ["shingle", "x", "y"]).where(F.expr(
+        f"node_a <> node_b and comp_a <> comp_b and (reach_b < n_b or node_a < node_b) and n_a <= reach_b and n_b <= reach_a "
+        f"and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and greatest(n_a, n_b) > {boundary}"))
+    pairs = stage(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "jaccard-met")
+    for x in "ab":
+        pairs = pairs.join(prefixes.select(
+            F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"),
+            F.shiftright(F.element_at("prefix", -1), 32).cast("int").alias(f"w{x}")), x)
+    return pairs.where(F.size(F.array_intersect("pa", "pb")) >= _least_votes(percent)).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75,
     size_as: str = "n_shingles", group_as: str = "component_id",
@@ -278,7 +314,8 @@ def near_duplicates(
     Links are found by size. Sets up to a boundary, chosen by cost, enumerate the subsets that prove a link. Larger ones
     stand in inverted lists of their first shingles, in an order that puts frequent ones last. Lists are first
     joined with one leading set each, turn by turn, so that a group of near copies falls together without pairing its members;
-    once the pairs left between different groups are few for the size of the lists, all of them are compared. Links within a group that is known already
+    once the pairs left between different groups are few for the size of the lists, all of them are compared. If they stay
+    many while turns bring few links, lists are cut by set size and place before their sets are paired. Links within a group that is known already
     change nothing and are not looked for. Similarities are counted on whole sets; shingles are hashes of 62 bits.
     """
     return _grouped(docs.drop(size_as, group_as), id_col, text_col, shingle, percent, size_as, group_as).drop(ID, ROW, _GROUP)
@@ -317,9 +354,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
         pairs = stage(_to_hubs(open_, turn, percent), "jaccard-pairs")
         found.append(stage(_verified(rows, reps, pairs, text_col, shingle, percent), "jaccard-links"))
         open_, turn = _open_lists(lists, components(all_links())), turn + 1
-        if _pairs_left(open_) <= PAIRS_A_ROW * entered or 4 * found[-1].count() < pairs.count():  # few pairs, or few more links
+        few = _pairs_left(open_) <= PAIRS_A_ROW * entered
+        if few or 4 * found[-1].count() <= pairs.count():  # few pairs, or few more links or none
             break
-    rest = stage(_within_lists(open_, percent, boundary), "jaccard-pairs")
+    rest = stage(_within_lists(open_, percent, boundary) if few else _by_place(base, open_, percent, boundary), "jaccard-pairs")
     found.append(stage(_verified(rows, reps, rest, text_col, shingle, percent), "jaccard-links"))
     labels = components(all_links())
     members = stage(base.select(ID, ROW, "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-members")

@@ -172,6 +172,31 @@ def test_small_sets_join_by_subsets(spark):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == keyed(docs, plain.groups(docs))
 
 
+@pytest.mark.parametrize("own", [[75], [20, 40, 48, 50, 52, 60, 75, 90]])
+def test_shared_boilerplate_ends(spark, own):
+    block = " ".join(f"b{i}" for i in range(304))  # 300 shingles: of 375 they link none, of 350 or fewer in both they do
+    docs = [(k, " ".join([f"{k}-{i}" for i in range(own[k % len(own)])] + [block])) for k in range(240)]
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == keyed(docs, plain.groups(docs))
+
+
+def test_groups_by_place(spark, table, docs, monkeypatch):
+    import random
+
+    monkeypatch.setattr(jaccard, "PAIRS_A_ROW", -1)
+    monkeypatch.setattr(jaccard, "_to_hubs", lambda open_, *_: open_.limit(0).select("node", "node").toDF("a", "b"))
+    got = jaccard.near_duplicates(table)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == keyed(docs, plain.groups(docs))
+    pick, more = random.Random(8), []
+    for k in range(150):
+        words = [f"{k % 10}-{i}" for i in range(60 + k % 10)]
+        for _ in range(pick.randint(0, 3)):
+            words[pick.randrange(len(words))] = f"new{pick.random()}"
+        more.append((k, " ".join(words[pick.randint(0, 8):])))
+    got = jaccard.near_duplicates(spark.createDataFrame(more, "doc_id long, text string"))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == keyed(more, plain.groups(more))
+
+
 def test_leaks(spark, table, docs, nothing):
     pick = dict((d, t) for d, t in docs if t)
     cut = lambda d, a, b: " ".join(plain.words(pick[d])[a:b])
