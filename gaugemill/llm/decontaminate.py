@@ -67,7 +67,7 @@ def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 
 def _anchors(rows: DataFrame, text_col: str, items: DataFrame) -> DataFrame:
-    """Places of the documents' shingles that some item has, with the number of words ``l`` of such items.
+    """Places of the documents' shingles that some item has, with the number of words ``l`` of such items and ``d`` of the text.
 
     A window that is similar to an item shares most of its shingles, so windows without any need no fingerprint.
     """
@@ -75,17 +75,17 @@ def _anchors(rows: DataFrame, text_col: str, items: DataFrame) -> DataFrame:
         "l", F.least("l", F.lit(SHINGLE)).alias("size"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("wh"))
     sizes = [r[0] for r in hashed.select("size").distinct().collect()]  # 1 to SHINGLE
-    words = rows.select(ID, ROW, F.transform(_words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("wh"))
+    words = rows.select(ID, ROW, F.transform(_words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("wh")).withColumn("d", F.size("wh"))
     found = []
     for size in sorted(sizes):
         wanted = hashed.where(F.col("size") == size).select("l", F.explode(_gram_hashes(F.col("wh"), size)).alias("gram"))
         wanted = stage(wanted.distinct(), "leak-grams")
         blocks = max(1, -(-wanted.count() // BLOCK_SHINGLES))
-        places = words.select(ID, ROW, F.posexplode(_gram_hashes(F.col("wh"), size)).alias("at", "gram"))
+        places = words.select(ID, ROW, "d", F.posexplode(_gram_hashes(F.col("wh"), size)).alias("at", "gram"))
         for block in range(blocks):
             part = wanted.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == block)
-            found.append(places.join(F.broadcast(part), "gram").select(ID, ROW, "l", "at"))
-    out = found[0] if found else rows.select(ID, ROW, F.lit(0).alias("l"), F.lit(0).alias("at")).limit(0)
+            found.append(places.join(F.broadcast(part), "gram").select(ID, ROW, "d", "l", "at"))
+    out = found[0] if found else rows.select(ID, ROW, F.lit(0).alias("d"), F.lit(0).alias("l"), F.lit(0).alias("at")).limit(0)
     for more in found[1:]:
         out = out.unionByName(more)
     return out
@@ -93,18 +93,22 @@ def _anchors(rows: DataFrame, text_col: str, items: DataFrame) -> DataFrame:
 
 def _dense_windows(anchors: DataFrame) -> DataFrame:
     """Starts of windows of ``l`` words with as many anchors as a similar item demands: a window's n shingles and an
-    item's n have 6 n / 7 in common at 75 percent. Linear in the anchors of a document."""
+    item's n have 6 n / 7 in common at 75 percent. A text of fewer words, with m shingles, is one window and has
+    3 (n + m) / 7 in common. Linear in the anchors of a document."""
     shingles = F.col("l") - F.least("l", F.lit(SHINGLE)) + 1
+    held = F.least("l", "d")
     places = (
-        anchors.groupBy(ID, ROW, "l").agg(F.array_sort(F.collect_set("at")).alias("p"))
+        anchors.groupBy(ID, ROW, "d", "l").agg(F.array_sort(F.collect_set("at")).alias("p"))
         .withColumn("n", shingles)
-        .withColumn("t", F.ceil(F.lit(2 * PERCENT) * F.col("n") / F.lit(100 + PERCENT)).cast("int"))
+        .withColumn("m", held - F.least(held, F.lit(SHINGLE)) + 1)
+        .withColumn("t", F.ceil(F.lit(PERCENT) * (F.col("n") + F.col("m")) / F.lit(100 + PERCENT)).cast("int"))
         .where(F.size("p") >= F.col("t"))
     )
-    each = places.select(ID, ROW, "l", "n", "t", "p", F.explode(F.sequence(F.lit(0), F.size("p") - F.col("t"))).alias("k"))
-    low = F.greatest(F.coalesce(F.get("p", F.col("k") - 1) + 1, F.lit(0)), F.get("p", F.col("k") + F.col("t") - 1) - F.col("n") + 1, F.lit(0))
+    whole = F.col("d") < F.col("l")
+    each = places.select(ID, ROW, "d", "l", "n", "t", "p", F.explode(F.sequence(F.lit(0), F.when(whole, 0).otherwise(F.size("p") - F.col("t")))).alias("k"))
+    low = F.when(whole, 0).otherwise(F.greatest(F.coalesce(F.get("p", F.col("k") - 1) + 1, F.lit(0)), F.get("p", F.col("k") + F.col("t") - 1) - F.col("n") + 1, F.lit(0)))
     return (
-        each.select(ID, ROW, "l", low.alias("low"), F.get("p", F.col("k")).alias("high")).where("low <= high")
+        each.select(ID, ROW, "l", low.alias("low"), F.when(whole, 0).otherwise(F.get("p", F.col("k"))).alias("high")).where("low <= high")
         .select(ID, ROW, "l", F.explode(F.sequence("low", "high")).alias("start"))
     )
 
@@ -115,10 +119,10 @@ def find_leaks(
     """One row per document and benchmark item that it holds: ``id_col``, ``item_col``, ``start`` (word, from 0) and
     ``n_words`` of the best window (the first of equals), and its ``similarity``.
 
-    A window has as many words as the item. Windows whose shingles are mostly an item's get a SimHash of their words;
+    A window has as many words as the item; a text of fewer words is one window as a whole. Windows whose shingles are mostly an item's get a SimHash of their words;
     those within RADIUS bits of an item's meet it in one of four blocks, whose near values the item enters in advance;
     such pairs are checked on their five-word shingles, weighted by how often they occur: the common weight over the united.
-    Words are A-Z lower-cased. Null and empty texts and items, and texts shorter than every item, leak nothing. Repeated
+    Words are A-Z lower-cased. Null and empty texts and items leak nothing. Repeated
     rows with one id give one row; a null id stays null. Only the benchmark, in blocks of bounded size, is broadcast.
     """
     rows = with_row_keys(docs.select(F.col(id_col).alias(id_col), text_col), id_col, text_col)
@@ -131,7 +135,7 @@ def find_leaks(
     cut = (
         held.select(id_col, _words(F.col(text_col)).alias("words"), "w")
         .select(id_col, "words", F.explode("w").alias("w"))
-        .where(F.col("w.start") + F.col("w.l") <= F.size("words"))
+        .where(F.col("w.start") + F.least(F.col("w.l"), F.size("words")) <= F.size("words"))
         .select(id_col, F.col("w.l").alias("l"), F.col("w.start").alias("start"), F.slice("words", F.col("w.start") + 1, F.col("w.l")).alias("words"))
     )
     printed = stage(cut.withColumn("print", _fingerprint(F.col("words"))), "leak-prints")
@@ -148,15 +152,15 @@ def find_leaks(
         .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
         .select(id_col, "l", "start", "words", "item").distinct()
     )
-    compared = met.withColumn("grams", _grams(F.col("words"))).join(items.select("item", F.col("grams").alias("item_grams")), "item")
+    compared = met.withColumn("grams", _grams(F.col("words"))).join(items.select("item", "l", F.col("grams").alias("item_grams")), ["item", "l"])
     count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
     common = F.aggregate(
         F.array_distinct("item_grams"), F.lit(0),
         lambda s, g: s + F.least(count(F.col("item_grams"), g), count(F.col("grams"), g)))
-    n = F.size("item_grams")
+    total = F.size("item_grams") + F.size("grams")
     return (
-        compared.withColumn("common", common).where(100 * F.col("common") >= PERCENT * (2 * n - F.col("common")))
-        .select(id_col, "item", "start", "l", (F.col("common") / (2 * n - F.col("common"))).alias("similarity"))
+        compared.withColumn("common", common).where(100 * F.col("common") >= PERCENT * (total - F.col("common")))
+        .select(id_col, "item", "start", F.size("words").alias("l"), (F.col("common") / (total - F.col("common"))).alias("similarity"))
         .groupBy(id_col, "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "l")).alias("best"))
         .select(id_col, F.col("item").alias(item_col), (-F.col("best.back")).cast("long").alias("start"),
                 F.col("best.l").cast("long").alias("n_words"), F.col("best.similarity").alias("similarity"))

@@ -214,6 +214,35 @@ def test_leaks(spark, table, docs, nothing):
     assert decontaminate.without_leaks(table, bench.limit(0)).count() == table.count()
 
 
+def test_texts_shorter_than_the_item_leak(spark):
+    import random
+
+    pick = random.Random(6)
+    items = [(k, " ".join(f"w{pick.randrange(10**6)}" for _ in range(39))) for k in range(6)] + [(6, "a b c d e f g h"), (7, "a b c d")]
+    say = dict((k, t.split()) for k, t in items)
+    texts = {  # 35 shingles: similarity 34/35, 30/35, 27/35, 26/35
+        0: say[0][:38], 1: say[1][5:], 2: say[2][:31], 3: say[3][4:34], 4: ["x", *say[4][:36]], 5: say[5], 6: say[6][:7], 7: say[7][:3],
+    }
+    docs = spark.createDataFrame([(d, " ".join(w).upper()) for d, w in texts.items()], "doc_id long, text string")
+    grams = lambda w: Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    want = {}
+    for d, w in texts.items():
+        for item, q in say.items():
+            m = min(len(w), len(q))
+            found = []
+            for start in range(len(w) - m + 1):
+                a, b = grams(w[start:start + m]), grams(q)
+                if 100 * (a & b).total() >= 75 * (a | b).total():
+                    found.append((-(a & b).total() / (a | b).total(), start, m))
+            if found:
+                want[d, item] = min(found)
+    assert {d for d, _ in want} == {0, 1, 2, 4, 5, 6} and want[0, 0] == (-34 / 35, 0, 38)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (-r.similarity, r.start, r.n_words) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == want
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()} == {3, 7}
+
+
 def test_bpe(table, docs, nothing):
     import tiktoken
 
