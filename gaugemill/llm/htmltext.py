@@ -25,6 +25,11 @@ CLASSES = (
     "comment comments commentlist disqus reply replies respond discussion pagination pager toolbar widget widgets banner "
     "skip copyright"
 )
+#: Of these, what names readers' comments; and ids of sections that no article's heading makes.
+COMMENTS = "comment comments commentlist disqus reply replies respond discussion"
+SECTION_IDS = "nav navbar breadcrumb breadcrumbs sidebar masthead topbar ad ads advert adverts newsletter comment comments commentlist disqus respond"
+CONTAINERS = "section div ol ul li"
+HEADINGS = "h1 h2 h3 h4 h5 h6"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 INLINE = (
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike "
@@ -39,6 +44,9 @@ ENDS_P = (
 
 _RAW, _LEFT_OUT, _ROLES, _CLASSES, _VOID, _INLINE, _ENDS_P = (
     frozenset(s.split()) for s in (RAW, LEFT_OUT, ROLES, CLASSES, VOID, INLINE, ENDS_P))
+_COMMENTS, _SECTION_IDS, _CONTAINERS, _HEADINGS = (frozenset(s.split()) for s in (COMMENTS, SECTION_IDS, CONTAINERS, HEADINGS))
+_COMMENT_NAME = re.compile(r"(?:comment|reply)(?:[_-].*)?|comments|replies", re.S)
+_COMMENT_ID = re.compile(r"(?:comment|reply)(?:[_-]?\d+)?")
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(sorted(_RAW)) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?][^>]*>",
@@ -70,8 +78,15 @@ def _left_out(name: str, attributes: str, in_article: bool) -> bool:
         return False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and not _CLASSES.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
+        if key in ("class", "id"):
+            tokens = set(re.split(r"[\s_-]+", value))
+            if key == "id" and in_article and name in _HEADINGS:
+                continue  # made from the heading's words
+            if key == "id" and in_article and name == "section":
+                if tokens <= _SECTION_IDS:
+                    return True
+            elif not _CLASSES.isdisjoint(tokens):
+                return True
         if key == "role" and value in _ROLES or key == "aria-hidden" and value == "true":
             return True
         if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
@@ -79,14 +94,27 @@ def _left_out(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _of_comments(name: str, attributes: str) -> bool:
+    """Whether an article is a reader's comment, or a container is one of comments."""
+    for key, value in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if name == "article":
+            if key == "class" and any(map(_COMMENT_NAME.fullmatch, value.split())) or key == "id" and _COMMENT_ID.fullmatch(value):
+                return True
+        elif name in _CONTAINERS and key in ("class", "id") and not _COMMENTS.isdisjoint(re.split(r"[\s_-]+", value)):
+            return True
+    return False
+
+
 def parse(source: str) -> Page:
     """Steps of a page. A tag's feature is its name, a text's the element around it. An element that is left out is one
     step, its opening tag; what it holds is worth nothing either way."""
     page, end, block = Page(), 0, 0
     open_: list[tuple[str, bool, bool]] = []  # name, left out, part of an article
+    threads: list[bool] = []  # of each open element: left out as comments, or in one that is
 
     def close(at: int) -> None:
-        del open_[at:]
+        del open_[at:], threads[at:]
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
@@ -129,15 +157,17 @@ def parse(source: str) -> Page:
                 close(len(open_) - 1)
             if name == "body":
                 close(0)
-            elif name in ("article", "main"):
+            comment = name == "article" and (_of_comments(name, attributes) or bool(threads and threads[-1]))
+            if name in ("article", "main") and not comment:
                 at = next((i for i, (_, o, _) in enumerate(open_) if o), None)
                 if at is not None and not any(n in ("article", "main") for n, _, _ in open_[:at]):
                     close(at)  # what was left out never ended; an article is not part of it
                 page.labelled = True
             out, article = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
-            article = article or name in ("article", "main")
-            within, out = out, out or _left_out(name, attributes, article)
+            article = article or name in ("article", "main") and not comment
+            within, out = out, out or comment or _left_out(name, attributes, article)
             open_.append((name, out, article))
+            threads.append(bool(threads and threads[-1]) or comment or out and _of_comments(name, attributes))
             begins = out and not within
         page.features.append("left:" + name if begins else LEFT if out else "tag:" + name)
         page.counts.append(1)

@@ -296,6 +296,18 @@ def test_pages(spark, nothing):
     assert htmltext.extract(frame.limit(0), ["page_id"]).count() == 0
 
 
+def test_ids_of_headings_stay_and_comments_go():
+    weights = {"word:p": 1.0, "word:h2": 1.0}
+    page = ('<body><article><h1>T</h1><section id="discussion"><h2 id="related-work">Related work</h2><p>We discuss.</p></section>'
+            '<h2 id="search">Search</h2><p>End.</p></article>')
+    want = "T\nRelated work\nWe discuss.\nSearch\nEnd."
+    for after in ('<section class="comments"><article class="comment"><p>Nice read, many words here to bridge a gap of tags</p></article></section>',
+                  '<section class="comments"><article><p>Nice read, many words here to bridge a gap of tags</p></article></section>',
+                  '<article class="comment"><p>Nice read, many words here to bridge a gap of tags</p></article>', ""):
+        assert htmltext.main_text(page + after, weights) == want
+    assert htmltext.main_text('<div class="nav">x<article><p>never ended</p></article>', weights) == "never ended"
+
+
 def test_best_stretch_is_kadanes():
     import random
 
