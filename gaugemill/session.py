@@ -27,19 +27,24 @@ def local_session(app: str = "gaugemill", cores: int | str = "*", partitions: in
     return spark
 
 
+#: Folders made for local sessions that name none, by application.
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session's spark.checkpoint.dir names it.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own, the same one as long as it runs.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="gaugemill-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    application = spark.sparkContext.applicationId
+    if application not in _made:
+        _made[application] = tempfile.mkdtemp(prefix="gaugemill-")
+    return _made[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -50,8 +55,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it.
 
-    Cuts the lineage of iterative jobs with a table that outlives lost executors.
+    Cuts the lineage of iterative jobs with a table that outlives lost executors. ``discard`` removes it.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing will read any more; what was made from them must have been written itself.
+
+    Tables that ``stage`` did not return are left alone.
+    """
+    for table in tables:
+        path = table.__dict__.pop("_staged_at", None)
+        if path:
+            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
