@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe, decontaminate, htmltext, jaccard, linededup, ruleensemble, rules, substrings, suffixes, wordpiece
+from gaugemill.llm import (
+    alignment, bpe, covering, decontaminate, htmltext, jaccard, linededup, ruleensemble, rules, spelling, substrings, suffixes, wordpiece,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +84,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its neighbours' number, the form it is a variant of, and the last form."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the smallest id of those it is linked with."""
+    return covering.near_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers lie to each other in every document, and how common their links are."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as g:
+        aligned = alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), f.read(), g.read())
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", alignment.groups_hash().alias("groups_sha256"))
+
+
 _BLANK = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
 _OP3 = r"""
@@ -148,5 +168,6 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
 FROM k GROUP BY doc_id
 """
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op2_html_text, op3_quality_rules, op4_quality_classifier, op5_decontamination, op6_substring_dedup, op7_line_dedup, op8_suffix_dedup, op9_byte_bpe, op10_jaccard_join)}
+QUERIES = {q.__name__: q for q in (op1_token_counts, op2_html_text, op3_quality_rules, op4_quality_classifier, op5_decontamination, op6_substring_dedup, op7_line_dedup, op8_suffix_dedup, op9_byte_bpe, op10_jaccard_join,
+                               op11_spelling_variants, op12_simhash_groups, op13_token_alignment)}
 ORACLES = {"op3_quality_rules": _OP3, "op5_decontamination": _OP5, "op6_substring_dedup": _OP6, "op7_line_dedup": _OP7}
