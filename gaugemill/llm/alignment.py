@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ SHARD = 1 << 17
 #: Counts in one piece of a vector, and vectors that are added up at a time.
 BLOCK, FAN_IN = 1 << 16, 8
 #: Units whose alignment a worker remembers, and distinct pairs a task holds before it passes their counts on.
-REMEMBERED, HELD = 200_000, 1_000_000
+REMEMBERED, HELD = 300_000, 1_000_000
 
 #: A text may be cut before a blank that stands between a visible ASCII or Latin-1 sign and a letter: no match of the first
 #: tokenizer's pattern runs over such a place, and no piece of the second has a mark behind another sign.
@@ -64,77 +65,112 @@ class Aligner:
         names = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.cut = not any("▁" in p.lstrip("▁") for p in names)
-        self.a_names, self.b_names = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
+        self.a_sizes, self.b_sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        # ids as text: of the first inside a group and at its end, of the second likewise
+        self.names = [f"{i}{end}" for x, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(x))]
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int, int]] = []  # of a unit: tokens of both, groups, links; -1 groups where bytes differ
-        self.links: list[np.ndarray] = []
+        self.counts = np.zeros((0, 4), np.int64)  # of a unit: tokens of both, groups, links; -1 groups where bytes differ
+        self.pool = np.zeros(0, np.int64)  # the links of all units
+        self.starts = np.zeros(0, np.int64)
         self.groups: list[str] = []
 
-    def learn(self, units: list[str]) -> None:
+    def learn(self, units: list[str], with_groups: bool = True) -> None:
         new = list(dict.fromkeys(u for u in units if u not in self.known))
         if not new:
             return
-        firsts = self.first.encode_batch_fast([" " + u for u in new], add_special_tokens=False)
+        firsts = [e.ids for e in self.first.encode_batch_fast([" " + u for u in new], add_special_tokens=False)]
         seconds = self.second.encode(new, num_threads=1)
-        for unit, first, b in zip(new, firsts, seconds, strict=True):
-            self.known[unit] = len(self.counts)
-            self._add(b" " + unit.encode(), first.ids, b)
-
-    def _add(self, text: bytes, a: list[int], b: list[int]) -> None:
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != text or b"".join(b_parts) != text:
-            self.counts.append((0, 0, -1, 0))
-            self.links.append(np.zeros(0, np.int64))
-            self.groups.append("")
-            return
-        links, groups, i, j, start_a, start_b = [], [], 0, 0, 0, 0
-        end_a, end_b = len(a_parts[0]), len(b_parts[0])
-        while True:  # a pair overlaps up to the nearer end of the two
-            links.append(a[i] << 32 | b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join([self.a_names[x] for x in a[start_a:i + 1]])}|{','.join([self.b_names[x] for x in b[start_b:j + 1]])}")
-                start_a, start_b = i + 1, j + 1
-                if start_a == len(a):
-                    break
-            ahead, behind = end_a <= end_b, end_b <= end_a
-            if ahead:
-                i += 1
-                end_a += len(a_parts[i])
-            if behind:
-                j += 1
-                end_b += len(b_parts[j])
-        self.counts.append((len(a), len(b), len(groups), len(links)))
-        self.links.append(np.array(links, np.int64))
-        self.groups.append(";".join(groups))
+        texts = [b" " + u.encode() for u in new]
+        good = np.ones(len(new), bool)
+        if not (self._renders(self.a_bytes, firsts, texts) and self._renders(self.b_bytes, seconds, texts)):
+            good = np.array([self._renders(self.a_bytes, [a], [t]) and self._renders(self.b_bytes, [b], [t])
+                             for a, b, t in zip(firsts, seconds, texts, strict=True)], bool)
+            firsts, seconds, texts = (list(compress(x, good)) for x in (firsts, seconds, texts))
+        counts, links, groups = self._aligned(firsts, seconds, np.fromiter(map(len, texts), np.int64, len(texts)), with_groups)
+        rows = np.zeros((len(new), 4), np.int64)
+        rows[:, 2] = -1
+        rows[good] = counts
+        for u in new:
+            self.known[u] = len(self.known)
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(rows[:, 3]) - rows[:, 3]])
+        self.counts, self.pool = np.concatenate([self.counts, rows]), np.concatenate([self.pool, links])
+        text_of = iter(groups)
+        self.groups.extend(next(text_of) if g else "" for g in good.tolist()) if with_groups else None
+
+    @staticmethod
+    def _renders(tokens: list[bytes], ids: list[list[int]], texts: list[bytes]) -> bool:
+        """Do the ids of each text stand for its bytes?"""
+        parts = [b"".join(map(tokens.__getitem__, x)) for x in ids]
+        return parts == texts
+
+    def _aligned(self, firsts: list[list[int]], seconds: list[list[int]], sizes: np.ndarray, with_groups: bool):
+        """Counts of each unit, the links of all, and each unit's groups as text. Units lie end to end; all their ends are common."""
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (firsts, seconds))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((firsts, n_a), (seconds, n_b)))
+        total = int(sizes.sum())
+        is_a, is_b = np.zeros(total, bool), np.zeros(total, bool)
+        end_a, end_b = np.cumsum(self.a_sizes[a]) - 1, np.cumsum(self.b_sizes[b]) - 1
+        is_a[end_a], is_b[end_b] = True, True
+        # a pair overlaps up to the nearer end of its two tokens, so each end of either closes one link
+        at = np.flatnonzero(is_a | is_b)
+        in_a, in_b = np.cumsum(is_a) - is_a, np.cumsum(is_b) - is_b
+        links = a[in_a[at]] << 32 | b[in_b[at]]
+        both = is_a & is_b
+        ends = np.cumsum(sizes) - 1
+        upto = lambda marks: np.diff(np.cumsum(marks)[ends], prepend=0)
+        counts = np.stack([n_a, n_b, upto(both), upto(is_a | is_b)], axis=1) if len(sizes) else np.zeros((0, 4), np.int64)
+        if not with_groups:
+            return counts, links, []
+        common = np.flatnonzero(both)
+        a_upto, b_upto = np.concatenate([[0], in_a[common] + 1]), np.concatenate([[0], in_b[common] + 1])
+        group_a, group_b = (np.cumsum(both) - both)[end_a], (np.cumsum(both) - both)[end_b]
+        order_a, order_b = np.arange(len(a)), np.arange(len(b))
+        names = np.empty(len(a) + len(b), np.int64)
+        n = len(self.a_bytes)
+        names[order_a + b_upto[group_a]] = a + np.where(order_a + 1 == a_upto[group_a + 1], n, 0)
+        names[order_b + a_upto[group_b + 1]] = 2 * n + b + np.where(order_b + 1 == b_upto[group_b + 1], len(self.b_bytes), 0)
+        parts = list(map(self.names.__getitem__, names.tolist()))
+        cuts = [0, *np.cumsum(n_a + n_b).tolist()]
+        return counts, links, ["".join(parts[s:e])[:-1] for s, e in zip(cuts, cuts[1:], strict=False)]
+
+    def links_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All links of these units one after the other, and how many each has."""
+        n = self.counts[units, 3]
+        return self.pool[np.repeat(self.starts[units] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], n
 
     def units(self, text: str) -> list[str]:
         return _SAFE.split(text) if self.cut else [text]
 
-    def numbers(self, texts: list[str | None]) -> list[list[int]]:
-        """The units of each text by number; none for a text that is null, empty or not rendered byte for byte."""
+    def numbers(self, texts: list[str | None], with_groups: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all texts by number, and how many each text has: none if it is null, empty or not rendered byte for byte."""
         if len(self.known) >= REMEMBERED:
             self.clear()
         cut = [self.units(t) if t else [] for t in texts]
-        self.learn([u for units in cut for u in units])
-        found = [list(map(self.known.__getitem__, units)) for units in cut]
-        bad = [k for k, row in enumerate(found) if any(self.counts[u][2] < 0 for u in row)]
-        if bad:  # the contract is on the joined bytes of a whole text
-            self.learn([texts[k] for k in bad])
+        flat = list(chain.from_iterable(cut))
+        self.learn(flat, with_groups)
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        found = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        wrong = self.counts[found, 2] < 0
+        if wrong.any():  # the contract is on the joined bytes of a whole text
+            rows = np.split(found, np.cumsum(sizes)[:-1])
+            bad = np.unique(np.repeat(np.arange(len(texts)), sizes)[wrong]).tolist()
+            self.learn([texts[k] for k in bad], with_groups)
             for k in bad:
                 whole = self.known[texts[k]]
-                found[k] = [whole] if self.counts[whole][2] >= 0 else []
-        return found
+                rows[k] = np.array([whole] if self.counts[whole, 2] >= 0 else [], np.int64)
+            found, sizes = np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
+        return found, sizes
 
 
 #: Of this Python worker, by what it was built from.
-_built: dict[int, Aligner] = {}
+_built: dict[tuple[int, bool], Aligner] = {}
 
 
-def _aligner(files) -> Aligner:
-    key = hash(files.value)
+def _aligner(files, with_groups: bool = True) -> Aligner:
+    key = hash(files.value), with_groups  # passes with and without the groups' texts do not share units
     if key not in _built:
         _built.clear()
         _built[key] = Aligner(*files.value)
@@ -159,12 +195,15 @@ def pair_counts(docs: DataFrame, files, text_col: str = "text") -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, text_col, limit):
-                aligner = _aligner(files)
-                each = [np.unique(np.concatenate([aligner.links[u] for u in set(row)]))
-                        for row in aligner.numbers(part.column(text_col).to_pylist()) if row]
-                if not each:
+                aligner = _aligner(files, False)
+                units, sizes = aligner.numbers(part.column(text_col).to_pylist(), False)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                distinct = np.unique(row * len(aligner.counts) + units)
+                links, lengths = aligner.links_of(distinct % max(1, len(aligner.counts)))
+                if not len(links):
                     continue
-                found, n = np.unique(np.concatenate(each), return_counts=True)
+                found, at = np.unique(links, return_inverse=True)
+                n = np.bincount(np.unique(np.repeat(distinct // len(aligner.counts), lengths) * len(found) + at) % len(found), minlength=len(found))
                 keys.append(found)
                 counts.append(n)
                 if sum(map(len, keys)) >= held:
@@ -330,29 +369,28 @@ def _looked_up(docs: DataFrame, files, text_col: str, tables: list, best: np.nda
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             aligner = _aligner(files)
-            rows = aligner.numbers(batch.column(text_col).to_pylist())
-            units = sorted({u for row in rows for u in row})
-            links = [aligner.links[u] for u in units]
-            per_unit = np.zeros((len(units), 6), np.int64)
-            if units:
-                per_unit[:, :4] = [aligner.counts[u] for u in units]
-                lengths = np.fromiter(map(len, links), np.int64, len(links))
-                pairs, at = np.unique(np.concatenate(links), return_inverse=True)
-                counts = np.zeros(len(pairs), np.int64)
-                if shared is not None:
-                    known, keys, all_counts, top = shared.value
-                    number = known.index(pairs)
-                    sure = (number >= 0) & (keys[np.maximum(number, 0)] == pairs)
-                    counts[sure] = all_counts[number[sure]]
-                    is_best = sure & (counts == top[pairs >> 32])
-                    starts = np.cumsum(lengths) - lengths
-                    per_unit[:, 4] = np.add.reduceat(is_best.astype(np.int64)[at], starts)
-                    per_unit[:, 5] = np.add.reduceat(counts[at], starts)
-            where = {u: k for k, u in enumerate(units)}
-            sums = np.array([per_unit[[where[u] for u in row]].sum(axis=0) if row else np.zeros(6, np.int64) for row in rows], np.int64).reshape(len(rows), 6)
+            found, sizes = aligner.numbers(batch.column(text_col).to_pylist())
+            units, of = np.unique(found, return_inverse=True)
+            per_unit = np.zeros((len(units) + 1, 6), np.int64)
+            per_unit[:-1, :4] = aligner.counts[units]
+            links, lengths = aligner.links_of(units)
+            if shared is not None and len(links):
+                known, keys, all_counts, top = shared.value
+                pairs, at = np.unique(links, return_inverse=True)
+                number = known.index(pairs)
+                sure = (number >= 0) & (keys[np.maximum(number, 0)] == pairs)
+                counts = np.where(sure, all_counts[np.maximum(number, 0)], 0)
+                is_best = sure & (counts == top[np.minimum(pairs >> 32, len(top) - 1)])
+                starts = np.cumsum(lengths) - lengths
+                per_unit[:-1, 4] = np.add.reduceat(is_best.astype(np.int64)[at], starts)
+                per_unit[:-1, 5] = np.add.reduceat(counts[at], starts)
+            running = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(per_unit[of], axis=0)])
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            sums = running[ends[1:]] - running[ends[:-1]]
             for k, name in enumerate(before):
                 sums[:, 4 + k] += batch.column(name).to_numpy()
-            groups = [";".join(aligner.groups[u] for u in row) for row in rows]
+            texts = list(map(aligner.groups.__getitem__, found.tolist()))
+            groups = [";".join(texts[s:e]) for s, e in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
             return pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), *(pa.array(sums[:, k]) for k in range(6)), pa.array(groups, pa.string())],
                 names=[*kept, *added])
