@@ -11,6 +11,7 @@ from checks.cleaning import _PREPARED
 from checks.lifecycle import ORACLES as _LIFECYCLE
 from checks.runlog import ORACLES as _RUNLOG
 from checks.runlog import _fold
+from checks.runlog import _fold
 from checks.splits import _HELD
 from checks.views import oracle, table, view
 from gaugemill.operators import runlog
@@ -181,19 +182,39 @@ def event_fanout(spark, sf):
 
     stream = events.stream_events(spark, path, files_per_trigger=2)
     folds.fan_out(stream, scratch_path(spark, "fanout"), [folds.parquet_sink(kept), fold]).awaitTermination()
-    latest = folds.latest_per_key(spark.read.parquet(folded).drop("batch_id"), ["flow_run_id", "step_name"])
+    latest = folds.latest_per_key(spark.read.parquet(folded), ["flow_run_id", "step_name"], "seq").drop("batch_id")
     totals = spark.read.parquet(kept).groupBy("flow_run_id").agg(F.count("*").alias("events"))
     return latest.join(totals, "flow_run_id").select("flow_run_id", "step_name", "state", "events")
 
 
-def step_state_stream(spark, sf):
-    """Update-mode streaming fold, collapsed to its last row per key: the batch replay's step states."""
+def _live(spark, sf, fold, keys):
+    """The newest row of each key of an update-mode fold of the log, a few files a micro-batch."""
     path, out = scratch_path(spark, "events"), scratch_path(spark, "updates")
     events.write_events(view(spark, sf, "run_events"), path)
-    stream = folds.step_state_stream(events.stream_events(spark, path, files_per_trigger=2))
+    stream = fold(events.stream_events(spark, path, files_per_trigger=2))
     (stream.writeStream.outputMode("update").option("checkpointLocation", scratch_path(spark, "fold"))
      .foreachBatch(folds.parquet_sink(out)).trigger(availableNow=True).start().awaitTermination())
-    return folds.current_steps(folds.latest_per_key(spark.read.parquet(out).drop("batch_id"), ["flow_run_id", "step_name"]))
+    return folds.latest_per_key(spark.read.parquet(out), keys)
+
+
+def _live_steps(spark, sf):
+    return folds.current_steps(_live(spark, sf, folds.step_state_stream, ["flow_run_id", "step_name"]))
+
+
+def step_state_stream(spark, sf):
+    """Update-mode streaming fold, collapsed to its last row per key: the batch replay's step states."""
+    return _live_steps(spark, sf).select("flow_run_id", "step_name", "state")
+
+
+def container_attrs_stream(spark, sf):
+    """Containers and exit codes of the live fold."""
+    return _live_steps(spark, sf).select("flow_run_id", "step_name", "container_id", "host_id", "exit_code")
+
+
+def run_state_stream(spark, sf):
+    """States and times of all runs of the live fold."""
+    runs = folds.current_runs(_live(spark, sf, folds.run_state_stream, ["flow_run_id"]))
+    return runs.select("flow_run_id", "flow_name", "state", "created_ts", "updated_ts")
 
 
 def cooldown_stream(spark, sf):
@@ -226,7 +247,8 @@ QUERIES = {
     f.__name__: f
     for f in (csv_scan, csv_sink, csv_to_parquet, parquet_scan, parquet_sink, json_doc, json_doc_parse, artifact_table,
               ingest_plan, incoming_override, header_check, file_arrivals, arrival_trigger, event_sink, event_source,
-              replay, event_fanout, step_state_stream, cooldown_stream, build_datasets)
+              replay, event_fanout, step_state_stream,
+              container_attrs_stream, run_state_stream, cooldown_stream, build_datasets)
 }
 
 _RAW = "SELECT uniqueID, drugName, condition, review, rating, date, usefulCount FROM reviews_raw"
@@ -262,6 +284,8 @@ UNION ALL SELECT 'void', false, true, 'condition,date,drugName,rating,review,uni
 WITH n AS (SELECT flow_run_id, count(*) AS events FROM run_events WHERE type <> 'LogChunk' GROUP BY 1)
 SELECT flow_run_id, step_name, state, events FROM ({_LAST}) JOIN n USING (flow_run_id)""", "run_events"),
     "step_state_stream": _RUNLOG["step_state"],
+    "container_attrs_stream": _RUNLOG["container_attrs"],
+    "run_state_stream": _fold("SELECT flow_run_id, flow_name, state, created_ts, updated_ts FROM runs"),
     "cooldown_stream": _LIFECYCLE["cooldown"],
     "build_datasets": oracle(f"""
 WITH p AS ({_PREPARED}), h AS (SELECT *, {_HELD} AS held FROM p)

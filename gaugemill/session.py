@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -75,3 +76,12 @@ def discard(*tables: DataFrame) -> None:
             jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(conf).delete(place, True)
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nobody holds any more, for loops of many large plans.
+
+    Its cleaner acts when the driver's garbage is collected, which an idle driver does twice an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

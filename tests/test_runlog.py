@@ -90,13 +90,34 @@ def test_replay_and_stream_equal_the_batch(spark, log, tmp_path):
     assert key(runlog.step_states(read)) == key(runlog.step_states(log))
     assert key(runlog.run_states(read)) == key(runlog.run_states(log))
 
-    stream = folds.step_state_stream(event_files.stream_events(spark, path, files_per_trigger=1))
-    query = (stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck"))
-             .foreachBatch(folds.parquet_sink(str(tmp_path / "out"))).trigger(availableNow=True).start())
-    query.awaitTermination()
-    latest = folds.latest_per_key(spark.read.parquet(str(tmp_path / "out")).drop("batch_id"), ["flow_run_id", "step_name"])
-    batch = runlog.step_states(log).select("flow_run_id", "step_name", "state")
-    assert key(folds.current_steps(latest)) == key(batch)
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0), (2, 0, 1)])
+def test_live_folds_equal_the_batch_in_any_order_of_files(spark, log, tmp_path, order):
+    """Three parts of the log, one micro-batch each, come in any order; the middle one creates a run anew."""
+    again = spark.createDataFrame(
+        [("FlowRunCreated", "child-b", 99.0, 20, "train-b", ["robustness", "late"])],
+        "type string, flow_run_id string, ts double, seq bigint, flow_name string, step_names array<string>")
+    both = log.where("not (flow_run_id = 'child-b' and seq = 20)").unionByName(again, allowMissingColumns=True)
+    stray = spark.createDataFrame([("StepStateChanged", "unknown", 1.0, 7, "x", "running")],
+                                  "type string, flow_run_id string, ts double, seq bigint, step_name string, to_state string")
+    both = both.unionByName(stray, allowMissingColumns=True)
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    parts = [both.where("seq < 14"), both.where("seq between 14 and 30"), both.where("seq > 30")]
+    source, out, checkpoint = (str(tmp_path / n) for n in ("log", "out", "ck"))
+    (tmp_path / "log").mkdir()
+    for fold, keys, current, batch in (
+        (folds.step_state_stream, ["flow_run_id", "step_name"], folds.current_steps, runlog.step_states),
+        (folds.run_state_stream, ["flow_run_id"], folds.current_runs, runlog.run_states),
+    ):
+        at, name = f"{source}-{fold.__name__}", fold.__name__
+        for k in order:
+            event_files.write_events(parts[k].coalesce(1), at)
+            stream = fold(event_files.stream_events(spark, at))
+            (stream.writeStream.outputMode("update").option("checkpointLocation", f"{checkpoint}-{name}")
+             .foreachBatch(folds.parquet_sink(f"{out}-{name}")).trigger(availableNow=True).start().awaitTermination())
+        latest = folds.latest_per_key(spark.read.parquet(f"{out}-{name}"), keys)
+        want = batch(both)
+        assert key(current(latest).select(*want.columns)) == key(want)
 
 
 def test_render(log):
