@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 
 from gaugemill.llm import windows as W
 from gaugemill.llm.common import ID, ROW, SLICE_BYTES, map_texts, slices, with_row_keys
-from gaugemill.session import stage
+from gaugemill.llm.groups import components
+from gaugemill.session import discard, reclaim, stage
 
 #: Largest set size that may be joined by subsets; the boundary is chosen by cost up to here.
 MOST_SMALL = 12
 #: One text in so many is looked at for frequent shingles, of which at most HOT come last in the order of shingles.
 #: This order decides about speed only: any order gives the same links.
 SAMPLED, SEEN, HOT = 16, 2, 1 << 18
-#: Pairs of different groups left in lists, per entry of all lists, up to which all of them are compared.
-PAIRS_A_ROW = 100
 #: Ratio of set sizes in one part of a list, where lists are cut by size and place.
 SIZE_STEP = 1.1
 #: Rows up to which the texts to compare are picked by a broadcast list of their keys; beyond, by a shuffled join.
@@ -143,7 +142,9 @@ def _subset_links(small: DataFrame, percent: int, boundary: int) -> DataFrame:
         keyed.groupBy("key", "low").agg(F.min(F.when(F.col("n") == F.col("low"), F.col("node"))).alias("to"),
                                         (F.min("node") != F.max("node")).alias("several"))
         .where("several and to is not null").select("key", "low", "to"), "jaccard-centers")
-    return keyed.join(centers, ["key", "low"]).where("node <> to").select("node", "to").distinct()
+    links = stage(keyed.join(centers, ["key", "low"]).where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")).distinct(), "jaccard-links")
+    discard(keyed, centers)
+    return links
 
 
 def _cost_boundary(base: DataFrame, lists: DataFrame, percent: int) -> int:
@@ -200,46 +201,18 @@ def _verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame, text_col: str,
         .join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
         .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("k"))
     )
-    return both.where(F.expr(f"100 * k >= {percent} * (na + nb - k)")).select("a", "b").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``node`` and the smallest node it is connected with, ``comp``, for every node of ``edges`` (a, b).
-
-    Alternates between tying the larger neighbours, and the smaller ones, of each node to its smallest neighbour until
-    all links are stars. A node's neighbours are never gathered: a step is a minimum and a join on written tables.
-    """
-    ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    links = stage(ordered, "component-links")
-    while True:
-        many = links.groupBy("a").count().where("count > 1").select("a")
-        inner = links.select(F.col("b").alias("a")).join(links, "a", "left_semi")
-        if many.unionByName(inner).isEmpty():
-            break
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stage(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("least")), "component-least")
-        # larger neighbours, to the smallest of all neighbours
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("least"))  # few neighbours of a node are smaller now
-        links = stage(  # smaller neighbours, and the node, to the smallest of them
-            large.join(lower, "a").where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-            .unionByName(lower.select("a", F.col("least").alias("b"))).distinct(), "component-links")
-    roots = links.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("comp"))
-    return links.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
-
-
-def _pairs_left(open_: DataFrame) -> int:
-    """Pairs of sets of different groups that stand in one of the lists, each counted in each."""
-    parts = open_.groupBy("shingle", "comp").count()
-    lists = parts.groupBy("shingle").agg(F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("same"))
-    return int(lists.agg(F.sum(((F.col("k") * F.col("k") - F.col("same")) / 2).cast("double"))).first()[0] or 0)
+    links = stage(both.where(F.expr(f"100 * k >= {percent} * (na + nb - k)")).select("a", "b").distinct(), "jaccard-links")
+    discard(sets)
+    return links
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The inverted lists whose sets are not yet all in one group, each set with its group ``comp``."""
-    known = stage(lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-labelled")
-    still = known.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
-    return stage(known.join(stage(still, "jaccard-open"), "shingle"), "jaccard-lists")
+    known = stage(lists.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-labelled")
+    still = stage(known.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle"), "jaccard-open")
+    open_ = stage(known.join(still, "shingle"), "jaccard-lists")
+    discard(known, still)
+    return open_
 
 
 def _to_hubs(open_: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -255,19 +228,15 @@ def _to_hubs(open_: DataFrame, turn: int, percent: int) -> DataFrame:
         open_.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"), "comp").join(hubs, "shingle")
         .where(F.expr(f"comp <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")).drop("shingle", "comp", "cb")
     )
-    return _votes(pairs, percent).groupBy("a").agg(F.max(F.struct("v", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-
-
-def _within_lists(open_: DataFrame, percent: int, boundary: int) -> DataFrame:
-    """All pairs of sets in different groups that stand in one list, fit in size, and may reach the threshold."""
-    left, right = (open_.select("shingle", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("w").alias(f"w{x}"), F.col("comp").alias(f"c{x}")) for x in "ab")
-    pairs = left.join(right, "shingle").where(F.expr(
-        f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and greatest(na, nb) > {boundary}"))
-    return _votes(pairs.drop("shingle", "ca", "cb"), percent).select("a", "b")
+    best = stage(_votes(pairs, percent).groupBy("a").agg(F.max(F.struct("v", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "jaccard-pairs")
+    discard(hubs)
+    return best
 
 
 def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) -> DataFrame:
-    """The pairs of ``_within_lists``, from lists that are cut by size and place before anything is paired.
+    """All pairs of sets in different groups that stand in one list, fit in size, and may reach the threshold.
+
+    Lists are cut by size and place before anything is paired.
 
     Two linked sets share all they share from their first common shingle on, so at its places they have enough left: a set
     of n with the place p there links with none of more than (100 n - (100 + percent) p) / percent, its reach. One of the
@@ -293,11 +262,29 @@ def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) ->
         f"node_a <> node_b and comp_a <> comp_b and (reach_b < n_b or node_a < node_b) and n_a <= reach_b and n_b <= reach_a "
         f"and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and greatest(n_a, n_b) > {boundary}"))
     pairs = stage(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "jaccard-met")
+    met = pairs
     for x in "ab":
         pairs = pairs.join(prefixes.select(
             F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"),
             F.shiftright(F.element_at("prefix", -1), 32).cast("int").alias(f"w{x}")), x)
-    return pairs.where(F.size(F.array_intersect("pa", "pb")) >= _least_votes(percent)).select("a", "b")
+    shared = F.size(F.array_intersect("pa", "pb"))
+    able = stage(pairs.withColumn("v", shared).where(F.col("v") >= _least_votes(percent)).select("a", "b", "v"), "jaccard-able")
+    discard(prefixes, places, each, met)
+    return able
+
+
+def _strongest(pairs: DataFrame) -> DataFrame:
+    """For each set the one of ``pairs`` that shares most: one pair per set at most."""
+    both = pairs.select(F.col("a").alias("of"), "a", "b", "v").unionByName(pairs.select(F.col("b").alias("of"), "a", "b", "v"))
+    return both.groupBy("of").agg(F.max(F.struct("v", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+
+
+def _still_apart(pairs: DataFrame, tried: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that were not tried and lie in different groups."""
+    for x in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")), x, "left")
+    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    return pairs.where(apart).drop("ca", "cb").join(tried, ["a", "b"], "left_anti").select("a", "b", "v")
 
 
 def near_duplicates(
@@ -313,9 +300,9 @@ def near_duplicates(
 
     Links are found by size. Sets up to a boundary, chosen by cost, enumerate the subsets that prove a link. Larger ones
     stand in inverted lists of their first shingles, in an order that puts frequent ones last. Lists are first
-    joined with one leading set each, turn by turn, so that a group of near copies falls together without pairing its members;
-    once the pairs left between different groups are few for the size of the lists, all of them are compared. If they stay
-    many while turns bring few links, lists are cut by set size and place before their sets are paired. Links within a group that is known already
+    joined with one leading set each, turn by turn, so that a group of near copies falls together without pairing its members.
+    When turns bring few links, lists are cut by set size and place, and what is left is compared, each set's
+    likeliest pair first. Links within a group that is known already
     change nothing and are not looked for. Similarities are counted on whole sets; shingles are hashes of 62 bits.
     """
     return _grouped(docs.drop(size_as, group_as), id_col, text_col, shingle, percent, size_as, group_as).drop(ID, ROW, _GROUP)
@@ -335,12 +322,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     repeated = stage(
         entries.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-repeated")
     lists = stage(entries.join(repeated, "shingle").distinct(), "jaccard-entries")
+    discard(repeated)
     boundary = _cost_boundary(base, lists, percent)
     found = []
     if boundary:
-        small = _subset_links(given.where(F.col("n") <= boundary), percent, boundary)
-        found.append(stage(small.select(F.col("node").alias("a"), F.col("to").alias("b")), "jaccard-links"))
-    lists = lists.where(F.expr(f"100 * n >= {percent} * {boundary + 1}"))
+        found.append(_subset_links(given.where(F.col("n") <= boundary), percent, boundary))
+    long = lists.where(F.expr(f"100 * n >= {percent} * {boundary + 1}"))
     reps = base.where("n > 0").groupBy("node").agg(F.min(F.struct(ID, ROW)).alias("r")).select("node", "r.*")
 
     def all_links() -> DataFrame:
@@ -349,17 +336,32 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
             union = union.unionByName(more)
         return union
 
-    turn, open_, entered = 0, lists.withColumn("comp", F.col("node")), lists.count()
+    turn, open_ = 0, long.withColumn("comp", F.col("node"))
     while True:
-        pairs = stage(_to_hubs(open_, turn, percent), "jaccard-pairs")
-        found.append(stage(_verified(rows, reps, pairs, text_col, shingle, percent), "jaccard-links"))
-        open_, turn = _open_lists(lists, components(all_links())), turn + 1
-        few = _pairs_left(open_) <= PAIRS_A_ROW * entered
-        if few or 4 * found[-1].count() <= pairs.count():  # few pairs, or few more links or none
+        pairs = _to_hubs(open_, turn, percent)
+        found.append(_verified(rows, reps, pairs, text_col, shingle, percent))
+        tried, linked, before = pairs.count(), found[-1].count(), open_
+        open_, turn = _open_lists(open_, components(all_links())), turn + 1
+        discard(pairs, before, lists)
+        reclaim(rows.sparkSession)
+        if 4 * linked <= tried:  # few more links, or none
+            break
+    rest = _by_place(base, open_, percent, boundary)
+    discard(open_)
+    while True:  # the likeliest links first: within the groups they make, no other pair needs a look
+        pairs = stage(_strongest(rest), "jaccard-pairs")
+        found.append(_verified(rows, reps, pairs, text_col, shingle, percent))
+        tried, linked, before = pairs.count(), found[-1].count(), rest
+        labels = components(all_links())
+        rest = stage(_still_apart(rest, pairs, labels), "jaccard-apart")
+        discard(pairs, before)
+        reclaim(rows.sparkSession)
+        if 4 * linked <= tried:
             break
-    rest = stage(_within_lists(open_, percent, boundary) if few else _by_place(base, open_, percent, boundary), "jaccard-pairs")
-    found.append(stage(_verified(rows, reps, rest, text_col, shingle, percent), "jaccard-links"))
-    labels = components(all_links())
+    if not rest.isEmpty():
+        found.append(_verified(rows, reps, rest, text_col, shingle, percent))
+        labels = components(all_links())
+    discard(rest)
     members = stage(base.select(ID, ROW, "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-members")
     smallest = stage(members.where("n > 0").groupBy("comp").agg(F.min(ID).alias(group_as)), "jaccard-smallest")
     grouped = members.join(smallest, "comp", "left").select(
