@@ -27,11 +27,14 @@ SHARD = 1 << 17
 #: Counts in one piece of a vector, and vectors that are added up at a time.
 BLOCK, FAN_IN = 1 << 16, 8
 #: Units whose alignment a worker remembers, and distinct pairs a task holds before it passes their counts on.
-REMEMBERED, HELD = 300_000, 1_000_000
+REMEMBERED, HELD = 600_000, 1_000_000
 
 #: A text may be cut before a blank that stands between a visible ASCII or Latin-1 sign and a letter: no match of the first
 #: tokenizer's pattern runs over such a place, and no piece of the second has a mark behind another sign.
 _SAFE = re.compile("(?<=[!-~À-ÿ]) (?=[A-Za-zÀ-ÖØ-öø-ÿ])")
+_VISIBLE, _LETTERS = (frozenset(c for c in map(chr, range(256)) if re.match(x, c)) for x in ("[!-~À-ÿ]", "[A-Za-zÀ-ÖØ-öø-ÿ]"))
+#: Units that are encoded side by side.
+TOGETHER = 128
 
 
 @cache
@@ -81,52 +84,58 @@ class Aligner:
         new = list(dict.fromkeys(u for u in units if u not in self.known))
         if not new:
             return
-        firsts = [e.ids for e in self.first.encode_batch_fast([" " + u for u in new], add_special_tokens=False)]
-        seconds = self.second.encode(new, num_threads=1)
+        # units that could stand side by side in a text are encoded so, many at a time
+        side = [u for u in new if u[0] in _LETTERS and u[-1] in _VISIBLE] if self.cut else []
+        alone = [u for u in new if not (u[0] in _LETTERS and u[-1] in _VISIBLE)] if self.cut else new
+        together = [" ".join(side[k:k + TOGETHER]) for k in range(0, len(side), TOGETHER)]
+        new = side + alone
         texts = [b" " + u.encode() for u in new]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        a, b = self._encoded(together + alone)
+        whole = b"".join(texts)
         good = np.ones(len(new), bool)
-        if not (self._renders(self.a_bytes, firsts, texts) and self._renders(self.b_bytes, seconds, texts)):
-            good = np.array([self._renders(self.a_bytes, [a], [t]) and self._renders(self.b_bytes, [b], [t])
-                             for a, b, t in zip(firsts, seconds, texts, strict=True)], bool)
-            firsts, seconds, texts = (list(compress(x, good)) for x in (firsts, seconds, texts))
-        counts, links, groups = self._aligned(firsts, seconds, np.fromiter(map(len, texts), np.int64, len(texts)), with_groups)
+        if b"".join(map(self.a_bytes.__getitem__, chain.from_iterable(a))) != whole or b"".join(map(self.b_bytes.__getitem__, chain.from_iterable(b))) != whole:
+            a, b = self._encoded(new)
+            good = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == t == b"".join(map(self.b_bytes.__getitem__, y))
+                             for x, y, t in zip(a, b, texts, strict=True)], bool)
+            a, b, sizes = compress(a, good), compress(b, good), sizes[good]
+        flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b)]
+        counts, links, groups = self._aligned(*flat, sizes, with_groups)
         rows = np.zeros((len(new), 4), np.int64)
         rows[:, 2] = -1
         rows[good] = counts
-        for u in new:
-            self.known[u] = len(self.known)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(rows[:, 3]) - rows[:, 3]])
         self.counts, self.pool = np.concatenate([self.counts, rows]), np.concatenate([self.pool, links])
-        text_of = iter(groups)
-        self.groups.extend(next(text_of) if g else "" for g in good.tolist()) if with_groups else None
+        if with_groups:
+            text_of = iter(groups)
+            self.groups.extend(groups if good.all() else [next(text_of) if g else "" for g in good.tolist()])
 
-    @staticmethod
-    def _renders(tokens: list[bytes], ids: list[list[int]], texts: list[bytes]) -> bool:
-        """Do the ids of each text stand for its bytes?"""
-        parts = [b"".join(map(tokens.__getitem__, x)) for x in ids]
-        return parts == texts
+    def _encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        firsts = self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [e.ids for e in firsts], self.second.encode(texts, num_threads=1)
 
-    def _aligned(self, firsts: list[list[int]], seconds: list[list[int]], sizes: np.ndarray, with_groups: bool):
+    def _aligned(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, with_groups: bool):
         """Counts of each unit, the links of all, and each unit's groups as text. Units lie end to end; all their ends are common."""
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (firsts, seconds))
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((firsts, n_a), (seconds, n_b)))
         total = int(sizes.sum())
         is_a, is_b = np.zeros(total, bool), np.zeros(total, bool)
         end_a, end_b = np.cumsum(self.a_sizes[a]) - 1, np.cumsum(self.b_sizes[b]) - 1
         is_a[end_a], is_b[end_b] = True, True
+        both, ends = is_a & is_b, np.cumsum(sizes) - 1
+        if not both[ends].all():
+            raise ValueError("a token runs over the end of a unit")
         # a pair overlaps up to the nearer end of its two tokens, so each end of either closes one link
+        upto_a, upto_b, upto_both = np.cumsum(is_a), np.cumsum(is_b), np.cumsum(both)
         at = np.flatnonzero(is_a | is_b)
-        in_a, in_b = np.cumsum(is_a) - is_a, np.cumsum(is_b) - is_b
+        in_a, in_b = upto_a - is_a, upto_b - is_b
         links = a[in_a[at]] << 32 | b[in_b[at]]
-        both = is_a & is_b
-        ends = np.cumsum(sizes) - 1
-        upto = lambda marks: np.diff(np.cumsum(marks)[ends], prepend=0)
-        counts = np.stack([n_a, n_b, upto(both), upto(is_a | is_b)], axis=1) if len(sizes) else np.zeros((0, 4), np.int64)
+        n_a, n_b, n_groups = (np.diff(upto[ends], prepend=0) for upto in (upto_a, upto_b, upto_both))
+        counts = np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups], axis=1)
         if not with_groups:
             return counts, links, []
         common = np.flatnonzero(both)
-        a_upto, b_upto = np.concatenate([[0], in_a[common] + 1]), np.concatenate([[0], in_b[common] + 1])
-        group_a, group_b = (np.cumsum(both) - both)[end_a], (np.cumsum(both) - both)[end_b]
+        a_upto, b_upto = np.concatenate([[0], upto_a[common]]), np.concatenate([[0], upto_b[common]])
+        group_a, group_b = (upto_both - both)[end_a], (upto_both - both)[end_b]
         order_a, order_b = np.arange(len(a)), np.arange(len(b))
         names = np.empty(len(a) + len(b), np.int64)
         n = len(self.a_bytes)
