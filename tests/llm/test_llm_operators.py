@@ -183,7 +183,6 @@ def test_shared_boilerplate_ends(spark, own):
 def test_groups_by_place(spark, table, docs, monkeypatch):
     import random
 
-    monkeypatch.setattr(jaccard, "PAIRS_A_ROW", -1)
     monkeypatch.setattr(jaccard, "_to_hubs", lambda open_, *_: open_.limit(0).select("node", "node").toDF("a", "b"))
     got = jaccard.near_duplicates(table)
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == keyed(docs, plain.groups(docs))
