@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugemill.llm.common import SLICE_BYTES, slices
+from gaugemill.llm.common import SLICE_BYTES, give_back, slices
 from gaugemill.llm.perfecthash import PerfectHash
 from gaugemill.llm.windows import mixed
 from gaugemill.session import discard, stage
@@ -223,6 +223,8 @@ def pair_counts(docs: DataFrame, files, text_col: str = "text") -> DataFrame:
                         keys, counts = [], []
         if keys:
             yield passed_on()
+        keys.clear()
+        give_back()
 
     return docs.select(text_col).mapInArrow(run, "pair bigint, n bigint")
 
@@ -408,6 +410,7 @@ def _looked_up(docs: DataFrame, files, text_col: str, tables: list, best: np.nda
             for batch in batches:
                 for part in slices(batch, text_col, limit):
                     yield step(part)
+            give_back()
 
         return given.select(*keep, text_col, *before).mapInArrow(run, schema)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gaugemill.llm.common import map_texts
+from gaugemill.llm.common import give_back, map_texts
 
 #: Bytes that are merged directly; longer strings are halved.
 LEAF_BYTES = 16
@@ -195,6 +195,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", by
                          for i in part.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.binary())],
                                                  names=[*keep, bytes_as])
+        give_back()
 
     return encoded.select(*keep, ids_col).mapInArrow(run, schema)
 

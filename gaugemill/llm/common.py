@@ -6,6 +6,7 @@ largest id. Two rows of one id are told apart by their texts; rows equal in both
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,10 +58,19 @@ def map_texts(
                 out = step(part)
                 if out is not None and out.num_rows:
                     yield out
+        give_back()
 
     return df.select(*keep, text_col).mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return the memory that a task has freed to the system. Workers outlive tasks, and several wait idle on an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of ``batch`` whose texts together stay near ``limit`` bytes."""
     if not batch.num_rows:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugemill.llm import windows as W
-from gaugemill.llm.common import ID, ROW, SLICE_BYTES, map_texts, slices, with_row_keys
+from gaugemill.llm.common import ID, ROW, SLICE_BYTES, give_back, map_texts, slices, with_row_keys
 from gaugemill.llm.groups import components
 from gaugemill.session import discard, reclaim, stage
 
@@ -22,6 +22,8 @@ MOST_SMALL = 12
 SAMPLED, SEEN, HOT = 16, 2, 1 << 18
 #: Ratio of set sizes in one part of a list, where lists are cut by size and place.
 SIZE_STEP = 1.1
+#: Shares of the lists that are joined one after the other: peak disk, not the result, depends on it.
+BLOCKS = 4
 #: Rows up to which the texts to compare are picked by a broadcast list of their keys; beyond, by a shuffled join.
 PICKED_BY_BROADCAST = 500_000
 
@@ -106,6 +108,7 @@ def _prefixes(rows: DataFrame, text_col: str, size: int, percent: int, hot: np.n
                     part.column(ID), part.column(ROW), pa.array(node), pa.array(sizes, pa.int32()),
                     _lists(found, first, take), _lists(found, first, whole),
                 ], names=[ID, ROW, "node", "n", "prefix", "whole"])
+        give_back()
 
     return rows.select(ID, ROW, text_col).mapInArrow(
         run, f"{ID} bigint, {ROW} bigint, node bigint, n int, prefix array<bigint>, whole array<bigint>")
@@ -256,12 +259,23 @@ def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) ->
             "own": step(F.col("n")),
             "other": F.explode(F.sequence(step(F.ceil(F.lit(percent) * F.col("n") / 100)), step(F.greatest("reach", F.lit(1))))),
         }), "jaccard-parts")
-    left = each.where("reach >= n").select("shingle", F.col("own").alias("x"), F.col("other").alias("y"), *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "reach", "comp")))
-    right = each.select("shingle", F.col("other").alias("x"), F.col("own").alias("y"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "reach", "comp")))
-    met = left.join(right, ["shingle", "x", "y"]).where(F.expr(
-        f"node_a <> node_b and comp_a <> comp_b and (reach_b < n_b or node_a < node_b) and n_a <= reach_b and n_b <= reach_a "
-        f"and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and greatest(n_a, n_b) > {boundary}"))
-    pairs = stage(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "jaccard-met")
+    reclaim(base.sparkSession)
+    parts = []
+    for k in range(BLOCKS):  # one share of the lists after the other, so that their shuffles do not add up
+        block = each.where(F.pmod(F.xxhash64(F.lit("block"), "shingle"), F.lit(BLOCKS)) == k)
+        left = block.where("reach >= n").select("shingle", F.col("own").alias("x"), F.col("other").alias("y"), *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "reach", "comp")))
+        right = block.select("shingle", F.col("other").alias("x"), F.col("own").alias("y"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "reach", "comp")))
+        met = left.join(right, ["shingle", "x", "y"]).where(F.expr(
+            f"node_a <> node_b and comp_a <> comp_b and (reach_b < n_b or node_a < node_b) and n_a <= reach_b and n_b <= reach_a "
+            f"and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and greatest(n_a, n_b) > {boundary}"))
+        parts.append(stage(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "jaccard-part"))
+        del left, right, met
+        reclaim(base.sparkSession)
+    pairs = parts[0]
+    for more in parts[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = stage(pairs.distinct(), "jaccard-met")
+    discard(each, places, *parts)
     met = pairs
     for x in "ab":
         pairs = pairs.join(prefixes.select(
@@ -269,7 +283,8 @@ def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) ->
             F.shiftright(F.element_at("prefix", -1), 32).cast("int").alias(f"w{x}")), x)
     shared = F.size(F.array_intersect("pa", "pb"))
     able = stage(pairs.withColumn("v", shared).where(F.col("v") >= _least_votes(percent)).select("a", "b", "v"), "jaccard-able")
-    discard(prefixes, places, each, met)
+    discard(prefixes, met)
+    reclaim(base.sparkSession)
     return able
 
 
@@ -321,8 +336,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     entries = given.select(F.explode("prefix").alias("shingle"), "node", "n", F.shiftright(F.element_at("prefix", -1), 32).cast("int").alias("w"))
     repeated = stage(
         entries.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-repeated")
+    reclaim(rows.sparkSession)
     lists = stage(entries.join(repeated, "shingle").distinct(), "jaccard-entries")
     discard(repeated)
+    reclaim(rows.sparkSession)
     boundary = _cost_boundary(base, lists, percent)
     found = []
     if boundary:
