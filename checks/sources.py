@@ -11,7 +11,6 @@ from checks.cleaning import _PREPARED
 from checks.lifecycle import ORACLES as _LIFECYCLE
 from checks.runlog import ORACLES as _RUNLOG
 from checks.runlog import _fold
-from checks.runlog import _fold
 from checks.splits import _HELD
 from checks.views import oracle, table, view
 from gaugemill.operators import runlog
@@ -99,20 +98,51 @@ def incoming_override(spark, sf):
     return ingestion.choose_current(states).select("o_orderkey", "current_path")
 
 
+def csv_scan_ranges(spark, sf):
+    """The same cells from byte ranges that are far shorter than the files."""
+    path = scratch_path(spark, "csv")
+    tables.write_csv(_raw(spark, sf), path)
+    return tables.read_csv_ranges(spark, path, range_bytes=1 << 18)
+
+
+def csv_scan_layouts(spark, sf):
+    """Files whose headers differ in order and in further columns."""
+    root, raw = scratch_path(spark, "layouts"), _raw(spark, sf)
+    for label, columns in enumerate((RAW_COLUMNS, RAW_COLUMNS[::-1], ("more", *RAW_COLUMNS[3:], *RAW_COLUMNS[:3]))):
+        tables.write_csv(raw.where(F.col("uniqueID") % 3 == label).withColumn("more", F.lit("x")).select(*columns), f"{root}/drop={label}")
+    return tables.read_csv(spark, root)
+
+
+def _by_nation(spark, sf, path, lines, nations="true"):
+    """One CSV file for each nation: its ``lines`` (at, line), in the order of ``at``, as they are."""
+    (lines.where(nations).repartition("nation").sortWithinPartitions("nation", "at").select("nation", "line")
+     .write.partitionBy("nation").mode("append").option("sep", "\x01").option("quote", "\x00").csv(path))
+
+
 def header_check(spark, sf):
-    """Files with all columns, without two of them, and without any line."""
-    root = scratch_path(spark, "headers")
-    raw = _raw(spark, sf)
-    for kind, columns in (("full", RAW_COLUMNS), ("short", RAW_COLUMNS[:-2])):
-        tables.write_csv(raw.select(*columns), f"{root}/{kind}")
-    raw.where("false").select("uniqueID").write.mode("overwrite").csv(f"{root}/void")
-    checked = None
-    for kind in ("full", "short", "void"):
-        one = tables.header_check(spark, f"{root}/{kind}").select(
-            F.lit(kind).alias("kind"), "valid", "empty", F.array_join("missing", ",").alias("missing")
-        )
-        checked = one if checked is None else checked.unionByName(one)
-    return checked.distinct()
+    """A file for each nation, named columns first and all its customers after; every third lacks a column, one file is empty."""
+    path = scratch_path(spark, "headers")
+    wanted = F.array(*[F.lit(c) for c in sorted(RAW_COLUMNS)])
+    lacks = F.when(F.col("n_nationkey") % 3 == 0, F.array(F.element_at(wanted, (F.col("n_nationkey") % 7 + 1).cast("int")))).otherwise(F.array().cast("array<string>"))
+    heads = table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("nation"), F.lit(0).cast("bigint").alias("at"), F.array_join(F.array_except(wanted, lacks), ",").alias("line"))
+    rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").cast("bigint").alias("at"), F.col("c_name").alias("line"))
+    _by_nation(spark, sf, path, heads.unionByName(rows))
+    table(spark, sf, "nation").where("n_nationkey < 0").select("n_name").write.csv(f"{path}/nation=-1")
+    return tables.header_check(spark, path).select(
+        F.regexp_extract("path", "nation=(-?[0-9]+)", 1).cast("int").alias("nation"), "valid", "empty", F.array_join("missing", ",").alias("missing"))
+
+
+def file_digest_text(spark, sf):
+    """Digests of one file for each nation that holds the names of its customers."""
+    path = scratch_path(spark, "named")
+    _by_nation(spark, sf, path, _named(spark, sf))
+    return tables.file_digests(spark, path, "*.csv").select(
+        F.regexp_extract("path", "nation=([0-9]+)", 1).cast("int").alias("nation"), "length", "digest")
+
+
+def _named(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("at"), F.col("c_name").alias("line"))
 
 
 def _drop_files(raw, folder, label):
@@ -120,14 +150,13 @@ def _drop_files(raw, folder, label):
 
 
 def file_arrivals(spark, sf):
-    """A listing against a manifest: files of the later drops are the new ones."""
+    """A listing against a manifest: files of the later drop are the new ones, told by their bytes."""
     folder = scratch_path(spark, "listing")
-    _drop_files(_raw(spark, sf), folder, 0)
+    _by_nation(spark, sf, folder, _named(spark, sf), "nation % 2 = 0")
     seen = arrivals.list_files(spark, folder, ".csv").select("file")
     seen.write.parquet(f"{folder}-seen")
-    _drop_files(_raw(spark, sf), folder, 1)
-    fresh = arrivals.new_files(arrivals.list_files(spark, folder, ".csv"), spark.read.parquet(f"{folder}-seen"))
-    return fresh.agg((F.count("*") > 0).alias("found"), F.count_if(F.col("length") == 0).alias("empty"))
+    _by_nation(spark, sf, folder, _named(spark, sf), "nation % 2 = 1")
+    return arrivals.new_files(arrivals.list_files(spark, folder, ".csv"), spark.read.parquet(f"{folder}-seen")).select("length")
 
 
 def arrival_trigger(spark, sf):
@@ -245,7 +274,7 @@ def build_datasets(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (csv_scan, csv_sink, csv_to_parquet, parquet_scan, parquet_sink, json_doc, json_doc_parse, artifact_table,
+    for f in (csv_scan, csv_scan_ranges, csv_scan_layouts, file_digest_text, csv_sink, csv_to_parquet, parquet_scan, parquet_sink, json_doc, json_doc_parse, artifact_table,
               ingest_plan, incoming_override, header_check, file_arrivals, arrival_trigger, event_sink, event_source,
               replay, event_fanout, step_state_stream,
               container_attrs_stream, run_state_stream, cooldown_stream, build_datasets)
@@ -256,7 +285,7 @@ _LAST = ("SELECT flow_run_id, step_name, arg_max(to_state, seq) AS state, max(se
          "WHERE type = 'StepStateChanged' GROUP BY 1, 2")
 _KEEP = "unique_id, review_date, rating_bucket, review_length, review_word_count, split"
 ORACLES = {
-    "csv_scan": oracle(_RAW, "reviews_raw"),
+    **{name: oracle(_RAW, "reviews_raw") for name in ("csv_scan", "csv_scan_ranges", "csv_scan_layouts")},
     "csv_sink": "SELECT o_orderkey::varchar AS o_orderkey, o_orderpriority, o_orderstatus FROM orders",
     "csv_to_parquet": oracle(_RAW, "reviews_raw"),
     "parquet_scan": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1",
@@ -270,11 +299,14 @@ SELECT *, overwrite OR NOT train_exists AS need_train, NOT has_incoming AND (ove
 FROM (SELECT o_orderkey, o_orderkey % 2 = 0 AS has_incoming, o_orderkey % 3 > 0 AS train_exists, o_orderkey % 5 > 1 AS test_exists,
              o_orderkey % 7 > 2 AS test_parquet_exists, o_orderkey % 11 = 0 AS overwrite FROM orders)""",
     "incoming_override": "SELECT o_orderkey, case when o_orderkey % 4 > 1 then 'in/' || o_custkey else 'raw/' || o_orderstatus end AS current_path FROM orders",
-    "header_check": """
-SELECT 'full' AS kind, true AS valid, false AS empty, '' AS missing
-UNION ALL SELECT 'short', false, false, 'date,usefulCount'
-UNION ALL SELECT 'void', false, true, 'condition,date,drugName,rating,review,uniqueID,usefulCount'""",
-    "file_arrivals": "SELECT true AS found, 0::bigint AS empty",
+    "header_check": f"""
+WITH w AS (SELECT {sorted(RAW_COLUMNS)} AS wanted)
+SELECT n_nationkey AS nation, n_nationkey % 3 > 0 AS valid, false AS empty, case when n_nationkey % 3 = 0 then wanted[n_nationkey % 7 + 1] else '' end AS missing FROM nation, w
+UNION ALL SELECT -1, false, true, array_to_string(wanted, ',') FROM w""",
+    "file_arrivals": "SELECT sum(strlen(c_name) + 1)::bigint AS length FROM customer WHERE c_nationkey % 2 = 1 GROUP BY c_nationkey",
+    "file_digest_text": """
+SELECT c_nationkey AS nation, strlen(bytes) AS length, sha256(bytes) AS digest
+FROM (SELECT c_nationkey, string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS bytes FROM customer GROUP BY 1)""",
     "arrival_trigger": oracle(_RAW + " WHERE uniqueID % 3 > 0", "reviews_raw"),
     "event_sink": oracle("SELECT type, seq FROM run_events WHERE type <> 'LogChunk'", "run_events"),
     "event_source": oracle("SELECT type, flow_run_id, seq, step_name, to_state, cast(len(step_names) AS int) AS names FROM run_events "

@@ -82,7 +82,7 @@ def table_digest(spark, sf):
 
 
 def file_digest(spark, sf):
-    return tables.file_digests(spark, sf, "*.parquet")
+    return tables.file_digests(spark, sf, "*.parquet").select("name", "length", "digest")
 
 
 def dataset_version(spark, sf):

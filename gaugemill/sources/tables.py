@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.csv as pa_csv
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugemill.functions.columns import null_if_na
+from gaugemill.operators.ordered import running_totals
 from gaugemill.settings import RAW_COLUMNS
+from gaugemill.sources.files import CHUNK_BYTES, listing, open_file, walk, with_digest, with_header
 
 RAW_SCHEMA = T.StructType([
     T.StructField("uniqueID", T.LongType()),
@@ -28,45 +34,137 @@ class HeaderError(ValueError):
     """A dropped CSV file lacks a header or required columns."""
 
 
-#: Columns a CSV file may have; further ones are not read.
-MOST_COLUMNS = 256
+def _lacking(files: DataFrame, required: Sequence[str]) -> DataFrame:
+    """``files`` with their header and the sorted ``missing`` ones of the required columns: all of them if a file is empty."""
+    wanted = F.array(*[F.lit(c) for c in sorted(required)])
+    return with_header(files).withColumn("missing", F.array_except(wanted, F.coalesce("header", F.array().cast("array<string>"))))
+
+
+def _raise_for(bad: Row | None) -> None:
+    if bad is not None:
+        why = "empty dataset: no CSV header found" if bad["header"] is None else f"CSV missing required columns: {bad['missing']}"
+        raise HeaderError(f"{bad['name']}: {why}")
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = RAW_SCHEMA) -> DataFrame:
     """CSV with quoted line breaks. Every file's columns are matched by its own header, extra ones ignored.
 
-    Files are read without a header, and each task puts a file's cells into the order of ``schema`` by the file's first
-    row; a file without a required column raises. Cells are read as text so that the missing-value texts become
-    null before any cast. Such files do not split, so land them as Parquet once (csv_to_parquet).
+    A first pass reads the headers only; a file without a required column raises, an empty one has no rows. Then Spark's
+    own reader scans the files of each distinct header, wanted columns only. Cells are read as text so that the
+    missing-value texts become null before any cast. Where headers differ, the driver receives file names, as many as
+    Spark's listing holds there anyway. Such files do not split; ``read_csv_ranges`` splits them.
+    """
+    files = _lacking(listing(spark, path), schema.names)
+    _raise_for(files.where("header IS NOT NULL AND size(missing) > 0").first())
+    layouts = [r["header"] for r in files.where("header IS NOT NULL").select("header").distinct().collect()]
+    if not layouts:
+        raise HeaderError("empty dataset: no CSV header found")
+    paths = {tuple(layouts[0]): path if isinstance(path, str) else list(path)}
+    if len(layouts) > 1:
+        named = files.where("header IS NOT NULL").groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+        paths = {tuple(r["header"]): [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in r["paths"]] for r in named}
+    reader = (spark.read.option("multiLine", True).option("escape", '"').option("nullValue", "\x00").option("emptyValue", "")
+              .option("header", True))
+    scans = []
+    for layout, places in paths.items():
+        cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(layout))])
+        scans.append(reader.schema(cells).csv(places).select(*[F.col(f"c{layout.index(n)}").alias(n) for n in schema.names]))
+    return _typed(reduce(DataFrame.unionByName, scans), schema)
+
+
+def _typed(texts: DataFrame, schema: T.StructType) -> DataFrame:
+    return texts.select(*[null_if_na(F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in schema])
+
+
+#: Bytes of a CSV file that one task parses at a time.
+RANGE_BYTES = 32 << 20
+#: Tasks that ranges are dealt to at most; more ranges share them.
+MOST_RANGE_TASKS = 50_000
+
+
+def _record_start(raw: BinaryIO, at: int, quoted: bool) -> int:
+    """Where the first record that begins at ``at`` or later begins; ``quoted`` says whether ``at`` is inside quotes."""
+    if at == 0:
+        return 0
+    raw.seek(at - 1)
+    if raw.read(1) == b"\n" and not quoted:
+        return at
+    return _next_record(raw, at, quoted)
+
+
+def _next_record(raw: BinaryIO, at: int, quoted: bool) -> int:
+    """The byte after the first line end outside quotes, or the file's end."""
+    raw.seek(at)
+    while chunk := raw.read(CHUNK_BYTES):
+        begin = 0
+        while (end := chunk.find(b"\n", begin)) >= 0:
+            quoted ^= bool(chunk.count(b'"', begin, end) & 1)
+            if not quoted:
+                return at + end + 1
+            begin = end + 1
+        quoted ^= bool(chunk.count(b'"', begin) & 1)
+        at += len(chunk)
+    return at
+
+
+def _in_ranges(files: DataFrame, range_bytes: int) -> DataFrame:
+    """One row per file and range (start, stop), dealt out over the tasks."""
+    files = files.where("length > 0")
+    ranges = files.agg(F.sum(F.ceil(F.col("length") / range_bytes))).first()[0] or 1
+    return (
+        files.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(range_bytes).cast("bigint"))).alias("start"))
+        .withColumn("stop", F.least(F.col("start") + range_bytes, "length"))
+        .repartition(min(MOST_RANGE_TASKS, int(ranges)), "path", "start")
+    )
+
+
+def read_csv_ranges(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType = RAW_SCHEMA, range_bytes: int = RANGE_BYTES,
+) -> DataFrame:
+    """As ``read_csv``, but files are cut into byte ranges that tasks read apart, quoted line breaks or not.
+
+    A first pass counts the quotes of every range. Whether a range begins inside quotes follows from the parity of all
+    quotes before it in its file, a running total over ranges. A second pass parses the records that begin in each range.
+    Quotes must be as RFC 4180 has them: around whole cells, doubled inside. Lines end in \\n or \\r\\n; empty ones are skipped. A record
+    with more or fewer cells than the header raises, as does text that is not UTF-8. A task holds one range and the rest of its last record.
     """
-    reader = spark.read.option("multiLine", True).option("escape", '"').option("nullValue", "\x00").option("emptyValue", "")
-    first = [c.strip().removeprefix("\ufeff") for c in reader.option("header", True).csv(path).columns]
-    missing = sorted(set(schema.names) - set(first))
-    if missing:
-        raise HeaderError(f"CSV missing required columns: {missing}")
-    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(MOST_COLUMNS)])
-    rows = reader.option("header", False).schema(cells).csv(path).select(
-        F.col("_metadata.file_path").alias("file"), F.array(*cells.names).alias("cells"))
+    files = _lacking(listing(spark, path), schema.names)
+    _raise_for(files.where("header IS NOT NULL AND size(missing) > 0").first())
+    ranges = _in_ranges(files.select("path", "length", "header"), range_bytes)
     names = list(schema.names)
 
-    def by_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, places = None, []
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[str | None]] = [[] for _ in names]
-            for at, row in zip(batch.column("file").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                if at != file:
-                    header = [(c or "").strip().removeprefix("\ufeff") for c in row]
-                    lacking = sorted(set(names) - set(header))
-                    if lacking:
-                        raise HeaderError(f"{at.rpartition('/')[2]}: CSV missing required columns: {lacking}")
-                    file, places = at, [header.index(n) for n in names]
+            odd = []
+            for at, start, stop in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "stop")), strict=True):
+                with open_file(at) as raw:
+                    raw.seek(start)
+                    odd.append(sum(raw.read(min(CHUNK_BYTES, stop - p)).count(b'"') for p in range(start, stop, CHUNK_BYTES)) & 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odd, pa.int64())], names=[*batch.schema.names, "odd"])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            with open_file(row["path"]) as raw:
+                quoted = bool(row["before"] - row["odd"] & 1)
+                begin = _record_start(raw, row["start"], quoted) if row["start"] else _next_record(raw, 0, False)
+                end = _record_start(raw, row["stop"], bool(row["before"] & 1))
+                if begin >= end:
                     continue
-                for column, place in zip(columns, places, strict=True):
-                    column.append(row[place])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=names)
-
-    texts = rows.mapInArrow(by_header, T.StructType([T.StructField(n, T.StringType()) for n in names]))
-    return texts.select(*[null_if_na(F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in schema])
+                raw.seek(begin)
+                content = raw.read(end - begin)
+            places = {n: f"c{row['header'].index(n)}" for n in names}
+            cells = [f"c{i}" for i in range(len(row["header"]))]
+            yield from pa_csv.read_csv(
+                pa.BufferReader(content), pa_csv.ReadOptions(use_threads=False, column_names=cells, block_size=len(content) + 1),
+                pa_csv.ParseOptions(newlines_in_values=True),
+                pa_csv.ConvertOptions(column_types=dict.fromkeys(cells, pa.string()), include_columns=list(places.values()), strings_can_be_null=False),
+            ).rename_columns(names).to_batches(10_000)
+
+    fields = "path string, length bigint, header array<string>, start bigint, stop bigint, odd bigint"
+    counted = running_totals(ranges.mapInArrow(count, fields), "start", {"before": "odd"}, ["path"])
+    dealt = counted.select("path", "header", "start", "stop", "odd", "before").repartition(ranges.rdd.getNumPartitions(), "path", "start")
+    texts = dealt.mapInArrow(parse, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    return _typed(texts, schema)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -106,52 +204,16 @@ def parse_documents(df: DataFrame, column: str, schema: T.StructType) -> DataFra
 
 
 def header_check(spark: SparkSession, path: str, required: Sequence[str] = RAW_COLUMNS) -> DataFrame:
-    """Missing required columns of every CSV file under ``path``, judged by its first line.
-
-    Only the block at offset 0 of each file takes part. Scans skip empty files, so the file
-    names come from the listing the reader already holds.
-    """
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
-    names = [(name,) for name in lines.inputFiles()]
-    one_slash = lambda column: F.regexp_replace(column, "^([A-Za-z0-9+.-]+):/+", "$1:/")
-    listing = spark.createDataFrame(names, "path string").select(one_slash("path").alias("path"))
-    first_lines = (
-        lines.select(one_slash("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
-                     F.monotonically_increasing_id().alias("line_no"), "value")
-        .where("at = 0")
-        .groupBy("path")
-        .agg(F.min_by("value", "line_no").alias("header"))
-    )
-    cells = F.transform(
-        F.split(F.regexp_replace("header", r"^\ufeff", ""), ","),
-        lambda cell: F.trim(F.regexp_replace(cell, '"', "")),
-    )
-    wanted = F.array(*[F.lit(c) for c in sorted(required)])
-    return (
-        listing.join(first_lines, "path", "left")
-        .select(
-            F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
-            F.when(F.col("header").isNull(), wanted).otherwise(F.array_except(wanted, cells)).alias("missing"),
-            F.col("header").isNull().alias("empty"),
-            "path",
-        )
-        .withColumn("valid", F.size("missing") == 0)
-    )
+    """Missing required columns of every CSV file under ``path``, judged by its first record, all that is read of it."""
+    return _lacking(walk(spark, path, "*.csv"), required).select(
+        F.col("name").alias("file"), "missing", F.col("header").isNull().alias("empty"), "path", (F.size("missing") == 0).alias("valid"))
 
 
 def require_header(spark: SparkSession, path: str, required: Sequence[str] = RAW_COLUMNS) -> None:
     """Raise HeaderError for the first unusable file under ``path``."""
-    bad = header_check(spark, path, required).where("NOT valid").first()
-    if bad is not None:
-        why = "empty dataset: no CSV header found" if bad["empty"] else f"CSV missing required columns: {bad['missing']}"
-        raise HeaderError(f"{bad['file']}: {why}")
+    _raise_for(_lacking(walk(spark, path, "*.csv"), required).where("size(missing) > 0").first())
 
 
 def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 of every file's bytes. Files beyond ``spark.sql.sources.binaryFile.maxLength`` raise."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    )
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("digest")
-    )
+    """SHA-256 of every file's bytes under a folder, read in chunks, so files may be of any size, and empty."""
+    return with_digest(walk(spark, path, glob)).select("path", "name", "length", "digest")

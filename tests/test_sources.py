@@ -1,13 +1,18 @@
 import hashlib
+import io
 import json
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gaugemill.functions.columns import NA_STRINGS
 from gaugemill.operators import splits
 from gaugemill.plans import datasets
 from gaugemill.plans.workspace import Workspace
-from gaugemill.sources import events, ingestion, tables
+from gaugemill.sources import events, files, ingestion, tables
 from gaugemill.streaming import arrivals
 
 HEADER = "uniqueID,drugName,condition,review,rating,date,usefulCount\n"
@@ -41,10 +46,14 @@ def test_header_check(spark, tmp_path):
 
 
 def test_file_digests(spark, tmp_path):
-    for name, content in (("a.bin", b"hello world"), ("b.bin", b"hello world"), ("c.bin", b"different")):
+    long = b"x" * (3 * files.CHUNK_BYTES + 7)  # several chunks, and far above what a row of Spark's binary files may hold below
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    for name, content in (("a.bin", b"hello world"), ("b.bin", b"hello world"), ("c bin%20", b"different"), ("empty", b""), ("long", long)):
         (tmp_path / name).write_bytes(content)
     got = {r["name"]: r["digest"] for r in tables.file_digests(spark, str(tmp_path)).collect()}
+    spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
     assert got == {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in tmp_path.iterdir()}
+    assert tables.file_digests(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_ingest_plan(spark):
@@ -125,3 +134,76 @@ def test_a_log_of_several_files_is_read_in_order(spark, tmp_path):
 
 def test_a_folder_that_is_not_there_holds_no_files(spark, tmp_path):
     assert arrivals.list_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_header_is_all_that_is_read(spark, tmp_path):
+    (tmp_path / "long.csv").write_text('"unique\nID",b\n' + "1,2\n" * 500_000)
+    read = []
+
+    class Counting(io.RawIOBase):
+        def __init__(self, path):
+            self.raw = open(path, "rb", buffering=0)
+
+        def readable(self):
+            return True
+
+        def read(self, n=-1):
+            got = self.raw.read(n)
+            read.append(len(got))
+            return got
+
+        read1 = read
+
+    # the reader of one path, as a task calls it
+    class Frame:
+        schema = []
+
+        def mapInArrow(self, run, schema):
+            return [r for b in run([pa.RecordBatch.from_pydict({"path": [str(tmp_path / "long.csv")]})]) for r in b.column("header").to_pylist()]
+
+    assert files.with_header(Frame(), Counting) == [["unique\nID", "b"]]
+    assert sum(read) <= 1 << 16
+
+
+def _cells(rng):
+    return "".join(rng.choice(["a", "é", ",", '"', "\n", "\r\n", " ", "NA", "日"]) for _ in range(rng.randrange(0, 12)))
+
+
+def _text(rows):
+    quoted = lambda c: '"' + c.replace('"', '""') + '"'
+    return "".join(",".join(map(quoted, row)) + "\n" for row in rows)
+
+
+@pytest.mark.parametrize("range_bytes", [1, 7, 64, 1 << 20])
+def test_ranges_hold_every_record_once(spark, tmp_path, range_bytes):
+    rng = random.Random(range_bytes)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("b", "a")])
+    expected = []
+    for name in ("x y.csv", "z.csv"):
+        rows = [(f"{name}{i}", _cells(rng), _cells(rng)) for i in range(12)]
+        expected += [(r[2], r[0]) for r in rows]
+        text = _text([("a", "more", "b"), *rows])
+        (tmp_path / name).write_bytes((text if name == "z.csv" else text.removesuffix("\n")).encode())
+    (tmp_path / "empty.csv").write_text("")
+    found = tables.read_csv_ranges(spark, str(tmp_path), schema, range_bytes)
+    as_null = lambda c: None if c in NA_STRINGS else c
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted((a, as_null(b)) for b, a in expected)
+    assert found.rdd.getNumPartitions() > 1 or range_bytes > 100
+
+
+def test_a_long_quoted_record_over_many_ranges(spark, tmp_path):
+    schema = T.StructType([T.StructField("a", T.StringType())])
+    long = 'line "one"\n' * 5000
+    (tmp_path / "f.csv").write_text(_text([("a",), (long,), ("end",)]))
+    found = [r.a for r in tables.read_csv_ranges(spark, str(tmp_path), schema, 1000).collect()]
+    assert sorted(found) == sorted([long, "end"])
+    (tmp_path / "g.csv").write_text("b\n1\n")
+    with pytest.raises(tables.HeaderError):
+        tables.read_csv_ranges(spark, str(tmp_path), schema)
+
+
+def test_csv_names_with_glob_letters_and_wide_files(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.LongType())])
+    (tmp_path / "a[1].csv").write_text("k,x\n1,2\n")
+    (tmp_path / "b.csv").write_text(",".join([f"c{i}" for i in range(400)] + ["k"]) + "\n" + ",".join(["0"] * 400 + ["7"]) + "\n")
+    assert sorted(r.k for r in tables.read_csv(spark, str(tmp_path), schema).collect()) == [1, 7]
