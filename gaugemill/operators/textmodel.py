@@ -112,7 +112,7 @@ def tfidf_weights(
     scaled = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in known]), inputCol="_counts", outputCol="_scaled")
     unit = Normalizer(p=2.0, inputCol="_scaled", outputCol="_unit")
     rows = unit.transform(scaled.transform(counts.transform(_terms(df, text, ngram_max, doc)))).select(doc, "_unit")
-    cells = F.from_json(F.to_json(F.struct("_unit")), "_unit struct<indices array<int>, values array<double>>")["_unit"]
+    cells = F.unwrap_udt("_unit")
     names = df.sparkSession.createDataFrame([(i, r["term"]) for i, r in enumerate(known)], "_at int, term string")
     return (
         rows.select(doc, cells.alias("_cells")).select(doc, F.explode(F.arrays_zip("_cells.indices", "_cells.values")).alias("_cell"))
