@@ -1,5 +1,8 @@
 """Every operator against plain Python, on a table of hard cases, on an empty one, and with clashing columns."""
 
+import random
+import re
+import time
 from collections import Counter
 
 import llm_plain as plain
@@ -315,3 +318,68 @@ def test_best_stretch_is_kadanes():
         scores = [pick.choice([-3, -1, 1, 2, 0]) for _ in range(pick.randint(0, 12))]
         start, end = htmltext.best_stretch(scores)
         assert sum(scores[start:end]) == max([0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1))])
+
+
+def _nested(rng, pieces):
+    """Broken markup of many shapes: tags that never end, ends without a beginning, articles in menus and comments."""
+    names = ["b", "i", "p", "div", "li", "ul", "article", "nav", "main", "section", "br", "td", "h2", "body"]
+    kinds = ["<{0}>", "</{0}>", "<{0} class='comment'>", "word {0} ", " ", "<{0} id=x>", "&amp;"]
+    return "".join(rng.choice(kinds).format(rng.choice(names)) for _ in range(pieces))
+
+
+def _plain_places(source):
+    """The element around every text of a page without special elements, by searching all that are open."""
+    open_, around = [], []
+    for end, name, text in re.findall(r"<(/?)(\w+)>|([^<]+)", source):
+        if text:
+            around += [next((n for n in reversed(open_) if n in ("div", "section")), "body")] if not text.isspace() else []
+        elif not end:
+            open_.append(name)
+        elif name in open_:
+            del open_[len(open_) - 1 - open_[::-1].index(name):]
+    return around
+
+
+def test_html_places_equal_a_search_of_all_open_elements():
+    rng = random.Random(5)
+    for _ in range(300):
+        source = "".join(rng.choice(["<{0}>", "</{0}>", "x "]).format(rng.choice(["b", "i", "em", "div", "section"])) for _ in range(40))
+        merged = [f.removeprefix("word:") for f in htmltext.parse(source).features if f.startswith("word:")]
+        assert merged == _plain_places(source)
+
+
+def test_html_best_text_equals_trying_every_stretch():
+    """Pages without an article mark: the text is that of the best of all stretches, the first of equals."""
+    weights = {"word:p": 0.5, "word:div": 0.25, "tag:p": -0.5, "tag:div": -1.0, "tag:a": -2.0, "word:body": 0.25}
+    rng = random.Random(6)
+    for _ in range(200):
+        source = "".join(rng.choice(["<p>", "</p>", "<div>", "</div>", "<a>", "</a>", "one ", "two three "]) for _ in range(25))
+        page = htmltext.parse(source)
+        scores = [c * weights.get(f, htmltext.UNSEEN_WORD if f.startswith("word:") else htmltext.UNSEEN_TAG) for f, c in zip(page.features, page.counts)]
+        stretches = [(sum(scores[i:j]), i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        best = max((t for t, _, _ in stretches), default=0)
+        texts = {""} if best <= 0 else set()
+        for total, i, j in stretches:
+            if total == best > 0:
+                blocks = range(page.blocks[i], page.blocks[j - 1] + 1)
+                lines = ["".join(t for t, b in zip(page.texts, page.blocks) if b == block) for block in blocks]
+                texts.add("\n".join(" ".join(line.split()) for line in lines if line.split()))
+        assert htmltext.main_text(source, weights) in texts
+
+
+def test_html_of_a_long_page_of_open_tags_is_read_at_once():
+    rng = random.Random(7)
+    started = time.process_time()
+    for page in ("<b>" * 150_000 + "</i>" * 150_000, "<b>x" * 150_000, "<nav>" * 100_000 + "<article>" * 50_000, _nested(rng, 100_000)):
+        htmltext.main_text(page, {})
+    assert time.process_time() - started < 30  # by search, minutes
+
+
+def test_html_weights_come_from_different_pages(spark):
+    """Copies of one page count once, and pages beyond the smallest hashes not at all."""
+    pages = [f"<nav>{'m ' * n}</nav><article><p>{'w ' * n}</p></article>" for n in range(1, 30)]
+    one = htmltext.learn_weights(spark.createDataFrame([(p,) for p in pages], "html string"))
+    many = htmltext.learn_weights(spark.createDataFrame([(p,) for p in pages + pages[:1] * 200] + [(None,)], "html string"))
+    assert one == many and one["word:p"] > 0
+    assert htmltext.learn_weights(spark.createDataFrame([(pages[3],)] * 50, "html string"), labelled_pages=1)
+    assert htmltext.learn_weights(spark.createDataFrame([("<p>x</p>",)], "html string")) == {}
