@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugemill.session import scratch_path, stage
+from gaugemill.session import discard, scratch_path, stage
 
 
 class CycleError(ValueError):
@@ -142,46 +142,45 @@ def step_decisions(states: DataFrame, edges: DataFrame, conditions: DataFrame |
     """wait, blocked, skip or launch for every pending step.
 
     states(graph, step, state), edges(graph, step, dep), conditions(graph, step, holds).
-    A skip makes its step terminal, so rounds repeat until one adds no skip.
+    A skip makes its step terminal and may settle those that depend on it. All steps are judged once, from counts of their
+    dependencies; each further round joins the skips of the round before with the edges between pending steps, counts them off at the
+    steps they reach, and judges those only. A step is skipped once, so an edge is followed once. Steps of a graph have one
+    state each (``dag_problems`` finds others); repeated edges count once.
     """
-    current = states.select("graph", "step", "state")
     unmet = None
     if conditions is not None:
         unmet = conditions.groupBy("graph", "step").agg((~F.bool_and("holds")).alias("unmet"))
-    terminal = F.col("dep_state").isin("succeeded", "failed", "skipped")
-    while True:
-        deps = current.select("graph", F.col("step").alias("dep"), F.col("state").alias("dep_state"))
-        flags = (
-            edges.join(deps, ["graph", "dep"], "left")
-            .groupBy("graph", "step")
-            .agg(
-                F.bool_or(~F.coalesce(terminal, F.lit(False))).alias("waiting"),
-                F.bool_or(F.col("dep_state") == "failed").alias("failed"),
-                F.bool_or(F.col("dep_state") == "skipped").alias("skipped"),
-            )
-        )
-        judged = current.join(flags, ["graph", "step"], "left")
-        judged = judged.join(unmet, ["graph", "step"], "left") if unmet is not None else judged.withColumn(
-            "unmet", F.lit(False)
-        )
-        skip = F.coalesce("skipped", F.lit(False)) | F.coalesce("unmet", F.lit(False))
-        decided = stage(
-            judged.select(
-                "graph", "step", "state",
-                F.when(
-                    F.col("state") == "pending",
-                    F.when(F.coalesce("waiting", F.lit(False)), "wait")
-                    .when(F.coalesce("failed", F.lit(False)), "blocked")
-                    .when(skip, "skip")
-                    .otherwise("launch"),
-                ).alias("decision"),
-            ),
-            "step-decisions",
-        )
-        if decided.where("decision = 'skip'").isEmpty():
-            initial = states.select("graph", "step", F.col("state").alias("initial_state"))
-            return initial.where("initial_state = 'pending'").join(decided, ["graph", "step"]).select(
-                "graph", "step",
-                F.when(F.col("state") == "skipped", "skip").otherwise(F.col("decision")).alias("decision"),
-            )
-        current = decided.withColumn("state", F.when(F.col("decision") == "skip", "skipped").otherwise(F.col("state")))
+    deps = states.select("graph", F.col("step").alias("dep"), F.col("state").alias("dep_state"))
+    counts = (
+        edges.select("graph", "step", "dep").distinct().join(deps, ["graph", "dep"], "left").groupBy("graph", "step")
+        .agg(F.count_if(~F.coalesce(F.col("dep_state").isin("succeeded", "failed", "skipped"), F.lit(False))).alias("open"),
+             F.coalesce(F.bool_or(F.col("dep_state") == "failed"), F.lit(False)).alias("failed"),
+             F.coalesce(F.bool_or(F.col("dep_state") == "skipped"), F.lit(False)).alias("skipped"))
+    )
+    pending = states.where("state = 'pending'").select("graph", "step").join(counts, ["graph", "step"], "left")
+    pending = pending.join(unmet, ["graph", "step"], "left") if unmet is not None else pending.withColumn("unmet", F.lit(False))
+    no = F.lit(False)
+    judged = stage(pending.select("graph", "step", F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("failed", no).alias("failed"),
+                                  F.coalesce("skipped", no).alias("skipped"), F.coalesce("unmet", no).alias("unmet")), "step-counts")
+    between = stage(
+        edges.select("graph", "step", "dep").distinct().join(deps.where("dep_state = 'pending'").select("graph", "dep"), ["graph", "dep"])
+        .join(judged.select("graph", "step"), ["graph", "step"]).select("graph", "step", "dep"), "step-edges")
+    skips = (F.col("open") == 0) & ~F.col("failed") & (F.col("skipped") | F.col("unmet"))
+    spark, path = states.sparkSession, scratch_path(states.sparkSession, "step-closed")
+    fresh, turn = stage(judged.where(skips).select("graph", "step"), "step-skips"), 0
+    while not fresh.isEmpty():
+        # how many dependencies of a step this round closed; a folder for each round, so the plan does not grow
+        reached = fresh.withColumnRenamed("step", "dep").join(between, ["graph", "dep"])
+        reached.groupBy("graph", "step").agg(F.count("*").alias("closed")).write.parquet(f"{path}/turn={turn}")
+        touched = spark.read.parquet(f"{path}/turn={turn}").select("graph", "step")
+        closed = spark.read.parquet(path).join(touched, ["graph", "step"], "left_semi").groupBy("graph", "step").agg(F.sum("closed").alias("closed"))
+        now = closed.join(judged, ["graph", "step"]).withColumn("open", F.col("open") - F.col("closed")).withColumn("skipped", F.lit(True))
+        last, fresh = fresh, stage(now.where(skips).select("graph", "step"), "step-skips")
+        discard(last)
+        turn += 1
+    discard(fresh, between)
+    if turn:
+        closed = spark.read.parquet(path).groupBy("graph", "step").agg(F.sum("closed").alias("closed"))
+        judged = judged.join(closed, ["graph", "step"], "left").withColumns({
+            "open": F.col("open") - F.coalesce("closed", F.lit(0)), "skipped": F.col("skipped") | F.col("closed").isNotNull()})
+    return judged.select("graph", "step", F.when(F.col("open") > 0, "wait").when(F.col("failed"), "blocked").when(skips, "skip").otherwise("launch").alias("decision"))

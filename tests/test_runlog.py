@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +172,45 @@ def test_failed_dependency_blocks(spark):
     edges = _edges(spark, [(1, "c", "a"), (1, "c", "b"), (1, "d", "c")])
     got = {r["step"]: r["decision"] for r in graph.step_decisions(states, edges).collect()}
     assert got == {"c": "blocked", "d": "wait"}
+
+
+def _plain_decisions(states, edges, holds):
+    """Judge every pending step again until a round adds no skip."""
+    now, decided = dict(states), {}
+    while True:
+        decided = {}
+        for step, state in now.items():
+            if state != "pending":
+                continue
+            deps = [now.get(d) for s, d in edges if s == step]
+            if any(d not in ("succeeded", "failed", "skipped") for d in deps):
+                decided[step] = "wait"
+            elif "failed" in deps:
+                decided[step] = "blocked"
+            elif "skipped" in deps or not all(h for s, h in holds if s == step):
+                decided[step] = "skip"
+            else:
+                decided[step] = "launch"
+        fresh = [s for s, d in decided.items() if d == "skip"]
+        if not fresh:
+            return decided | {s: "skip" for s, state in now.items() if state == "skipped" and states[s] == "pending"}
+        now |= dict.fromkeys(fresh, "skipped")
+
+
+def test_step_decisions_equal_judging_all_steps_in_every_round(spark):
+    rng = random.Random(11)
+    graphs = {}
+    for g in range(60):
+        steps = [f"s{i:02}" for i in range(9)]
+        states = {s: rng.choices(["pending", "succeeded", "failed", "skipped", "running"], [12, 3, 1, 1, 1])[0] for s in steps}
+        edges = [(s, d) for i, s in enumerate(steps) for d in steps[:i] if rng.random() < 0.3] + [("s08", "gone")] * (g % 5 == 0)
+        graphs[g] = states, edges + edges[:2], [(s, rng.random() < 0.6) for s in steps if rng.random() < 0.4]
+    # one chain whose first step is skipped, and a pair that waits for each other
+    graphs[60] = {f"s{i:02}": "pending" for i in range(7)}, [(f"s{i + 1:02}", f"s{i:02}") for i in range(6)], [("s00", False)]
+    graphs[61] = {"a": "pending", "b": "pending"}, [("a", "b"), ("b", "a")], [("a", False)]
+    states = spark.createDataFrame([(g, s, v) for g, (x, _, _) in graphs.items() for s, v in x.items()], "graph int, step string, state string")
+    edges = _edges(spark, [(g, s, d) for g, (_, x, _) in graphs.items() for s, d in x])
+    holds = spark.createDataFrame([(g, s, h) for g, (_, _, x) in graphs.items() for s, h in x], "graph int, step string, holds boolean")
+    found = graph.step_decisions(states, edges, holds).collect()
+    expected = {(g, s): d for g, parts in graphs.items() for s, d in _plain_decisions(*parts).items()}
+    assert len(found) == len(expected) and {(r.graph, r.step): r.decision for r in found} == expected
