@@ -24,6 +24,9 @@ SAMPLED, SEEN, HOT = 16, 2, 1 << 18
 SIZE_STEP = 1.1
 #: Shares of the lists that are joined one after the other: peak disk, not the result, depends on it.
 BLOCKS = 4
+#: Words of 64 bits in the sketch of a set; each bit is the parity of the shingles that fall on it.
+SKETCH = 4
+_SKETCHED = [f"s{k}" for k in range(SKETCH)]
 #: Rows up to which the texts to compare are picked by a broadcast list of their keys; beyond, by a shuffled join.
 PICKED_BY_BROADCAST = 500_000
 
@@ -87,8 +90,16 @@ def _frequent(rows: DataFrame, text_col: str, size: int) -> np.ndarray:
     return np.sort(top["shingle"].to_numpy(np.int64))
 
 
+def _parities(found: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
+    """Sketches of the sets, one row of SKETCH words each. Two sets differ in at least as many shingles as their sketches in bits."""
+    bits = 64 * SKETCH
+    at = (W.mixed((found & ((1 << 62) - 1)).astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(of * bits + at, minlength=texts * bits) & 1).astype(np.uint8).reshape(texts, bits)
+    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+
+
 def _prefixes(rows: DataFrame, text_col: str, size: int, percent: int, hot: np.ndarray, most_small: int) -> DataFrame:
-    """Per row: its set's hash and size, the set's prefix, and the whole set if it is small. A task gives a set's shingles once."""
+    """Per row: its set's hash, size and sketch, the set's prefix, and the whole set if it is small. A task gives a set's shingles once."""
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
@@ -103,15 +114,17 @@ def _prefixes(rows: DataFrame, text_col: str, size: int, percent: int, hot: np.n
                     new.append(n > 0 and key not in seen)
                     seen.add(key)
                 take = np.where(new, take, 0)
+                sketch = _parities(found, of, part.num_rows)
                 whole = np.where(np.array(new, bool) & (sizes <= most_small), sizes, 0)
                 yield pa.RecordBatch.from_arrays([
                     part.column(ID), part.column(ROW), pa.array(node), pa.array(sizes, pa.int32()),
-                    _lists(found, first, take), _lists(found, first, whole),
-                ], names=[ID, ROW, "node", "n", "prefix", "whole"])
+                    _lists(found, first, take), _lists(found, first, whole), *(pa.array(sketch[:, k]) for k in range(SKETCH)),
+                ], names=[ID, ROW, "node", "n", "prefix", "whole", *_SKETCHED])
         give_back()
 
     return rows.select(ID, ROW, text_col).mapInArrow(
-        run, f"{ID} bigint, {ROW} bigint, node bigint, n int, prefix array<bigint>, whole array<bigint>")
+        run, f"{ID} bigint, {ROW} bigint, node bigint, n int, prefix array<bigint>, whole array<bigint>, "
+        + ", ".join(f"{c} bigint" for c in _SKETCHED))
 
 
 def _lists(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -244,14 +257,15 @@ def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) ->
     Two linked sets share all they share from their first common shingle on, so at its places they have enough left: a set
     of n with the place p there links with none of more than (100 n - (100 + percent) p) / percent, its reach. One of the
     two then reaches its own size. Lists in which none does are dropped, the others are met by both sets' sizes and reaches.
-    Texts that share a boilerplate too small to link them stand late in its lists and meet nowhere.
+    Texts that share a boilerplate too small to link them stand late in its lists and meet nowhere. Two that meet are a pair
+    only if their sketches differ in no more bits than linked sets of their sizes may in shingles, which loses no link.
     """
-    prefixes = stage(base.where(F.size("prefix") > 0).select("node", "n", "prefix").dropDuplicates(["node"])
+    prefixes = stage(base.where(F.size("prefix") > 0).select("node", "n", "prefix", *_SKETCHED).dropDuplicates(["node"])
                      .join(open_.select("node").distinct(), "node", "left_semi"), "jaccard-prefixes")
     places = stage(
-        prefixes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
+        prefixes.select("node", "n", *_SKETCHED, F.posexplode("prefix").alias("at", "shingle"))
         .join(open_.select("shingle", "node", "comp"), ["shingle", "node"])
-        .select("shingle", "node", "comp", "n", F.expr(f"cast((100L * n - {100 + percent}L * at) div {percent} as int)").alias("reach")),
+        .select("shingle", "node", "comp", "n", *_SKETCHED, F.expr(f"cast((100L * n - {100 + percent}L * at) div {percent} as int)").alias("reach")),
         "jaccard-places")
     step = lambda x: F.floor(F.log(x) / F.log(F.lit(SIZE_STEP))).cast("int")
     each = stage(
@@ -259,15 +273,19 @@ def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) ->
             "own": step(F.col("n")),
             "other": F.explode(F.sequence(step(F.ceil(F.lit(percent) * F.col("n") / 100)), step(F.greatest("reach", F.lit(1))))),
         }), "jaccard-parts")
+    discard(places)
+    carried = ("node", "n", "reach", "comp", *_SKETCHED)
+    differing = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in _SKETCHED)
     reclaim(base.sparkSession)
     parts = []
     for k in range(BLOCKS):  # one share of the lists after the other, so that their shuffles do not add up
         block = each.where(F.pmod(F.xxhash64(F.lit("block"), "shingle"), F.lit(BLOCKS)) == k)
-        left = block.where("reach >= n").select("shingle", F.col("own").alias("x"), F.col("other").alias("y"), *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "reach", "comp")))
-        right = block.select("shingle", F.col("other").alias("x"), F.col("own").alias("y"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "reach", "comp")))
+        left = block.where("reach >= n").select("shingle", F.col("own").alias("x"), F.col("other").alias("y"), *(F.col(c).alias(f"{c}_a") for c in carried))
+        right = block.select("shingle", F.col("other").alias("x"), F.col("own").alias("y"), *(F.col(c).alias(f"{c}_b") for c in carried))
         met = left.join(right, ["shingle", "x", "y"]).where(F.expr(
             f"node_a <> node_b and comp_a <> comp_b and (reach_b < n_b or node_a < node_b) and n_a <= reach_b and n_b <= reach_a "
-            f"and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and greatest(n_a, n_b) > {boundary}"))
+            f"and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and greatest(n_a, n_b) > {boundary} "
+            f"and {differing} <= n_a + n_b - 2 * ceil({percent} * (n_a + n_b) / {100 + percent})"))
         parts.append(stage(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "jaccard-part"))
         del left, right, met
         reclaim(base.sparkSession)
@@ -275,7 +293,7 @@ def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) ->
     for more in parts[1:]:
         pairs = pairs.unionByName(more)
     pairs = stage(pairs.distinct(), "jaccard-met")
-    discard(each, places, *parts)
+    discard(each, *parts)
     met = pairs
     for x in "ab":
         pairs = pairs.join(prefixes.select(
@@ -317,7 +335,7 @@ def near_duplicates(
     stand in inverted lists of their first shingles, in an order that puts frequent ones last. Lists are first
     joined with one leading set each, turn by turn, so that a group of near copies falls together without pairing its members.
     When turns bring few links, lists are cut by set size and place, and what is left is compared, each set's
-    likeliest pair first. Links within a group that is known already
+    likeliest pair first; pairs whose parity sketches differ too much are not compared. Links within a group that is known already
     change nothing and are not looked for. Similarities are counted on whole sets; shingles are hashes of 62 bits.
     """
     return _grouped(docs.drop(size_as, group_as), id_col, text_col, shingle, percent, size_as, group_as).drop(ID, ROW, _GROUP)
