@@ -21,6 +21,15 @@ def dag_levels(spark, sf):
     return graph.dag_levels(view(spark, sf, "dag_nodes"), view(spark, sf, "dag_edges"))
 
 
+def dag_cycles(spark, sf):
+    """Every fifth conversation's last turn is made a dependency of its middle one, and of its first in every tenth."""
+    nodes, edges = view(spark, sf, "dag_nodes"), view(spark, sf, "dag_edges")
+    last = nodes.groupBy("graph").agg(F.max("step").alias("dep"))
+    closing = nodes.join(last, "graph").where((F.col("graph") % 5 == 0) & (
+        (F.col("step") * 2 == F.col("dep")) | ((F.col("step") == 0) & (F.col("graph") % 10 == 0)))).select("graph", "step", "dep")
+    return graph.dag_cycles(nodes, edges.unionByName(closing))
+
+
 def _conditions(spark, sf):
     return table(spark, sf, "conversations").where("turn = 1").select(
         F.col("conv_id").alias("graph"), F.col("turn").alias("step"), (F.col("turn") - 1).alias("dep"),
@@ -54,7 +63,7 @@ def run_parents_tree(spark, sf):
     return graph.run_tree(runs)
 
 
-QUERIES = {f.__name__: f for f in (dag_validate, dag_levels, exited_with, step_decision, run_parents_tree)}
+QUERIES = {f.__name__: f for f in (dag_validate, dag_levels, dag_cycles, exited_with, step_decision, run_parents_tree)}
 
 ORACLES = {
     "dag_validate": oracle("""
@@ -67,6 +76,13 @@ UNION ALL SELECT graph, step, 'condition without dependency' FROM dag_nodes n
 WITH walk AS (SELECT graph, step, 0 AS level FROM dag_nodes
   UNION SELECT e.graph, e.step, w.level + 1 FROM walk w JOIN dag_edges e ON e.graph = w.graph AND e.dep = w.step)
 SELECT graph, step, cast(max(level) AS int) AS level FROM walk GROUP BY graph, step""", "dag_nodes", "dag_edges", recursive=True),
+    "dag_cycles": oracle("""
+WITH closed AS (SELECT graph, step, dep FROM dag_edges
+  UNION SELECT n.graph, n.step, l.dep FROM dag_nodes n JOIN (SELECT graph, max(step) AS dep FROM dag_nodes GROUP BY graph) l USING (graph)
+  WHERE n.graph % 5 = 0 AND (n.step * 2 = l.dep OR (n.step = 0 AND n.graph % 10 = 0))),
+reach AS (SELECT graph, step, dep FROM closed UNION SELECT r.graph, r.step, c.dep FROM reach r JOIN closed c ON c.graph = r.graph AND c.step = r.dep)
+SELECT a.graph, a.step, min(a.dep) AS cycle FROM reach a JOIN reach b ON b.graph = a.graph AND b.step = a.dep AND b.dep = a.step
+GROUP BY a.graph, a.step""", "dag_nodes", "dag_edges", recursive=True),
     "exited_with": "SELECT conv_id AS graph, turn AS step, conv_id % 3 * 32 IN (0, 64) AS holds FROM conversations WHERE turn = 1",
     # dependencies always point to earlier turns, so one walk over the turns settles every step
     "step_decision": oracle("""

@@ -113,22 +113,111 @@ def dag_problems(nodes: DataFrame, edges: DataFrame, conditional: DataFrame | No
 
 
 def dag_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Longest-path level of each step: peel the steps that nothing left over blocks."""
-    left = nodes.select("graph", "step").distinct()
-    blocking = stage(edges.select("graph", "step", "dep").distinct(), "dag-edges")
-    path, level = scratch_path(nodes.sparkSession, "dag-levels"), 0  # a level is a folder, so the plan does not grow
+    """Longest-path level of each step.
+
+    A step waits for max(least, level of each open dependency + add). Each round settles the steps without open
+    dependencies and folds their levels into the ``least`` of those that wait for them; then every edge to a step with one
+    open dependency left is led past it, as x -> max(least, x + add) composes to a function of the same form. A chain of
+    depth d takes about log2(d) rounds, no graph more than d, and edges never grow in number. ``dag_cycles`` names the
+    steps on a cycle.
+    """
+    spark, path, turn = nodes.sparkSession, scratch_path(nodes.sparkSession, "dag-levels"), 0
+    waiting = stage(nodes.select("graph", "step", F.lit(0).cast("bigint").alias("least")).distinct(), "dag-waiting")
+    longest = waiting.count()  # no path of an acyclic table is longer; keeps the sums on cycles small
+    open_edges = stage(edges.select("graph", "step", "dep", F.lit(1).cast("bigint").alias("add")).distinct(), "dag-edges")
     while True:
-        blocked = blocking.select("graph", "step").distinct()
-        ready = stage(left.join(blocked, ["graph", "step"], "left_anti"), "dag-ready")
-        if level and ready.isEmpty():
+        # a folder for each round, so the plan does not grow
+        waiting.join(open_edges, ["graph", "step"], "left_anti").write.parquet(f"{path}/turn={turn}")
+        ready = spark.read.schema(waiting.schema).parquet(f"{path}/turn={turn}")
+        if turn and ready.isEmpty():
             raise CycleError("dependency table contains a cycle or an unknown dependency")
-        ready.write.parquet(f"{path}/level={level}")
-        if blocking.isEmpty():
-            return nodes.sparkSession.read.parquet(path).select(*ready.columns, F.col("level").cast("int").alias("level"))
-        resolved = ready.withColumnRenamed("step", "dep")
-        left = blocked
-        blocking = stage(blocking.join(resolved, ["graph", "dep"], "left_anti"), "dag-edges")
-        level += 1
+        if open_edges.isEmpty():
+            discard(waiting, open_edges)
+            return spark.read.schema(waiting.schema).parquet(path).select("graph", "step", F.col("least").cast("int").alias("level"))
+        settled = ready.select("graph", F.col("step").alias("dep"), F.col("least").alias("level"))
+        folded = open_edges.join(settled, ["graph", "dep"]).select("graph", "step", (F.col("level") + F.col("add")).alias("least"))
+        left = waiting.join(ready, ["graph", "step"], "left_anti").unionByName(folded).groupBy("graph", "step").agg(F.max("least").alias("least"))
+        left = stage(left, "dag-waiting")
+        still = open_edges.join(settled, ["graph", "dep"], "left_anti")
+        single = (
+            still.groupBy("graph", "step").agg(F.count("*").alias("n"), F.max("dep").alias("up"), F.max("add").alias("up_add")).where("n = 1")
+            .join(left, ["graph", "step"]).select("graph", F.col("step").alias("dep"), "up", "up_add", F.col("least").alias("up_least"))
+        )
+        past = F.col("up").isNotNull() & (F.col("add") + F.col("up_add") <= longest)
+        led = stage(still.join(single, ["graph", "dep"], "left").select(
+            "graph", "step", F.when(past, F.col("up")).otherwise(F.col("dep")).alias("dep"),
+            F.when(past, F.col("add") + F.col("up_add")).otherwise(F.col("add")).alias("add"),
+            F.when(past, F.col("up_least") + F.col("add")).alias("least")), "dag-led")
+        gained = led.where("least is not null").select("graph", "step", "least")
+        former = (waiting, open_edges)
+        waiting = stage(left.unionByName(gained).groupBy("graph", "step").agg(F.max("least").alias("least")), "dag-waiting")
+        open_edges = stage(led.groupBy("graph", "step", "dep").agg(F.max("add").alias("add")), "dag-edges")
+        discard(*former, left, led)
+        turn += 1
+
+
+def _trim(edges: DataFrame) -> DataFrame:
+    """Edges left when steps without dependency or without dependant are taken off until none is left."""
+    kept, before = edges, None
+    while True:
+        n = kept.count()
+        if n in (0, before):
+            return kept
+        inner = kept.join(kept.select("graph", F.col("step").alias("dep")).distinct(), ["graph", "dep"], "left_semi")
+        inner = inner.join(kept.select("graph", F.col("dep").alias("step")).distinct(), ["graph", "step"], "left_semi")
+        former, kept, before = kept, stage(inner.select("graph", "step", "dep"), "cycle-edges"), n
+        if former is not edges:
+            discard(former)
+
+
+def dag_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Steps on a cycle: (graph, step, cycle), where ``cycle`` is the smallest step of the strongly connected component.
+
+    Steps off every cycle are trimmed. Then colours run forward, a step taking the smallest step that reaches it; the
+    steps of one colour that reach the step naming it are its component. Components found are taken off and the rest is coloured
+    again. Rounds follow the longest way a colour runs. Dependencies on unknown steps close no cycle; self-edges do.
+    """
+    spark, path, turn = nodes.sparkSession, scratch_path(nodes.sparkSession, "cycles"), 0
+    known = nodes.select("graph", "step").distinct()
+    left = stage(
+        edges.select("graph", "step", "dep").distinct().join(known, ["graph", "step"], "left_semi")
+        .join(known.withColumnRenamed("step", "dep"), ["graph", "dep"], "left_semi").select("graph", "step", "dep"), "cycle-edges")
+    known.withColumn("cycle", F.col("step")).limit(0).write.parquet(f"{path}/turn={turn}/part=0")
+    while True:
+        left = _trim(left)
+        if left.isEmpty():
+            found = spark.read.parquet(path).select("graph", "step", "cycle")
+            # a step between two cycles is a component of its own, and on none
+            several = found.groupBy("graph", "cycle").count().where("count > 1").select("graph", "cycle")
+            alone = edges.where("step = dep").select("graph", F.col("step").alias("cycle"))
+            return found.join(several.unionByName(alone), ["graph", "cycle"], "left_semi").select("graph", "step", "cycle")
+        turn += 1
+        colour = stage(left.select("graph", "step", F.col("step").alias("cycle")).distinct(), "cycle-colours")
+        while True:
+            heard = left.join(colour.select("graph", F.col("step").alias("dep"), F.col("cycle").alias("heard")), ["graph", "dep"]).groupBy("graph", "step").agg(F.min("heard").alias("heard"))
+            nearer = stage(colour.join(heard, ["graph", "step"], "left").select(
+                "graph", "step", F.least("cycle", "heard").alias("cycle"), F.coalesce(F.col("heard") < F.col("cycle"), F.lit(False)).alias("_moved")), "cycle-colours")
+            discard(colour)
+            colour = nearer.drop("_moved")
+            colour._staged_at = nearer.__dict__.pop("_staged_at")
+            if nearer.where("_moved").isEmpty():
+                break
+        ends = {side: colour.select("graph", F.col("step").alias(side), F.col("cycle").alias(f"_{side}")) for side in ("step", "dep")}
+        within = stage(left.join(ends["step"], ["graph", "step"]).join(ends["dep"], ["graph", "dep"]).where("_step = _dep")
+                       .select("graph", "step", "dep"), "cycle-within")
+        found = colour.where("step = cycle").select("graph", "step", "cycle")
+        found.write.parquet(f"{path}/turn={turn}/part=0")
+        back, fresh = 0, spark.read.parquet(f"{path}/turn={turn}/part=0")
+        while not fresh.isEmpty():
+            back += 1
+            reached = within.join(fresh, ["graph", "step"]).select("graph", F.col("dep").alias("step"), "cycle").distinct()
+            seen = spark.read.parquet(f"{path}/turn={turn}").select("graph", "step")
+            reached.join(seen, ["graph", "step"], "left_anti").write.parquet(f"{path}/turn={turn}/part={back}")
+            fresh = spark.read.schema(found.schema).parquet(f"{path}/turn={turn}/part={back}")
+        done = spark.read.schema(found.schema).parquet(f"{path}/turn={turn}").select("graph", "step")
+        rest = left.join(done, ["graph", "step"], "left_anti").join(done.withColumnRenamed("step", "dep"), ["graph", "dep"], "left_anti")
+        former, left = left, stage(rest.select("graph", "step", "dep"), "cycle-edges")
+        discard(former, colour, within)
 
 
 def exited_with(conditions: DataFrame, exits: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugemill.operators.ordered import with_previous
+from gaugemill.session import stage
 from gaugemill.settings import PROMOTION_MIN_MARGIN, RETRAIN_COOLDOWN_SECONDS
 
 
@@ -145,14 +146,16 @@ def cooldown(
     seq: str,
     seconds: float = RETRAIN_COOLDOWN_SECONDS,
     block_windows: int = 8,
+    fan: int = 256,
 ) -> DataFrame:
     """Mark each request ``accepted`` unless one was accepted less than ``seconds`` before.
 
     A suppressed request does not restart the clock, so acceptance runs in sequence along
     a key. Keys are cut into time blocks: (1) every block maps the earliest allowed instant
-    to its last accepted one, as a short step function; (2) those functions are chained per
-    key, one row per block; (3) every block replays from its now known start. A task holds
-    the distinct instants of one key in ``block_windows`` cooldowns at a time.
+    to its last accepted one, as a short step function; (2) those functions are composed up a
+    tree, ``fan`` neighbours at a time, and the starts of blocks are carried down it again;
+    (3) every block replays from its now known start. A task holds the distinct instants of
+    one key in ``block_windows`` cooldowns, or ``fan`` functions, at a time, however long a key's history is.
     """
     window = int(seconds * 1_000_000)
     span = window * block_windows
@@ -168,10 +171,22 @@ def cooldown(
         ends = times[_jump_ends(times, window)][:reachable]
         last_of_run = np.append(ends[1:] != ends[:-1], True)
         return {key: group[key][:1], "_block": group["_block"][:1],
-                "upto": [times[:reachable][last_of_run]], "ends": [ends[last_of_run]]}
+                "_reach": [group["_block"][0] * span + window], "upto": [times[:reachable][last_of_run]], "ends": [ends[last_of_run]]}
+
+    def compose(group: dict[str, np.ndarray]) -> dict:
+        # no start lies beyond the first block's reach, so at most one step of all later blocks takes starts as they are
+        upto, ends, reach = group["upto"][0], group["ends"][0], group["_reach"][0]
+        for next_upto, next_ends in zip(group["upto"][1:], group["ends"][1:]):
+            at_step = np.searchsorted(next_upto, ends + window)
+            ends = np.where(at_step < len(next_upto), next_ends[np.minimum(at_step, len(next_upto) - 1)], ends)
+            if upto[-1] < reach:
+                upto, ends = np.append(upto, next_upto[0]), np.append(ends, next_ends[0])
+            last_of_run = np.append(ends[1:] != ends[:-1], True)
+            upto, ends = upto[last_of_run], ends[last_of_run]
+        return {key: group[key][:1], "_block": group["_up"][:1], "_reach": [reach], "upto": [upto], "ends": [ends]}
 
     def chain(group: dict[str, np.ndarray]) -> dict:
-        earliest, starts = np.iinfo(np.int64).min, []
+        earliest, starts = group["_start"][0], []
         for upto, ends in zip(group["upto"], group["ends"]):
             starts.append(earliest)
             at_step = np.searchsorted(upto, earliest)
@@ -193,8 +208,15 @@ def cooldown(
         )
 
     longs, long = T.ArrayType(T.LongType()), T.LongType()
-    steps = _per_group(instants, [key, "_block"], "_at", summarize, schema(_block=long, upto=longs, ends=longs))
-    starts = _per_group(steps, [key], "_block", chain, schema(_block=long, _start=long))
+    step_function = schema(_block=long, _reach=long, upto=longs, ends=longs)
+    up = F.floor(F.col("_block") / F.lit(fan)).cast("bigint")
+    levels = [stage(_per_group(instants, [key, "_block"], "_at", summarize, step_function), "cooldown-steps")]
+    while not levels[-1].groupBy(key).count().where("count > 1").isEmpty():
+        levels.append(stage(_per_group(levels[-1].withColumn("_up", up), [key, "_up"], "_block", compose, step_function), "cooldown-steps"))
+    starts = levels.pop().select(key, "_block", F.lit(int(np.iinfo(np.int64).min)).alias("_start"))
+    for level in reversed(levels):  # each level's starts from those of the level above
+        parents = starts.withColumnRenamed("_block", "_up")
+        starts = _per_group(level.withColumn("_up", up).join(parents, [key, "_up"]), [key, "_up"], "_block", chain, schema(_block=long, _start=long))
     replayed = schema(_at=long, _seq=instants.schema["_seq"].dataType)
     accepted = _per_group(instants.join(starts, [key, "_block"]), [key, "_block"], "_at", replay, replayed).select(
         key, "_at", F.col("_seq").alias(seq), F.lit(True).alias("_accepted")

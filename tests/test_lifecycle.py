@@ -64,6 +64,19 @@ def test_cooldown_equals_row_by_row(spark, seed, seconds, block):
     assert got == expected
 
 
+def test_cooldown_of_one_long_history_goes_up_a_tree(spark, monkeypatch):
+    rng, base, held, write = random.Random(9), datetime(2024, 1, 1), [], lifecycle.stage
+    monkeypatch.setattr(lifecycle, "stage", lambda df, name: held.append(write(df, name)) or held[-1])
+    times = sorted(rng.randrange(200_000) for _ in range(6000))
+    df = spark.createDataFrame([("all", base + timedelta(seconds=t), i) for i, t in enumerate(times)], "k string, t timestamp_ntz, s long")
+    got = {r["s"]: r["accepted"] for r in lifecycle.cooldown(df, "k", "t", "s", 90, 2, 4).collect()}
+    assert got == dict(enumerate(_greedy([base + timedelta(seconds=t) for t in times], 90)))
+    sizes = [level.count() for level in held]
+    assert len(sizes) > 4 and sizes[-1] == 1 and all(b <= a // 4 + 2 for a, b in zip(sizes, sizes[1:]))
+    # a function over many blocks is no longer than one over a single block may be
+    assert max(r["n"] for level in held for r in level.selectExpr("size(upto) as n").collect()) <= 92
+
+
 def test_champion_pointer(spark, tmp_path):
     ws = Workspace(spark, str(tmp_path))
     assert ws.champion() is None and ws.rollback() is None

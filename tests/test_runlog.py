@@ -154,6 +154,46 @@ def test_levels_and_cycles(spark):
         graph.dag_levels(nodes, edges.unionByName(_edges(spark, [(1, "a", "d")])))
 
 
+def test_levels_of_a_long_chain_end_in_few_rounds(spark, monkeypatch):
+    rounds, write = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, name: rounds.append(name) or write(df, name))
+    nodes = spark.createDataFrame([(1, f"s{i}") for i in range(1000)], "graph int, step string")
+    edges = _edges(spark, [(1, f"s{i + 1}", f"s{i}") for i in range(999)])
+    assert {r["step"]: r["level"] for r in graph.dag_levels(nodes, edges).collect()} == {f"s{i}": i for i in range(1000)}
+    assert rounds.count("dag-led") <= 12
+
+
+def _plain_reach(edges):
+    reach = set(edges)
+    while True:
+        more = {(a, d) for a, b in reach for c, d in edges if b == c} - reach
+        if not more:
+            return reach
+        reach |= more
+
+
+def test_levels_and_cycles_of_random_graphs(spark):
+    rng = random.Random(5)
+    graphs = {g: [(s, d) for s in "abcdefgh" for d in "abcdefgh" if rng.random() < 0.13 and (g % 2 or d < s)] for g in range(40)}
+    graphs[1] = [("a", "a"), ("b", "a"), ("c", "d"), ("d", "c"), ("e", "c"), ("e", "gone")]
+    rows = [(g, s, d) for g, x in graphs.items() for s, d in x]
+    nodes = spark.createDataFrame([(g, s) for g in graphs for s in "abcdefgh"], "graph int, step string")
+    expected = {}
+    for g, x in graphs.items():
+        reach = _plain_reach(x)
+        expected |= {(g, a): min(b for b in "abcdefgh" if (a, b) in reach and (b, a) in reach) for a in "abcdefgh" if (a, a) in reach}
+    found = graph.dag_cycles(nodes, _edges(spark, rows)).collect()
+    assert len(found) == len(expected) and {(r.graph, r.step): r.cycle for r in found} == expected
+
+    even = [r for r in rows if r[0] % 2 == 0]
+    levels = {}
+    for g in range(0, 40, 2):
+        for s in "abcdefgh":  # dependencies come first in the alphabet
+            levels[g, s] = max((levels[g, d] + 1 for step, d in graphs[g] if step == s), default=0)
+    got = graph.dag_levels(nodes.where("graph % 2 = 0"), _edges(spark, even)).collect()
+    assert {(r.graph, r.step): r.level for r in got} == levels and len(got) == len(levels)
+
+
 @pytest.mark.parametrize("code,retrain,promote", [(0, "launch", "wait"), (64, "skip", "skip")])
 def test_conditional_branch(spark, code, retrain, promote):
     states = spark.createDataFrame(
