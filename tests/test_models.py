@@ -2,9 +2,10 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from gaugemill.operators import textmodel
+from gaugemill.operators import logistic, textmodel
 from gaugemill.operators.textmodel import TooFewRows, TrainingConfig
 from gaugemill.plans import experiments, models
 from gaugemill.plans.workspace import Workspace, config_version_id
@@ -105,3 +106,53 @@ def test_experiment_spec_and_summary(spark, data, tmp_path):
     assert line["trained"].startswith(f"{config_version_id(WEAK)}={result['trained'][0]['eval_macro_f1']:.4f}, ")
     assert line["ab"].endswith(f"-> winner {result['ab_results'][0]['winner']}")
     assert ws.runs().where("experiment like 'exp-rt:%'").count() == 4
+
+
+def _optimum(x, y, weight, penalty):
+    """Minimum of the weighted mean loss plus the penalty, by Newton steps; the last entry is the intercept."""
+    design, beta = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
+    ridge = np.diag([penalty] * x.shape[1] + [0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-design @ beta))
+        gradient = design.T @ (weight * (p - y)) / weight.sum() + ridge @ beta
+        beta -= np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design / weight.sum() + ridge, gradient)
+    return beta
+
+
+def test_logistic_fit_of_frequent_and_rare_features(spark, monkeypatch):
+    """Features from everywhere to in two rows, rows without any: the optimum to six digits in few passes."""
+    rng = np.random.default_rng(3)
+    x = rng.random((2500, 40)) * (rng.random((2500, 40)) < np.geomspace(0.9, 0.001, 40))
+    x[::50] = 0
+    y, weight = (rng.random(2500) < 0.2 + 0.6 * (x[:, 0] > 0.5)).astype(float), rng.integers(1, 4, 2500).astype(float)
+    rows = [(Vectors.sparse(40, [(j, v) for j, v in enumerate(r) if v]), float(a), float(b)) for r, a, b in zip(x, y, weight)]
+    df = spark.createDataFrame(rows, ["v", "y", "w"]).repartition(5)
+    passes, summed = [], logistic.summed
+    monkeypatch.setattr(logistic, "summed", lambda *given: passes.append(0) or summed(*given))
+    coefficients, intercept = logistic.fit(df, 40, 1e-4, "v", "y", "w")
+    assert np.append(coefficients, intercept) == pytest.approx(_optimum(x, y, weight, 1e-4), abs=2e-5)
+    assert len(passes) < 120
+
+
+def test_fit_sends_the_driver_one_vector_a_pass(spark, data, monkeypatch):
+    """Terms in many partitions: sums are finished by the tasks, whose results are slices of one vector."""
+    monkeypatch.setattr(logistic, "_SLICE", 4)
+    rows = models.splits.text_and_label(models.splits.sentiment_rows(data.reference))
+    one, many = (textmodel.fit(STRONG, rows.repartition(n), min_rows=10) for n in (1, 9))
+    by_term = [dict(zip(m.stages[-4].vocabulary, m.stages[-1].coefficients)) for m in (one, many)]
+    assert len(by_term[0]) > 8 and by_term[0] == pytest.approx(by_term[1], abs=1e-6)
+    vector = [np.arange(9.0)]
+    found = logistic.summed(spark.sparkContext.parallelize(range(6), 6), 9, lambda k: vector[0] * k)
+    assert found.tolist() == (np.arange(9.0) * 15).tolist()
+
+
+def test_fit_on_one_class_has_no_coefficients(spark, data):
+    rows = models.splits.text_and_label(models.splits.sentiment_rows(data.reference)).where("sentiment = 1")
+    fitted = textmodel.fit(STRONG, rows, min_rows=10).stages[-1]
+    assert not fitted.coefficients.toArray().any() and fitted.intercept == float("inf")
+
+
+def test_vocabulary_of_a_fit_breaks_ties_by_term(spark):
+    df = spark.createDataFrame([("bb aa cc dd dd", 1), ("aa bb cc", 0)], "review_text string, sentiment int")
+    model = textmodel.fit(TrainingConfig(ngram_max=1, min_df=1), df, min_rows=1, max_features=3)
+    assert model.stages[-4].vocabulary == ["aa", "bb", "cc"]
