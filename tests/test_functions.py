@@ -34,6 +34,32 @@ def test_clean_text_and_counts_match_python(nasty):
         assert (row["c"], row["n"], row["w"]) == (expected, len(expected), len(expected.split()))
 
 
+ENTITIES = [
+    "&", "&&amp;&amp;&", "a&lt;", "&lt;b", "&notit; &notin;x", "&#0;&#x80;&#xD800;&#1114112;&#1;", "&#x41&#65 &#x;", "&unknown; &;",
+    "& amp;", "&amp\n;", "&" + "n" * 40 + ";", "&ngE;&nvlt;", "\U0001f600&\U0001f600;&copy", "&amp;lt;", "x&#38;#65;y", "&\r;&am p;",
+]
+
+
+def test_decode_entities_equals_python(spark):
+    rows = spark.createDataFrame([*enumerate([*ENTITIES, None, "".join(ENTITIES)])], "id long, t string").repartition(3)
+    for row in rows.select("t", text.decode_entities(F.col("t")).alias("d")).collect():
+        assert row["d"] == (None if row["t"] is None else html.unescape(row["t"]))
+
+
+def test_decode_entities_sends_python_no_text(spark):
+    """A long text with one reference: Python sees the reference only."""
+    rows = spark.range(200).select(F.concat(F.lit("a&lt;b"), F.repeat(F.lit("word "), 4000)).alias("t"))
+    decoded = rows.select(text.decode_entities(F.col("t")).alias("d"))
+    assert {r["d"] for r in decoded.collect()} == {"a<b" + "word " * 4000}
+    sent, nodes = 0, [decoded._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        metric = node.metrics().get("pythonDataSent")
+        sent += metric.get().value() if metric.isDefined() else 0
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    assert 0 < sent < 200 * 1000
+
+
 def test_python_repr(nasty):
     shown = _by_id(nasty.where("t is not null").select("id", text.python_repr(F.col("t")).alias("r")), "r")
     assert all(value == repr(NASTY[i]) for i, value in shown.items())
