@@ -33,3 +33,23 @@ def components(edges: DataFrame) -> DataFrame:
         discard(before, least)
     roots = links.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("comp"))
     return links.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
+
+
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (node, comp) of groups known so far, once ``links`` (a, b) connect them and further nodes.
+
+    Only links between different groups are followed, as links of their names. What is given is removed.
+    """
+    if labels is None:
+        known = stage(components(links), "component-labels")
+        discard(links)
+        return known
+    named = links.select("a", "b")
+    for x in "ab":
+        named = named.join(labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")), x, "left")
+    named = named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = stage(components(named), "component-moved")
+    old = labels.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    known = stage(old.unionByName(moved.join(labels.select("node"), "node", "left_anti")), "component-labels")
+    discard(labels, links, moved)
+    return known

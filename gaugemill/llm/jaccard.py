@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugemill.llm import windows as W
 from gaugemill.llm.common import ID, ROW, SLICE_BYTES, give_back, map_texts, slices, with_row_keys
-from gaugemill.llm.groups import components
+from gaugemill.llm.groups import joined
 from gaugemill.session import discard, reclaim, stage
 
 #: Largest set size that may be joined by subsets; the boundary is chosen by cost up to here.
@@ -24,6 +24,8 @@ SAMPLED, SEEN, HOT = 16, 2, 1 << 18
 SIZE_STEP = 1.1
 #: Shares of the lists that are joined one after the other: peak disk, not the result, depends on it.
 BLOCKS = 4
+#: Rows of cut lists for which one share is enough.
+ONE_BLOCK = 1 << 20
 #: Words of 64 bits in the sketch of a set; each bit is the parity of the shingles that fall on it.
 SKETCH = 4
 _SKETCHED = [f"s{k}" for k in range(SKETCH)]
@@ -249,10 +251,11 @@ def _to_hubs(open_: DataFrame, turn: int, percent: int) -> DataFrame:
     return best
 
 
-def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) -> DataFrame:
-    """All pairs of sets in different groups that stand in one list, fit in size, and may reach the threshold.
+def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) -> tuple[DataFrame, DataFrame]:
+    """All pairs of sets in different groups that stand in one list and fit in size and sketch, and the prefixes of those sets.
 
-    Lists are cut by size and place before anything is paired.
+    A pair's ``v`` is the larger the closer its sketches are, for the sizes of its sets. Lists are cut by size and place
+    before anything is paired.
 
     Two linked sets share all they share from their first common shingle on, so at its places they have enough left: a set
     of n with the place p there links with none of more than (100 n - (100 + percent) p) / percent, its reach. One of the
@@ -267,6 +270,7 @@ def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) ->
         .join(open_.select("shingle", "node", "comp"), ["shingle", "node"])
         .select("shingle", "node", "comp", "n", *_SKETCHED, F.expr(f"cast((100L * n - {100 + percent}L * at) div {percent} as int)").alias("reach")),
         "jaccard-places")
+    reclaim(base.sparkSession)
     step = lambda x: F.floor(F.log(x) / F.log(F.lit(SIZE_STEP))).cast("int")
     each = stage(
         places.join(places.where("reach >= n").select("shingle").distinct(), "shingle", "left_semi").withColumns({
@@ -278,38 +282,44 @@ def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) ->
     differing = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in _SKETCHED)
     reclaim(base.sparkSession)
     parts = []
-    for k in range(BLOCKS):  # one share of the lists after the other, so that their shuffles do not add up
-        block = each.where(F.pmod(F.xxhash64(F.lit("block"), "shingle"), F.lit(BLOCKS)) == k)
+    blocks = BLOCKS if each.count() > ONE_BLOCK else 1
+    for k in range(blocks):  # one share of the lists after the other, so that their shuffles do not add up
+        block = each.where(F.pmod(F.xxhash64(F.lit("block"), "shingle"), F.lit(blocks)) == k)
         left = block.where("reach >= n").select("shingle", F.col("own").alias("x"), F.col("other").alias("y"), *(F.col(c).alias(f"{c}_a") for c in carried))
         right = block.select("shingle", F.col("other").alias("x"), F.col("own").alias("y"), *(F.col(c).alias(f"{c}_b") for c in carried))
         met = left.join(right, ["shingle", "x", "y"]).where(F.expr(
             f"node_a <> node_b and comp_a <> comp_b and (reach_b < n_b or node_a < node_b) and n_a <= reach_b and n_b <= reach_a "
             f"and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and greatest(n_a, n_b) > {boundary} "
             f"and {differing} <= n_a + n_b - 2 * ceil({percent} * (n_a + n_b) / {100 + percent})"))
-        parts.append(stage(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "jaccard-part"))
+        parts.append(stage(met.select(
+            F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"),
+            F.expr(f"cast(-1000 * ({differing}) div (n_a + n_b) as int)").alias("v")).distinct(), "jaccard-part"))
         del left, right, met
         reclaim(base.sparkSession)
     pairs = parts[0]
-    for more in parts[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = stage(pairs.distinct(), "jaccard-met")
-    discard(each, *parts)
-    met = pairs
+    if blocks > 1:
+        for more in parts[1:]:
+            pairs = pairs.unionByName(more)
+        pairs = stage(pairs.distinct(), "jaccard-met")
+        discard(*parts)
+    discard(each)
+    reclaim(base.sparkSession)
+    return pairs, prefixes
+
+
+def _able(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` whose prefixes share enough shingles for a link."""
     for x in "ab":
         pairs = pairs.join(prefixes.select(
             F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"),
             F.shiftright(F.element_at("prefix", -1), 32).cast("int").alias(f"w{x}")), x)
-    shared = F.size(F.array_intersect("pa", "pb"))
-    able = stage(pairs.withColumn("v", shared).where(F.col("v") >= _least_votes(percent)).select("a", "b", "v"), "jaccard-able")
-    discard(prefixes, met)
-    reclaim(base.sparkSession)
-    return able
+    return stage(pairs.where(F.size(F.array_intersect("pa", "pb")) >= _least_votes(percent)).select("a", "b"), "jaccard-able")
 
 
 def _strongest(pairs: DataFrame) -> DataFrame:
-    """For each set the one of ``pairs`` that shares most: one pair per set at most."""
-    both = pairs.select(F.col("a").alias("of"), "a", "b", "v").unionByName(pairs.select(F.col("b").alias("of"), "a", "b", "v"))
-    return both.groupBy("of").agg(F.max(F.struct("v", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+    """For each set its closest one of ``pairs`` on either side: two pairs per set at most."""
+    best = [pairs.groupBy(x).agg(F.max(F.struct("v", "a", "b")).alias("best")).select("best.a", "best.b") for x in "ab"]
+    return best[0].unionByName(best[1]).distinct()
 
 
 def _still_apart(pairs: DataFrame, tried: DataFrame, labels: DataFrame) -> DataFrame:
@@ -335,17 +345,21 @@ def near_duplicates(
     stand in inverted lists of their first shingles, in an order that puts frequent ones last. Lists are first
     joined with one leading set each, turn by turn, so that a group of near copies falls together without pairing its members.
     When turns bring few links, lists are cut by set size and place, and what is left is compared, each set's
-    likeliest pair first; pairs whose parity sketches differ too much are not compared. Links within a group that is known already
+    closest pairs by sketch first; pairs whose parity sketches differ too much are not compared. Links within a group that is known already
     change nothing and are not looked for. Similarities are counted on whole sets; shingles are hashes of 62 bits.
     """
-    return _grouped(docs.drop(size_as, group_as), id_col, text_col, shingle, percent, size_as, group_as).drop(ID, ROW, _GROUP)
+    rows, grouped = _grouped(docs.drop(size_as, group_as), id_col, text_col, shingle, percent, size_as, group_as)
+    return rows.join(grouped, F.expr(_OF_KEY), "left").drop("__gm_of", "__gm_in", ID, ROW, _GROUP)
 
 
 #: The node that names a group inside; an id does not where rows of one id lie in several.
 _GROUP = "__gm_comp"
+#: A row and its key in a table of keys.
+_OF_KEY = f"{ID} = __gm_of and {ROW} = __gm_in"
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, size_as: str, group_as: str) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, size_as: str, group_as: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with the keys of their rows, and for each key its set's size, node group and smallest id."""
     rows = with_row_keys(docs, id_col, text_col)
     hot = _frequent(rows, text_col, shingle)
     base = stage(_prefixes(rows, text_col, shingle, percent, hot, MOST_SMALL), "jaccard-base")
@@ -359,50 +373,43 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     discard(repeated)
     reclaim(rows.sparkSession)
     boundary = _cost_boundary(base, lists, percent)
-    found = []
-    if boundary:
-        found.append(_subset_links(given.where(F.col("n") <= boundary), percent, boundary))
+    labels = joined(None, _subset_links(given.where(F.col("n") <= boundary), percent, boundary)) if boundary else None
     long = lists.where(F.expr(f"100 * n >= {percent} * {boundary + 1}"))
     reps = base.where("n > 0").groupBy("node").agg(F.min(F.struct(ID, ROW)).alias("r")).select("node", "r.*")
 
-    def all_links() -> DataFrame:
-        union = found[0]
-        for more in found[1:]:
-            union = union.unionByName(more)
-        return union
-
-    turn, open_ = 0, long.withColumn("comp", F.col("node"))
-    while True:
-        pairs = _to_hubs(open_, turn, percent)
-        found.append(_verified(rows, reps, pairs, text_col, shingle, percent))
-        tried, linked, before = pairs.count(), found[-1].count(), open_
-        open_, turn = _open_lists(open_, components(all_links())), turn + 1
+    def tell(pairs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, bool]:
+        """The groups once the links among ``pairs`` are known, and whether few of them were links."""
+        links = _verified(rows, reps, pairs, text_col, shingle, percent)
+        few = 4 * links.count() <= pairs.count()
+        return joined(labels, links), few
+
+    turn, open_, few = 0, long.withColumn("comp", F.col("node")), False
+    while not few:
+        pairs, before = _to_hubs(open_, turn, percent), open_
+        labels, few = tell(pairs, labels)
+        open_, turn = _open_lists(open_, labels), turn + 1
         discard(pairs, before, lists)
         reclaim(rows.sparkSession)
-        if 4 * linked <= tried:  # few more links, or none
-            break
-    rest = _by_place(base, open_, percent, boundary)
+    rest, prefixes = _by_place(base, open_, percent, boundary)
     discard(open_)
-    while True:  # the likeliest links first: within the groups they make, no other pair needs a look
-        pairs = stage(_strongest(rest), "jaccard-pairs")
-        found.append(_verified(rows, reps, pairs, text_col, shingle, percent))
-        tried, linked, before = pairs.count(), found[-1].count(), rest
-        labels = components(all_links())
+    few = False
+    while not few:  # the likeliest links first: within the groups they make, no other pair needs a look
+        pairs, before = stage(_strongest(rest), "jaccard-pairs"), rest
+        labels, few = tell(pairs, labels)
         rest = stage(_still_apart(rest, pairs, labels), "jaccard-apart")
         discard(pairs, before)
         reclaim(rows.sparkSession)
-        if 4 * linked <= tried:
-            break
     if not rest.isEmpty():
-        found.append(_verified(rows, reps, rest, text_col, shingle, percent))
-        labels = components(all_links())
-    discard(rest)
+        pairs = _able(rest, prefixes, percent)
+        labels, _ = tell(pairs, labels)
+        discard(pairs)
+    discard(rest, prefixes)
+    reclaim(rows.sparkSession)
     members = stage(base.select(ID, ROW, "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-members")
     smallest = stage(members.where("n > 0").groupBy("comp").agg(F.min(ID).alias(group_as)), "jaccard-smallest")
-    grouped = members.join(smallest, "comp", "left").select(
+    return rows, members.join(smallest, "comp", "left").select(
         F.col(ID).alias("__gm_of"), F.col(ROW).alias("__gm_in"), F.col("n").cast("long").alias(size_as), F.col("comp").alias(_GROUP),
         F.when(F.col("n") > 0, F.col(group_as)).otherwise(F.col(ID)).alias(group_as)).distinct()
-    return rows.join(grouped, (F.col(ID) == F.col("__gm_of")) & (F.col(ROW) == F.col("__gm_in")), "left").drop("__gm_of", "__gm_in")
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -411,11 +418,13 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Of rows with this id one is kept, the one with the smallest text hash. Texts without words are in no group and stay.
     """
     size, group = "__gm_size", "__gm_group"
-    grouped = _grouped(docs, id_col, text_col, shingle, percent, size, group)
-    heads = grouped.where(f"{size} > 0 and {ID} = {group}")
-    chosen = heads.groupBy(F.col(_GROUP).alias("__gm_of")).agg(F.min(ROW).alias("__gm_in"))
-    first = (
-        heads.join(chosen, (F.col(_GROUP) == F.col("__gm_of")) & (F.col(ROW) == F.col("__gm_in")))
-        .dropDuplicates([_GROUP])
+    rows, grouped = _grouped(docs, id_col, text_col, shingle, percent, size, group)
+    chosen = grouped.where(f"{size} > 0 and __gm_of = {group}").groupBy(_GROUP).agg(F.min("__gm_of").alias("__gm_of"), F.min("__gm_in").alias("__gm_in"))
+    keys = chosen.select("__gm_of", "__gm_in", F.lit(True).alias("__gm_once")).unionByName(
+        grouped.where(f"{size} = 0").select("__gm_of", "__gm_in", F.lit(False).alias("__gm_once")))
+    # the keys are chosen without the texts, which are dealt out once; rows without words are all kept
+    copy = F.when(F.col("__gm_once"), F.lit(0)).otherwise(F.monotonically_increasing_id())
+    return (
+        rows.join(keys, F.expr(_OF_KEY)).withColumn("__gm_copy", copy)
+        .dropDuplicates([ID, ROW, "__gm_copy"]).select(*docs.columns)
     )
-    return first.select(*docs.columns).unionByName(grouped.where(f"{size} = 0").select(*docs.columns))

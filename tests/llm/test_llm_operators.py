@@ -199,6 +199,34 @@ def test_groups_by_place(spark, table, docs, monkeypatch):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == keyed(more, plain.groups(more))
 
 
+def test_near_copies_fall_together_before_prefixes_are_compared(spark, monkeypatch):
+    import random
+
+    pick, docs, written = random.Random(5), [], {}
+    for k in range(120):  # a group in which most pairs meet
+        words = [f"c{i}" for i in range(200)]
+        for _ in range(3):
+            words[pick.randrange(200)] = f"new{pick.random()}"
+        docs.append((k, " ".join(words)))
+    keep = jaccard.stage
+
+    def stage(df, name):
+        table = keep(df, name)
+        written.setdefault(name, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(jaccard, "stage", stage)
+    monkeypatch.setattr(jaccard, "_to_hubs", lambda open_, *_: open_.limit(0).select("node", "node").toDF("a", "b"))
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == keyed(docs, plain.groups(docs))
+    assert sum(written.get("jaccard-able", [])) <= 2 * len(docs)
+
+
+def test_texts_are_dealt_out_once_for_first_of_groups(table):
+    plan = jaccard.first_of_groups(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 1
+
+
 def test_leaks(spark, table, docs, nothing):
     pick = dict((d, t) for d, t in docs if t)
     cut = lambda d, a, b: " ".join(plain.words(pick[d])[a:b])
