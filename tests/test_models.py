@@ -40,6 +40,31 @@ def test_tfidf_weights_by_hand(spark):
     assert set(got) == {(1, "aa"), (1, "bb"), (2, "bb"), (2, "cc")}
 
 
+def test_terms_are_counted_in_tasks(spark, monkeypatch):
+    from gaugemill.operators import termcounts
+
+    monkeypatch.setattr(termcounts, "STEP_WORDS", 5)
+    rows = [(1, "aa bb aa bb cc"), (2, "bb aa"), (2, "bb aa"), (3, None), (4, ""), (5, "zz_é 日本 zz_é 日本 x"), (6, "aa")]
+    df = spark.createDataFrame(rows, "d int, t string").coalesce(1)
+    texts = [[w for w in (t or "").split() if len(w) > 1] for _, t in rows]
+    terms = [[" ".join(ws[i:i + n]) for n in (1, 2, 3) for i in range(len(ws) - n + 1)] for ws in texts]
+    every = {t for ts in terms for t in ts}
+    want = {t: (sum(t in ts for ts in terms), sum(ts.count(t) for ts in terms)) for t in every}
+    known = textmodel.vocabulary(df, "t", 3, 1)
+    assert {r["term"]: (r["df"], r["corpus_tf"]) for r in known.collect()} == want
+    plan = known._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # terms leave a task as totals
+    got = sorted((r["d"], r["term"], round(r["weight"], 9)) for r in textmodel.tfidf_weights(df, "d", "t", 3, 1).collect())
+    idf = {t: np.log((len(rows) + 1) / (n + 1)) + 1 for t, (n, _) in want.items()}
+    expected = []
+    for (d, _), ts in zip(rows, terms, strict=True):
+        raw = {t: ts.count(t) * idf[t] for t in set(ts)}
+        length = np.sqrt(sum(x * x for x in raw.values()))
+        expected += [(d, t, round(x / length, 9)) for t, x in raw.items()]
+    assert [g[:2] for g in got] == [e[:2] for e in sorted(expected)]
+    assert [g[2] for g in got] == pytest.approx([e[2] for e in sorted(expected)])
+
+
 def test_ngrams(spark):
     df = spark.createDataFrame([("one two three",), ("one",), ("",)], "t string")
     got = [r[0] for r in df.select(textmodel.ngrams(textmodel.words(F.col("t")), 3)).collect()]
