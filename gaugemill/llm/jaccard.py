@@ -377,16 +377,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     long = lists.where(F.expr(f"100 * n >= {percent} * {boundary + 1}"))
     reps = base.where("n > 0").groupBy("node").agg(F.min(F.struct(ID, ROW)).alias("r")).select("node", "r.*")
 
-    def tell(pairs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, bool]:
-        """The groups once the links among ``pairs`` are known, and whether few of them were links."""
+    def tell(pairs: DataFrame, labels: DataFrame | None, of: DataFrame) -> tuple[DataFrame, bool]:
+        """The groups once the links among ``pairs`` are known, and whether they are few ``of`` those tried."""
         links = _verified(rows, reps, pairs, text_col, shingle, percent)
-        few = 4 * links.count() <= pairs.count()
+        few = 4 * links.count() <= of.count()
         return joined(labels, links), few
 
     turn, open_, few = 0, long.withColumn("comp", F.col("node")), False
     while not few:
         pairs, before = _to_hubs(open_, turn, percent), open_
-        labels, few = tell(pairs, labels)
+        labels, few = tell(pairs, labels, pairs)
         open_, turn = _open_lists(open_, labels), turn + 1
         discard(pairs, before, lists)
         reclaim(rows.sparkSession)
@@ -394,14 +394,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     discard(open_)
     few = False
     while not few:  # the likeliest links first: within the groups they make, no other pair needs a look
-        pairs, before = stage(_strongest(rest), "jaccard-pairs"), rest
-        labels, few = tell(pairs, labels)
-        rest = stage(_still_apart(rest, pairs, labels), "jaccard-apart")
-        discard(pairs, before)
+        best, before = stage(_strongest(rest), "jaccard-pairs"), rest
+        pairs = _able(best, prefixes, percent)
+        labels, few = tell(pairs, labels, best)
+        rest = stage(_still_apart(rest, best, labels), "jaccard-apart")
+        discard(best, pairs, before)
         reclaim(rows.sparkSession)
     if not rest.isEmpty():
         pairs = _able(rest, prefixes, percent)
-        labels, _ = tell(pairs, labels)
+        labels, _ = tell(pairs, labels, rest)
         discard(pairs)
     discard(rest, prefixes)
     reclaim(rows.sparkSession)
