@@ -48,8 +48,8 @@ def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     for x in "ab":
         named = named.join(labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")), x, "left")
     named = named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    moved = stage(components(named), "component-moved")
+    moved = components(named)
     old = labels.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
     known = stage(old.unionByName(moved.join(labels.select("node"), "node", "left_anti")), "component-labels")
-    discard(labels, links, moved)
+    discard(labels, links)
     return known

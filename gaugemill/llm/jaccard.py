@@ -24,7 +24,7 @@ SAMPLED, SEEN, HOT = 16, 2, 1 << 18
 SIZE_STEP = 1.1
 #: Shares of the lists that are joined one after the other: peak disk, not the result, depends on it.
 BLOCKS = 4
-#: Rows of cut lists for which one share is enough.
+#: List entries, before they are cut, for which one share is enough.
 ONE_BLOCK = 1 << 20
 #: Words of 64 bits in the sketch of a set; each bit is the parity of the shingles that fall on it.
 SKETCH = 4
@@ -156,12 +156,12 @@ def _subset_links(small: DataFrame, percent: int, boundary: int) -> DataFrame:
                  pa.array(columns[3], pa.int64())], names=["key", "low", "n", "node"])
 
     keyed = stage(small.select("node", "n", "whole").mapInArrow(run, "key bigint, low int, n int, node bigint"), "jaccard-subsets")
-    centers = stage(
+    centers = (
         keyed.groupBy("key", "low").agg(F.min(F.when(F.col("n") == F.col("low"), F.col("node"))).alias("to"),
                                         (F.min("node") != F.max("node")).alias("several"))
-        .where("several and to is not null").select("key", "low", "to"), "jaccard-centers")
+        .where("several and to is not null").select("key", "low", "to"))
     links = stage(keyed.join(centers, ["key", "low"]).where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")).distinct(), "jaccard-links")
-    discard(keyed, centers)
+    discard(keyed)
     return links
 
 
@@ -201,58 +201,70 @@ def _votes(pairs: DataFrame, percent: int) -> DataFrame:
     return counted.where("v >= least").drop("least")
 
 
-def _verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
+def _both_ends(pairs: DataFrame, of: DataFrame, few: bool) -> DataFrame:
+    """``pairs`` a, b with the columns of ``of`` for either node, named after the column and the end. A node may have several equal rows.
+
+    Each row of ``of`` goes to the pairs of its node, so it is made once; what is paired meets by one shuffle on the pair.
+    """
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    at = of.join(F.broadcast(ends) if few else ends, "node")
+    return at.groupBy("a", "b").agg(*(
+        F.any_value(F.when(F.col("node") == F.col(x), F.col(c)), F.lit(True)).alias(f"{c}{x}") for c in of.columns if c != "node" for x in "ab"))
+
+
+def _few(pairs: DataFrame) -> bool:
+    return 2 * pairs.count() <= PICKED_BY_BROADCAST
+
+
+def _verified(rows: DataFrame, base: DataFrame, pairs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` whose sets have the similarity, counted on the whole sets."""
-    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = reps.join(named, "node").select("node", F.col(ID).alias("__gm_of"), F.col(ROW).alias("__gm_in"))
-    if 2 * pairs.count() <= PICKED_BY_BROADCAST:
-        wanted = F.broadcast(wanted)
-    picked = rows.select(ID, ROW, text_col).join(wanted, (F.col(ID) == F.col("__gm_of")) & (F.col(ROW) == F.col("__gm_in")))
+    few = _few(pairs)
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = (
+        base.where("n > 0").join(F.broadcast(named) if few else named, "node", "left_semi")
+        .groupBy("node").agg(F.min(F.struct(ID, ROW)).alias("r")).select("node", F.col(f"r.{ID}").alias("__gm_of"), F.col(f"r.{ROW}").alias("__gm_in"))
+    )
+    picked = rows.select(ID, ROW, text_col).join(
+        F.broadcast(wanted) if few else wanted, (F.col(ID) == F.col("__gm_of")) & (F.col(ROW) == F.col("__gm_in")))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, _, sizes, _ = _sets(batch, text_col, size, np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([batch.column("node"), _lists(found, np.cumsum(sizes) - sizes, sizes)], names=["node", "set"])
+        return pa.RecordBatch.from_arrays([batch.column("node"), _lists(found, np.cumsum(sizes) - sizes, sizes)], names=["node", "s"])
 
-    sets = stage(map_texts(picked, text_col, ["node"], "node bigint, set array<bigint>", step), "jaccard-sets")
-    both = (
-        pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-        .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("k"))
-    )
-    links = stage(both.where(F.expr(f"100 * k >= {percent} * (na + nb - k)")).select("a", "b").distinct(), "jaccard-links")
-    discard(sets)
-    return links
+    sets = map_texts(picked, text_col, ["node"], "node bigint, s array<bigint>", step)
+    both = _both_ends(pairs.select("a", "b"), sets, few).select(
+        "a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("k"))
+    return stage(both.where(F.expr(f"100 * k >= {percent} * (na + nb - k)")).select("a", "b"), "jaccard-links")
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The inverted lists whose sets are not yet all in one group, each set with its group ``comp``."""
-    known = stage(lists.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-labelled")
-    still = stage(known.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle"), "jaccard-open")
-    open_ = stage(known.join(still, "shingle"), "jaccard-lists")
-    discard(known, still)
-    return open_
+def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The entries of the lists, each with the group ``comp`` of its set."""
+    if labels is None:
+        return lists.withColumn("comp", F.col("node"))
+    return lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def _to_hubs(open_: DataFrame, turn: int, percent: int) -> DataFrame:
     """For each set the set that leads most of its lists, if they may be linked: one pair per set at most.
 
-    A list is led by the set with the smallest hash of this turn, so the lists of a group mostly have one leader.
+    A list is led by the set with the smallest hash of this turn, so the lists of a group mostly have one leader. Lists
+    whose sets are all in one group have none.
     """
     lead = F.xxhash64(F.lit(turn), "node")
-    hubs = stage(
-        open_.groupBy("shingle").agg(F.min(F.struct(lead.alias("at"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"), F.col("comp").alias("cb"))).alias("hub"))
-        .select("shingle", "hub.b", "hub.nb", "hub.wb", "hub.cb"), "jaccard-hubs")
+    hubs = (
+        open_.groupBy("shingle").agg(
+            *(F.min_by(c, lead).alias(x) for c, x in (("node", "b"), ("n", "nb"), ("w", "wb"), ("comp", "cb"))), (F.min("comp") != F.max("comp")).alias("several"))
+        .where("several").drop("several")
+    )
     pairs = (
         open_.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"), "comp").join(hubs, "shingle")
         .where(F.expr(f"comp <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")).drop("shingle", "comp", "cb")
     )
-    best = stage(_votes(pairs, percent).groupBy("a").agg(F.max(F.struct("v", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "jaccard-pairs")
-    discard(hubs)
-    return best
+    return stage(_votes(pairs, percent).groupBy("a").agg(F.max(F.struct("v", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "jaccard-pairs")
 
 
-def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) -> tuple[DataFrame, DataFrame]:
-    """All pairs of sets in different groups that stand in one list and fit in size and sketch, and the prefixes of those sets.
+def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) -> DataFrame:
+    """All pairs of sets in different groups that stand in one list and fit in size and sketch.
 
     A pair's ``v`` is the larger the closer its sketches are, for the sizes of its sets. Lists are cut by size and place
     before anything is paired.
@@ -263,28 +275,24 @@ def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) ->
     Texts that share a boilerplate too small to link them stand late in its lists and meet nowhere. Two that meet are a pair
     only if their sketches differ in no more bits than linked sets of their sizes may in shingles, which loses no link.
     """
-    prefixes = stage(base.where(F.size("prefix") > 0).select("node", "n", "prefix", *_SKETCHED).dropDuplicates(["node"])
-                     .join(open_.select("node").distinct(), "node", "left_semi"), "jaccard-prefixes")
-    places = stage(
-        prefixes.select("node", "n", *_SKETCHED, F.posexplode("prefix").alias("at", "shingle"))
-        .join(open_.select("shingle", "node", "comp"), ["shingle", "node"])
-        .select("shingle", "node", "comp", "n", *_SKETCHED, F.expr(f"cast((100L * n - {100 + percent}L * at) div {percent} as int)").alias("reach")),
-        "jaccard-places")
+    reached = open_.select("shingle", "node", "comp", "n", F.expr(f"cast((100L * n - {100 + percent}L * at) div {percent} as int)").alias("reach"))
+    met = (
+        reached.groupBy("shingle").agg((F.min("comp") != F.max("comp")).alias("several"), F.max(F.expr("reach >= n")).alias("reaches"))
+        .where("several and reaches").select("shingle")
+    )
+    sketches = base.where(F.size("prefix") > 0).select("node", *_SKETCHED).dropDuplicates(["node"])
+    places = stage(reached.join(met, "shingle").join(sketches, "node"), "jaccard-places")
     reclaim(base.sparkSession)
     step = lambda x: F.floor(F.log(x) / F.log(F.lit(SIZE_STEP))).cast("int")
-    each = stage(
-        places.join(places.where("reach >= n").select("shingle").distinct(), "shingle", "left_semi").withColumns({
-            "own": step(F.col("n")),
-            "other": F.explode(F.sequence(step(F.ceil(F.lit(percent) * F.col("n") / 100)), step(F.greatest("reach", F.lit(1))))),
-        }), "jaccard-parts")
-    discard(places)
     carried = ("node", "n", "reach", "comp", *_SKETCHED)
     differing = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in _SKETCHED)
-    reclaim(base.sparkSession)
     parts = []
-    blocks = BLOCKS if each.count() > ONE_BLOCK else 1
+    blocks = BLOCKS if places.count() > ONE_BLOCK else 1
     for k in range(blocks):  # one share of the lists after the other, so that their shuffles do not add up
-        block = each.where(F.pmod(F.xxhash64(F.lit("block"), "shingle"), F.lit(blocks)) == k)
+        block = places.where(F.pmod(F.xxhash64(F.lit("block"), "shingle"), F.lit(blocks)) == k).withColumns({
+            "own": step(F.col("n")),
+            "other": F.explode(F.sequence(step(F.ceil(F.lit(percent) * F.col("n") / 100)), step(F.greatest("reach", F.lit(1))))),
+        })
         left = block.where("reach >= n").select("shingle", F.col("own").alias("x"), F.col("other").alias("y"), *(F.col(c).alias(f"{c}_a") for c in carried))
         right = block.select("shingle", F.col("other").alias("x"), F.col("own").alias("y"), *(F.col(c).alias(f"{c}_b") for c in carried))
         met = left.join(right, ["shingle", "x", "y"]).where(F.expr(
@@ -294,7 +302,7 @@ def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) ->
         parts.append(stage(met.select(
             F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"),
             F.expr(f"cast(-1000 * ({differing}) div (n_a + n_b) as int)").alias("v")).distinct(), "jaccard-part"))
-        del left, right, met
+        del block, left, right, met
         reclaim(base.sparkSession)
     pairs = parts[0]
     if blocks > 1:
@@ -302,18 +310,17 @@ def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) ->
             pairs = pairs.unionByName(more)
         pairs = stage(pairs.distinct(), "jaccard-met")
         discard(*parts)
-    discard(each)
+    discard(places)
     reclaim(base.sparkSession)
-    return pairs, prefixes
+    return pairs
 
 
-def _able(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+def _able(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` whose prefixes share enough shingles for a link."""
+    ends = _both_ends(pairs.select("a", "b"), base.where(F.size("prefix") > 0).select("node", "n", F.col("prefix").alias("p")), _few(pairs))
     for x in "ab":
-        pairs = pairs.join(prefixes.select(
-            F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"),
-            F.shiftright(F.element_at("prefix", -1), 32).cast("int").alias(f"w{x}")), x)
-    return stage(pairs.where(F.size(F.array_intersect("pa", "pb")) >= _least_votes(percent)).select("a", "b"), "jaccard-able")
+        ends = ends.withColumn(f"w{x}", F.shiftright(F.element_at(f"p{x}", -1), 32).cast("int"))
+    return stage(ends.where(F.size(F.array_intersect("pa", "pb")) >= _least_votes(percent)).select("a", "b"), "jaccard-able")
 
 
 def _strongest(pairs: DataFrame) -> DataFrame:
@@ -344,9 +351,9 @@ def near_duplicates(
     Links are found by size. Sets up to a boundary, chosen by cost, enumerate the subsets that prove a link. Larger ones
     stand in inverted lists of their first shingles, in an order that puts frequent ones last. Lists are first
     joined with one leading set each, turn by turn, so that a group of near copies falls together without pairing its members.
-    When turns bring few links, lists are cut by set size and place, and what is left is compared, each set's
-    closest pairs by sketch first; pairs whose parity sketches differ too much are not compared. Links within a group that is known already
-    change nothing and are not looked for. Similarities are counted on whole sets; shingles are hashes of 62 bits.
+    When turns bring few links, lists are cut by set size and place, and what is left is compared; while more pairs are left
+    than there are sets, each set's closest pairs by sketch first. Pairs whose parity sketches differ too much are not compared. Links within a
+    group that is known already change nothing and are not looked for. Similarities are counted on whole sets; shingles are hashes of 62 bits.
     """
     rows, grouped = _grouped(docs.drop(size_as, group_as), id_col, text_col, shingle, percent, size_as, group_as)
     return rows.join(grouped, F.expr(_OF_KEY), "left").drop("__gm_of", "__gm_in", ID, ROW, _GROUP)
@@ -365,49 +372,49 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     base = stage(_prefixes(rows, text_col, shingle, percent, hot, MOST_SMALL), "jaccard-base")
     given = base.where(F.size("prefix") > 0)
     # where a prefix ends is kept to 31 bits
-    entries = given.select(F.explode("prefix").alias("shingle"), "node", "n", F.shiftright(F.element_at("prefix", -1), 32).cast("int").alias("w"))
-    repeated = stage(
-        entries.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-repeated")
-    reclaim(rows.sparkSession)
+    entries = given.select("node", "n", F.shiftright(F.element_at("prefix", -1), 32).cast("int").alias("w"), F.posexplode("prefix").alias("at", "shingle"))
+    repeated = entries.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
     lists = stage(entries.join(repeated, "shingle").distinct(), "jaccard-entries")
-    discard(repeated)
     reclaim(rows.sparkSession)
     boundary = _cost_boundary(base, lists, percent)
-    labels = joined(None, _subset_links(given.where(F.col("n") <= boundary), percent, boundary)) if boundary else None
-    long = lists.where(F.expr(f"100 * n >= {percent} * {boundary + 1}"))
-    reps = base.where("n > 0").groupBy("node").agg(F.min(F.struct(ID, ROW)).alias("r")).select("node", "r.*")
-
-    def tell(pairs: DataFrame, labels: DataFrame | None, of: DataFrame) -> tuple[DataFrame, bool]:
-        """The groups once the links among ``pairs`` are known, and whether they are few ``of`` those tried."""
-        links = _verified(rows, reps, pairs, text_col, shingle, percent)
-        few = 4 * links.count() <= of.count()
+    by_subsets = _subset_links(given.where(F.col("n") <= boundary), percent, boundary) if boundary else None
+    long = lists.where(F.expr(f"100 * n >= {percent} * {boundary + 1}")).drop("c")
+
+    def tell(pairs: DataFrame, labels: DataFrame | None, tried: int) -> tuple[DataFrame, bool]:
+        """The groups once the links among ``pairs`` are known, and whether they are few of those tried."""
+        links = _verified(rows, base, pairs, text_col, shingle, percent)
+        few = 2 * links.count() <= tried
+        if labels is None and by_subsets is not None:
+            labels = joined(None, links.unionByName(by_subsets))
+            discard(links, by_subsets)
+            return labels, few
         return joined(labels, links), few
 
-    turn, open_, few = 0, long.withColumn("comp", F.col("node")), False
+    turn, labels, few = 0, None, False
     while not few:
-        pairs, before = _to_hubs(open_, turn, percent), open_
-        labels, few = tell(pairs, labels, pairs)
-        open_, turn = _open_lists(open_, labels), turn + 1
-        discard(pairs, before, lists)
+        pairs = _to_hubs(_labelled(long, labels), turn, percent)
+        labels, few = tell(pairs, labels, pairs.count())
+        turn += 1
+        discard(pairs)
         reclaim(rows.sparkSession)
-    rest, prefixes = _by_place(base, open_, percent, boundary)
-    discard(open_)
-    few = False
-    while not few:  # the likeliest links first: within the groups they make, no other pair needs a look
+    rest = _by_place(base, _labelled(long, labels), percent, boundary)
+    discard(lists)
+    few, sets = False, base.count()
+    while not few and rest.count() > sets:  # the likeliest links first: within the groups they make, no other pair needs a look
         best, before = stage(_strongest(rest), "jaccard-pairs"), rest
-        pairs = _able(best, prefixes, percent)
-        labels, few = tell(pairs, labels, best)
+        pairs = _able(best, base, percent)
+        labels, few = tell(pairs, labels, best.count())
         rest = stage(_still_apart(rest, best, labels), "jaccard-apart")
         discard(best, pairs, before)
         reclaim(rows.sparkSession)
     if not rest.isEmpty():
-        pairs = _able(rest, prefixes, percent)
-        labels, _ = tell(pairs, labels, rest)
+        pairs = _able(rest, base, percent)
+        labels, _ = tell(pairs, labels, 0)
         discard(pairs)
-    discard(rest, prefixes)
+    discard(rest)
     reclaim(rows.sparkSession)
     members = stage(base.select(ID, ROW, "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-members")
-    smallest = stage(members.where("n > 0").groupBy("comp").agg(F.min(ID).alias(group_as)), "jaccard-smallest")
+    smallest = members.where("n > 0").groupBy("comp").agg(F.min(ID).alias(group_as))
     return rows, members.join(smallest, "comp", "left").select(
         F.col(ID).alias("__gm_of"), F.col(ROW).alias("__gm_in"), F.col("n").cast("long").alias(size_as), F.col("comp").alias(_GROUP),
         F.when(F.col("n") > 0, F.col(group_as)).otherwise(F.col(ID)).alias(group_as)).distinct()

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugemill.llm import (
-    bpe, decontaminate, htmltext, jaccard, linededup, ruleensemble, rules, substrings, suffixes, windows, wordpiece,
+    bpe, decontaminate, groups, htmltext, jaccard, linededup, ruleensemble, rules, substrings, suffixes, windows, wordpiece,
 )
 
 
@@ -222,6 +222,34 @@ def test_near_copies_fall_together_before_prefixes_are_compared(spark, monkeypat
     assert sum(written.get("jaccard-able", [])) <= 2 * len(docs)
 
 
+def test_few_tables_are_written_for_near_duplicates(spark, monkeypatch):
+    import random
+
+    pick, docs, written = random.Random(6), [], []
+    for k in range(90):  # pairs that link by one word changed, and texts of a source whose passage does not link them
+        words = [f"{k // 2}-{i}" for i in range(80)] if k < 60 else [f"s{i}" for i in range(50)] + [f"{k}-{i}" for i in range(40)]
+        words[pick.randrange(50, len(words))] = f"new{k}"
+        docs.append((k, " ".join(words)))
+    for module in (jaccard, groups):
+        monkeypatch.setattr(module, "stage", lambda df, name, keep=module.stage: written.append(name) or keep(df, name))
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == keyed(docs, plain.groups(docs))
+    assert len(written) <= 16, written  # each is a job or several, which on 0.1 GB take longer to start than to run
+
+
+def test_copies_and_near_copies_dealt_over_tasks(spark):
+    import random
+
+    pick, docs = random.Random(7), []
+    for k in range(60):
+        words = [f"{k % 3}-{i}" for i in range(70)]
+        if k % 4:
+            words[pick.randrange(70)] = f"new{k % 20}"
+        docs += [(k, " ".join(words)), (200 + k, " ".join(words)), (None if k == 5 else 400 + k, " ".join(words))]
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(7))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == keyed(docs, plain.groups(docs))
+
+
 def test_texts_are_dealt_out_once_for_first_of_groups(table):
     plan = jaccard.first_of_groups(table)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("InMemoryRelation") == 1
