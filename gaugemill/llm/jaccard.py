@@ -241,6 +241,8 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The entries of the lists, each with the group ``comp`` of its set."""
     if labels is None:
         return lists.withColumn("comp", F.col("node"))
+    if labels.count() <= PICKED_BY_BROADCAST:
+        labels = F.broadcast(labels)
     return lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
@@ -373,8 +375,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     given = base.where(F.size("prefix") > 0)
     # where a prefix ends is kept to 31 bits
     entries = given.select("node", "n", F.shiftright(F.element_at("prefix", -1), 32).cast("int").alias("w"), F.posexplode("prefix").alias("at", "shingle"))
-    repeated = entries.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
+    repeated = stage(entries.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-repeated")
+    reclaim(rows.sparkSession)  # the shuffles of all entries do not add up
     lists = stage(entries.join(repeated, "shingle").distinct(), "jaccard-entries")
+    discard(repeated)
     reclaim(rows.sparkSession)
     boundary = _cost_boundary(base, lists, percent)
     by_subsets = _subset_links(given.where(F.col("n") <= boundary), percent, boundary) if boundary else None
