@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugemill.llm import windows as W
@@ -20,13 +21,13 @@ MOST_SMALL = 12
 #: One text in so many is looked at for frequent shingles, of which at most HOT come last in the order of shingles.
 #: This order decides about speed only: any order gives the same links.
 SAMPLED, SEEN, HOT = 16, 2, 1 << 18
-#: Ratio of set sizes in one part of a list, where lists are cut by size and place.
-SIZE_STEP = 1.1
-#: Shares of the lists that are joined one after the other: peak disk, not the result, depends on it.
+#: Ratio of set sizes in one part of a list, where lists are cut by size and place. An entry stands in two or three parts.
+SIZE_STEP = 4 / 3
+#: Shares of the lists that are made, and joined, one after the other: peak disk, not the result, depends on it.
 BLOCKS = 4
 #: List entries, before they are cut, for which one share is enough.
 ONE_BLOCK = 1 << 20
-#: Words of 64 bits in the sketch of a set; each bit is the parity of the shingles that fall on it.
+#: Words of 64 bits in the short sketch of a set; each bit is the parity of the shingles that fall on it.
 SKETCH = 4
 _SKETCHED = [f"s{k}" for k in range(SKETCH)]
 #: Rows up to which the texts to compare are picked by a broadcast list of their keys; beyond, by a shuffled join.
@@ -100,8 +101,26 @@ def _parities(found: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
     return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
 
 
+def _long_parities(found: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Sketches with two to four bits for each shingle, as lists of 64-bit words: a power of two of them, SKETCH at least.
+
+    Half a sketch is folded out of the whole one by exclusive or.
+    """
+    words = np.where(sizes > 0, SKETCH << np.ceil(np.log2(np.maximum(2 * sizes / (64 * SKETCH), 1))).astype(np.int64), 0)
+    ends = np.concatenate([[0], np.cumsum(words)])
+    at = W.mixed((found & ((1 << 62) - 1)).astype(np.uint64)) & (64 * words[of] - 1).astype(np.uint64)
+    at = at.astype(np.int64) + 64 * ends[of]
+    ordered = np.sort(at)
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    odd = ordered[first][np.diff(first, append=len(ordered)) % 2 == 1]
+    filled = np.zeros(ends[-1], np.uint64)
+    np.bitwise_or.at(filled, odd >> 6, np.uint64(1) << (odd & 63).astype(np.uint64))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(filled.view(np.int64)))
+
+
 def _prefixes(rows: DataFrame, text_col: str, size: int, percent: int, hot: np.ndarray, most_small: int) -> DataFrame:
-    """Per row: its set's hash, size and sketch, the set's prefix, and the whole set if it is small. A task gives a set's shingles once."""
+    """Per row: its set's hash, size, how many in a thousand of its shingles are not frequent, short sketch, prefix, long
+    sketch, and the whole set if it is small. A task gives a set's shingles and long sketch once."""
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
@@ -117,15 +136,18 @@ def _prefixes(rows: DataFrame, text_col: str, size: int, percent: int, hot: np.n
                     seen.add(key)
                 take = np.where(new, take, 0)
                 sketch = _parities(found, of, part.num_rows)
+                rare = 1000 * np.bincount(of, found < 1 << 62, part.num_rows).astype(np.int64) // np.maximum(sizes, 1)
+                fresh = np.array(new, bool)[of]
+                long = _long_parities(found[fresh], of[fresh], np.where(new, sizes, 0))
                 whole = np.where(np.array(new, bool) & (sizes <= most_small), sizes, 0)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(ID), part.column(ROW), pa.array(node), pa.array(sizes, pa.int32()),
-                    _lists(found, first, take), _lists(found, first, whole), *(pa.array(sketch[:, k]) for k in range(SKETCH)),
-                ], names=[ID, ROW, "node", "n", "prefix", "whole", *_SKETCHED])
+                    part.column(ID), part.column(ROW), pa.array(node), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()),
+                    _lists(found, first, take), long, _lists(found, first, whole), *(pa.array(sketch[:, k]) for k in range(SKETCH)),
+                ], names=[ID, ROW, "node", "n", "rare", "prefix", "long", "whole", *_SKETCHED])
         give_back()
 
     return rows.select(ID, ROW, text_col).mapInArrow(
-        run, f"{ID} bigint, {ROW} bigint, node bigint, n int, prefix array<bigint>, whole array<bigint>, "
+        run, f"{ID} bigint, {ROW} bigint, node bigint, n int, rare int, prefix array<bigint>, long array<bigint>, whole array<bigint>, "
         + ", ".join(f"{c} bigint" for c in _SKETCHED))
 
 
@@ -183,22 +205,14 @@ def _cost_boundary(base: DataFrame, lists: DataFrame, percent: int) -> int:
     return best
 
 
-def _least_votes(percent: int) -> Column:
-    """Shared prefix shingles below which a pair, of sizes na and nb, cannot reach the threshold.
+def _votes(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of sizes na and nb with the number ``v`` of prefix shingles they share, if that is enough for a link.
 
-    Of the set whose prefix ends first, at wa or wb, all shared shingles up to there are counted; what follows is no more
-    than its rest. Where the ends look alike the larger rest is allowed for.
+    Of the set whose prefix ends first all shared shingles up to there are counted; what follows is no more than its rest.
+    The larger rest of the two is allowed for.
     """
-    rest_a, rest_b = f"(ceil({percent} * na / 100) - 1)", f"(ceil({percent} * nb / 100) - 1)"
-    return F.expr(
-        f"cast(ceil({percent} * (na + nb) / {100 + percent}) - case when wa < wb then {rest_a} when wb < wa then {rest_b} "
-        f"else greatest({rest_a}, {rest_b}) end as int)")
-
-
-def _votes(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b with the number ``v`` of prefix shingles they share, if that is enough."""
-    counted = pairs.select("a", "b", _least_votes(percent).alias("least")).groupBy("a", "b", "least").agg(F.count("*").alias("v"))
-    return counted.where("v >= least").drop("least")
+    least = f"ceil({percent} * (na + nb) / {100 + percent}) - ceil({percent} * greatest(na, nb) / 100) + 1"
+    return pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("v")).where(F.expr(f"v >= {least}")).drop("na", "nb")
 
 
 def _both_ends(pairs: DataFrame, of: DataFrame, few: bool) -> DataFrame:
@@ -237,6 +251,22 @@ def _verified(rows: DataFrame, base: DataFrame, pairs: DataFrame, text_col: str,
     return stage(both.where(F.expr(f"100 * k >= {percent} * (na + nb - k)")).select("a", "b"), "jaccard-links")
 
 
+def _repeated_entries(given: DataFrame) -> list[DataFrame]:
+    """The entries of the sets' prefixes whose shingle has ``c`` > 1 of them, equal ones once, in one table or several."""
+    entries = given.select("node", "n", "rare", F.posexplode("prefix").alias("at", "shingle"))
+    blocks = BLOCKS if (given.agg(F.sum(F.size("prefix"))).first()[0] or 0) > ONE_BLOCK else 1
+    parts = []
+    for k in range(blocks):  # one share of the shingles after the other, so that their shuffles do not add up
+        block = entries.where(F.pmod(F.xxhash64(F.lit("entries"), "shingle"), F.lit(blocks)) == k) if blocks > 1 else entries
+        repeated = stage(block.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-repeated")
+        reclaim(given.sparkSession)
+        parts.append(stage(block.join(repeated, "shingle").distinct(), "jaccard-entries"))
+        discard(repeated)
+        del block, repeated
+        reclaim(given.sparkSession)
+    return parts
+
+
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The entries of the lists, each with the group ``comp`` of its set."""
     if labels is None:
@@ -249,17 +279,17 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _to_hubs(open_: DataFrame, turn: int, percent: int) -> DataFrame:
     """For each set the set that leads most of its lists, if they may be linked: one pair per set at most.
 
-    A list is led by the set with the smallest hash of this turn, so the lists of a group mostly have one leader. Lists
-    whose sets are all in one group have none.
+    In the first turn a list is led by the set with the smallest share of shingles that are not frequent. In a large
+    group of texts that were each changed in another place this is the one they were made from, which is linked with
+    most of them, where two others may not be. In later turns it is led by the set with the smallest hash of the turn.
+    Either way the lists of a group mostly have one leader.
     """
     lead = F.xxhash64(F.lit(turn), "node")
-    hubs = (
-        open_.groupBy("shingle").agg(
-            *(F.min_by(c, lead).alias(x) for c, x in (("node", "b"), ("n", "nb"), ("w", "wb"), ("comp", "cb"))), (F.min("comp") != F.max("comp")).alias("several"))
-        .where("several").drop("several")
-    )
+    if turn == 0:
+        lead = F.shiftleft(F.col("rare").cast("long"), 40) + F.shiftrightunsigned(lead, 24)
+    hubs = open_.groupBy("shingle").agg(*(F.min_by(c, lead).alias(x) for c, x in (("node", "b"), ("n", "nb"), ("comp", "cb"))))
     pairs = (
-        open_.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"), "comp").join(hubs, "shingle")
+        open_.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), "comp").join(hubs, "shingle")
         .where(F.expr(f"comp <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")).drop("shingle", "comp", "cb")
     )
     return stage(_votes(pairs, percent).groupBy("a").agg(F.max(F.struct("v", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "jaccard-pairs")
@@ -308,9 +338,7 @@ def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) ->
         reclaim(base.sparkSession)
     pairs = parts[0]
     if blocks > 1:
-        for more in parts[1:]:
-            pairs = pairs.unionByName(more)
-        pairs = stage(pairs.distinct(), "jaccard-met")
+        pairs = stage(reduce(DataFrame.unionByName, parts).distinct(), "jaccard-met")
         discard(*parts)
     discard(places)
     reclaim(base.sparkSession)
@@ -318,11 +346,14 @@ def _by_place(base: DataFrame, open_: DataFrame, percent: int, boundary: int) ->
 
 
 def _able(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` whose prefixes share enough shingles for a link."""
-    ends = _both_ends(pairs.select("a", "b"), base.where(F.size("prefix") > 0).select("node", "n", F.col("prefix").alias("p")), _few(pairs))
-    for x in "ab":
-        ends = ends.withColumn(f"w{x}", F.shiftright(F.element_at(f"p{x}", -1), 32).cast("int"))
-    return stage(ends.where(F.size(F.array_intersect("pa", "pb")) >= _least_votes(percent)).select("a", "b"), "jaccard-able")
+    """Those of ``pairs`` whose long sketches differ in no more bits than linked sets of their sizes may in shingles."""
+    ends = _both_ends(pairs.select("a", "b"), base.where(F.size("prefix") > 0).select("node", "n", F.col("long").alias("p")), _few(pairs))
+    folded = lambda p, q: F.expr(
+        f"if(size({p}) <= size({q}), {p}, aggregate(sequence(1, cast(size({p}) div size({q}) as int) - 1), slice({p}, 1, size({q})), "
+        f"(whole, k) -> zip_with(whole, slice({p}, k * size({q}) + 1, size({q})), (u, v) -> u ^ v)))")
+    ends = ends.withColumns({"fa": folded("pa", "pb"), "fb": folded("pb", "pa")})
+    differing = "aggregate(zip_with(fa, fb, (u, v) -> bit_count(u ^ v)), 0, (x, y) -> x + y)"
+    return stage(ends.where(F.expr(f"{differing} <= na + nb - 2 * ceil({percent} * (na + nb) / {100 + percent})")).select("a", "b"), "jaccard-able")
 
 
 def _strongest(pairs: DataFrame) -> DataFrame:
@@ -352,9 +383,11 @@ def near_duplicates(
 
     Links are found by size. Sets up to a boundary, chosen by cost, enumerate the subsets that prove a link. Larger ones
     stand in inverted lists of their first shingles, in an order that puts frequent ones last. Lists are first
-    joined with one leading set each, turn by turn, so that a group of near copies falls together without pairing its members.
+    joined with one leading set each, turn by turn, so that a group of near copies falls together without pairing its members;
+    in the first turn the set with the fewest rare shingles leads, the likeliest origin of such a group.
     When turns bring few links, lists are cut by set size and place, and what is left is compared; while more pairs are left
-    than there are sets, each set's closest pairs by sketch first. Pairs whose parity sketches differ too much are not compared. Links within a
+    than there are sets, each set's closest pairs by sketch first. Pairs whose parity sketches differ too much, short ones in
+    the lists and long ones before whole sets are built, are not compared. Links within a
     group that is known already change nothing and are not looked for. Similarities are counted on whole sets; shingles are hashes of 62 bits.
     """
     rows, grouped = _grouped(docs.drop(size_as, group_as), id_col, text_col, shingle, percent, size_as, group_as)
@@ -373,13 +406,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     hot = _frequent(rows, text_col, shingle)
     base = stage(_prefixes(rows, text_col, shingle, percent, hot, MOST_SMALL), "jaccard-base")
     given = base.where(F.size("prefix") > 0)
-    # where a prefix ends is kept to 31 bits
-    entries = given.select("node", "n", F.shiftright(F.element_at("prefix", -1), 32).cast("int").alias("w"), F.posexplode("prefix").alias("at", "shingle"))
-    repeated = stage(entries.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-repeated")
-    reclaim(rows.sparkSession)  # the shuffles of all entries do not add up
-    lists = stage(entries.join(repeated, "shingle").distinct(), "jaccard-entries")
-    discard(repeated)
-    reclaim(rows.sparkSession)
+    entered = _repeated_entries(given)
+    lists = reduce(DataFrame.unionByName, entered)
     boundary = _cost_boundary(base, lists, percent)
     by_subsets = _subset_links(given.where(F.col("n") <= boundary), percent, boundary) if boundary else None
     long = lists.where(F.expr(f"100 * n >= {percent} * {boundary + 1}")).drop("c")
@@ -402,7 +430,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
         discard(pairs)
         reclaim(rows.sparkSession)
     rest = _by_place(base, _labelled(long, labels), percent, boundary)
-    discard(lists)
+    discard(*entered)
     few, sets = False, base.count()
     while not few and rest.count() > sets:  # the likeliest links first: within the groups they make, no other pair needs a look
         best, before = stage(_strongest(rest), "jaccard-pairs"), rest

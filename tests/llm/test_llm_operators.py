@@ -222,6 +222,60 @@ def test_near_copies_fall_together_before_prefixes_are_compared(spark, monkeypat
     assert sum(written.get("jaccard-able", [])) <= 2 * len(docs)
 
 
+def test_texts_made_from_one_are_not_paired_with_each_other(spark, monkeypatch):
+    import random
+
+    pick, docs, written = random.Random(9), [], {}
+    for k in range(160):  # linked with text 70, few with each other
+        words = [f"c{i}" for i in range(130)]
+        for i in (pick.randrange(4, 62), pick.randrange(66, 126)) if k != 70 else ():
+            words[i] = f"new{pick.random()}"
+        docs.append((k, " ".join(words)))
+    keep = jaccard.stage
+
+    def stage(df, name):
+        table = keep(df, name)
+        written[name] = written.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(jaccard, "stage", stage)
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == keyed(docs, plain.groups(docs))
+    assert written["jaccard-part"] <= len(docs), written
+
+
+def test_entries_are_made_in_shares(spark, table, docs, monkeypatch):
+    written = []
+    monkeypatch.setattr(jaccard, "ONE_BLOCK", 10)
+    monkeypatch.setattr(jaccard, "stage", lambda df, name, keep=jaccard.stage: written.append(name) or keep(df, name))
+    got = jaccard.near_duplicates(table)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == keyed(docs, plain.groups(docs))
+    assert written.count("jaccard-entries") == jaccard.BLOCKS
+
+
+@pytest.mark.parametrize("percent", [75, 20])
+def test_long_sketches_keep_links_and_drop_texts_less_alike(spark, percent):
+    import numpy as np
+
+    docs, pairs, similar = [], [], {}
+    for k, (size, share, more) in enumerate(
+            (size, share, more) for size in (70, 130, 1100, 4100) for share in (0.05, 0.3, 0.6, 0.9) for more in (1, 1.3, 3.5)):
+        first = [f"{k}-{i}" for i in range(size)]
+        second = first[:int(share * size)] + [f"{k}-{i}-other" for i in range(int(more * size) - int(share * size))]
+        docs += [(2 * k, " ".join(first)), (2 * k + 1, " ".join(second))]
+    rows = jaccard.with_row_keys(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    base = jaccard._prefixes(rows, "text", 5, percent, np.zeros(0, np.int64), 0)
+    node = {r["__gm_id"]: r.node for r in base.collect()}
+    for k in range(len(docs) // 2):
+        a, b = (plain.shingles(docs[2 * k + x][1]) for x in (0, 1))
+        if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
+            pairs.append((node[2 * k], node[2 * k + 1]))
+            similar[pairs[-1]] = 100 * len(a & b) / len(a | b)
+    able = {(r.a, r.b) for r in jaccard._able(spark.createDataFrame(pairs, "a long, b long"), base, percent).collect()}
+    assert able >= {p for p, v in similar.items() if v >= percent} and able
+    assert not able & {p for p, v in similar.items() if v < percent - 25}
+
+
 def test_few_tables_are_written_for_near_duplicates(spark, monkeypatch):
     import random
 
